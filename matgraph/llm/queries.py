@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, simhash
 from ._base import table
 
 
@@ -14,6 +14,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.membership(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.plan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -21,7 +26,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op6_mixing": op6_mixing}
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op5_simhash": op5_simhash,
+    "op6_mixing": op6_mixing,
+}
 
 ORACLE = {
     "op2_exact_dedup": r"""
