@@ -37,6 +37,8 @@ BLOCK = 3 << 20
 #: Pieces in each of the cache's two generations.
 CACHE = 200_000
 LONG = 1024
+#: Pieces that go through one recursive query.
+QUERY = 20_000
 
 #: key is the piece's number and the token's place in it, which stays dense: a step
 #: contracts one pair of each piece that still has one.
@@ -76,10 +78,10 @@ class Codec:
 
         self.ranks = read_ranks(file)
         self.find = regex.compile(pattern)
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
         get = self.ranks.get
         merges = [
             (left, right, rank)
@@ -126,7 +128,9 @@ class Codec:
         return [x for x, live in zip(ids, alive) if live]
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Bring all these pieces into the young generation."""
+        """Bring all these pieces into the young generation, as packed ids. Each piece is
+        decoded again by the ordered aggregation, and the result held against the piece,
+        so that the cache needn't hold it twice."""
         missing, seeds = [], []
         for p in set(pieces):
             if p in self.young:
@@ -134,17 +138,19 @@ class Codec:
             if (known := self.old.get(p)) is None:
                 raw = p.encode()
                 if (rank := self.ranks.get(raw)) is not None:
-                    known = (np.uint32(rank).tobytes(), raw)
+                    known = np.uint32(rank).tobytes()
                 elif len(raw) > LONG:
                     ids = self._contract_long(raw)
-                    known = (np.array(ids, "<u4").tobytes(), self._bytes(ids))
+                    if self.decode([ids]) != [raw]:
+                        raise ValueError(f"ids of {p[:50]!r}... decode to other bytes")
+                    known = np.array(ids, "<u4").tobytes()
             if known is None:
                 missing.append(p)
                 seeds.append(raw)
             else:
                 self.young[p] = known
-        for at in range(0, len(missing), 20_000):
-            raws = seeds[at : at + 20_000]
+        for at in range(0, len(missing), QUERY):
+            raws = seeds[at : at + QUERY]
             n = np.fromiter(map(len, raws), np.int64, len(raws))
             wid = np.repeat(np.arange(len(raws)), n)
             pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -156,17 +162,12 @@ class Codec:
             raw = tokens.field("bytes")
             cuts = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset :][ends]
             data = raw.buffers()[2].to_pybytes()
-            for p, a, b, c, d in zip(missing[at : at + 20_000], ends.tolist(), ends[1:].tolist(), cuts.tolist(), cuts[1:].tolist()):
-                self.young[p] = (ids[4 * a : 4 * b], data[c:d])
+            if data[cuts[0] : cuts[-1]] != b"".join(raws) or (np.diff(cuts) != n).any():
+                raise ValueError("ids decode to other bytes than their pieces")
+            for p, a, b in zip(missing[at : at + QUERY], ends.tolist(), ends[1:].tolist()):
+                self.young[p] = ids[4 * a : 4 * b]
             self.db.unregister("seed")
 
-    def trim(self) -> None:
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return self.decode([ids])[0]
-
     def decode(self, docs: list[list[int]]) -> list[bytes]:
         """The bytes of each list of ids."""
         n = np.fromiter(map(len, docs), np.int64, len(docs))
@@ -188,7 +189,7 @@ class Codec:
             yield block
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each text its ids, as little-endian unsigned 32-bit integers, and the
+        """For each text its ids, as packed little-endian unsigned 32-bit integers, and the
         bytes that they decode to. ``texts`` holds about BLOCK characters or is one."""
         if len(texts) == 1 and len(texts[0]) > BLOCK:
             parts = [self._joined([block])[0] for block in self.pieces(texts[0])]
@@ -198,11 +199,9 @@ class Codec:
     def _joined(self, found: list[list[str]]) -> list[tuple[bytes, bytes]]:
         self.learn(itertools.chain.from_iterable(found))
         get = self.young.__getitem__
-        out = []
-        for pieces in found:
-            pairs = list(map(get, pieces))
-            out.append((b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])))
-        self.trim()
+        out = [(b"".join(map(get, pieces)), "".join(pieces).encode()) for pieces in found]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
         return out
 
 
