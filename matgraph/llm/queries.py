@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, simhash
+from . import bpe, exact_dedup, langid, mixing, simhash
 from ._base import table
+from ._sample import remainder
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +45,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder("doc_id", 5)
+    found = langid.predict(docs, langid.train(docs, fold != 0))
+    return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
+    "op8_langid": op8_langid,
 }
 
 ORACLE = {
