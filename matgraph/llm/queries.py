@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, simhash
+from . import bpe, exact_dedup, langid, mixing, simhash, toxicity
 from ._base import table
 from ._sample import remainder
 
@@ -45,6 +45,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder("doc_id", 4)
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), fold != 2))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = remainder("doc_id", 5)
@@ -57,6 +64,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
 }
 

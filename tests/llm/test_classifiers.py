@@ -1,0 +1,132 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from matgraph.llm import langid, toxicity
+from matgraph.llm._sample import labelled_sample, remainder
+
+DE = ["der", "die", "und", "nicht", "schön", "straße", "gehen", "ich", "zwischen", "über"]
+EN = ["the", "and", "with", "quick", "through", "which", "light", "walking", "would", "house"]
+
+
+def text(rng, words, n):
+    return " ".join(rng.choice(words, n))
+
+
+def language_rows(rng, n):
+    return [(i, text(rng, DE if i % 2 else EN, int(rng.integers(5, 80))), "de" if i % 2 else "en") for i in range(n)]
+
+
+def plain_posteriors(emit, transitions):
+    """Forward-backward of one chain by enumeration."""
+    n, k = emit.shape
+    total = np.zeros((n, k))
+    for path in np.ndindex(*[k] * n):
+        w = np.exp(sum(emit[t, y] for t, y in enumerate(path)) + sum(transitions[a, b] for a, b in zip(path, path[1:])))
+        for t, y in enumerate(path):
+            total[t, y] += w
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_forward_backward_against_enumeration():
+    rng = np.random.default_rng(1)
+    sizes = np.array([5, 1, 3])
+    emit, transitions = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
+    chain, place = langid._layout(sizes)
+    got, _ = langid.forward_backward(emit, chain, place, transitions)
+    want = np.concatenate([plain_posteriors(emit[a:b], transitions) for a, b in ((0, 5), (5, 6), (6, 9))])
+    assert np.allclose(got, want)
+
+
+def test_long_texts_are_cut_into_chains():
+    chain, place = langid._layout(np.array([langid.CHAIN + 2, 3]))
+    assert chain.tolist() == [0] * langid.CHAIN + [1, 1, 2, 2, 2] and place[-5:].tolist() == [0, 1, 0, 1, 2]
+
+
+@pytest.fixture(scope="module")
+def model():
+    return langid.fit([(t, y) for _, t, y in language_rows(np.random.default_rng(2), 60)])
+
+
+def test_language_of_held_out_and_mixed_text(model):
+    rows = language_rows(np.random.default_rng(3), 200)
+    got, scores = langid.Labeller(model).documents([t.encode() for _, t, _ in rows])
+    assert np.mean([a == y for a, (_, _, y) in zip(got, rows)]) > 0.98 and all(0 <= s <= 1 for s in scores)
+    assert langid.Labeller(model).documents([b"", b" 12 ... \xf0\x9f\x99\x82", "schöner".encode()])[0] == ["und", "und", "de"]
+
+
+def test_predict_accept_and_spans(spark, model):
+    rng = np.random.default_rng(4)
+    mixed = text(rng, EN, 40) + " " + text(rng, DE, 40)
+    rows = [(1, text(rng, DE, 30), "clash"), (2, None, "x"), (3, "", "x"), (None, text(rng, EN, 9), None), (1, text(rng, DE, 30), "clash"), (5, mixed, "x"), (6, text(rng, EN, 200_000), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = sorted((str(r["doc_id"]), r["lang_pred"]) for r in langid.predict(docs, model).collect())
+    assert got[:4] == [("1", "de"), ("1", "de"), ("2", "und"), ("3", "und")] and got[5:] == [("6", "en"), ("None", "en")]
+    kept = langid.accepted(docs, model, 0.3)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "5", "6", "None"]
+    runs = [r for r in langid.spans(docs, model).collect() if r["doc_id"] == 5]
+    assert [r["lang"] for r in runs] == ["en", "de"] and sum(r["n_words"] for r in runs) == 80 and abs(runs[0]["n_words"] - 40) <= 2
+    assert langid.predict(docs.limit(0), model).count() == 0
+    empty = langid.train(docs.selectExpr("doc_id", "text", "string(null) AS lang"))
+    assert {r["lang_pred"] for r in langid.predict(docs, empty).collect()} == {"und"}
+
+
+def test_folds_and_sample(spark):
+    rows = spark.createDataFrame([(i, f"text {i}", i % 3) for i in range(300)] + [(None, "t", 1), (500, None, 1), (501, "t", None)], "doc_id long, text string, label int")
+    got = {r["doc_id"]: r["r"] for r in rows.select("doc_id", remainder("doc_id", 5).alias("r")).collect()}
+    assert all(v == (zlib.crc32(str(i).encode()) % 5 if i is not None else 0) for i, v in got.items())
+    sample = labelled_sample(rows.select("doc_id", "label"), rows.select("doc_id", "text"), 20)
+    assert len(sample) in (59, 60) and sample == labelled_sample(rows.repartition(5).select("doc_id", "label"), rows.select("doc_id", "text"), 20)
+
+
+BAD = ["idiot", "moronic", "scumbag", "worthless"]
+
+
+def toxic_rows(rng, n, bad):
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(EN, int(rng.integers(20, 200))))
+        if i % 2:
+            for k in range(1 + len(words) // 40):
+                words[int(rng.integers(len(words)))] = bad[int(rng.integers(len(bad)))]
+        rows.append((i, " ".join(words), i % 2))
+    return rows
+
+
+def test_toxicity_and_unseen_misspellings():
+    model = toxicity.fit([(t, y) for _, t, y in toxic_rows(np.random.default_rng(5), 300, BAD)], 0.5)
+    for bad in (BAD, ["idiott", "mmoronic", "scumbagg", "wworthless"]):
+        rows = toxic_rows(np.random.default_rng(6), 300, bad)
+        p = toxicity.Scorer(model).documents([t.encode() for _, t, _ in rows])
+        y = np.array([y for _, _, y in rows])
+        assert ((p >= 0.3) == y).mean() > 0.95, bad
+
+
+def test_best_windows_against_brute_force():
+    rng = np.random.default_rng(7)
+    sizes = np.array([1, toxicity.WINDOW, 100, 5, 60])
+    values = rng.integers(-5, 5, sizes.sum()).astype(float)
+    first, top = toxicity.best_windows(values, sizes)
+    at = 0
+    for n, f, t in zip(sizes, first, top):
+        w = min(n, toxicity.WINDOW)
+        means = [values[i : i + w].mean() for i in range(at, at + n - w + 1)]
+        assert np.isclose(t, max(means)) and np.isclose(values[f : f + w].mean(), t)
+        at += n
+
+
+def test_toxicity_tables(spark):
+    rng = np.random.default_rng(8)
+    rows = toxic_rows(rng, 300, BAD)
+    long = " ".join(rng.choice(EN, 300_000)) + " you idiot moronic scumbag worthless idiot idiot"
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(None, None, "x"), (1001, "", "x"), (1002, "12 34 !!", "x"), (1003, long, "x"), (1003, long, "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, 1, y, "x") for i, _, y in rows] + [(None, 1, 1, "x"), (5, 1, None, "x")], "doc_id long, quality int, toxic int, text string")
+    got = toxicity.score(docs, toxicity.train(docs, labels, remainder("doc_id", 4) != 2)).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    by_id = {r["doc_id"]: r["score"] for r in got}
+    assert by_id[None] == by_id[1001] == by_id[1002] and by_id[1003] >= 0.3
+    assert np.mean([(by_id[i] >= 0.3) == y for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]) > 0.95
+    none = toxicity.train(docs, labels.limit(0))
+    assert all(r["score"] < 1e-5 for r in toxicity.score(docs, none).collect())
+    assert toxicity.score(docs.limit(0), none).count() == 0
