@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, simhash, toxicity
+from . import bpe, exact_dedup, langid, mixing, simhash, toxicity, warc
 from ._base import table
 from ._sample import remainder
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))[1]
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.membership(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -60,6 +64,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
@@ -69,6 +74,20 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_warc": r"""
+        WITH digests AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+        coded AS (
+          SELECT page_id, payload_bytes, hex,
+                 array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(1 + (CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT)
+                     // CAST(pow(32, 3 - k % 4) AS BIGINT)) % 32 AS BIGINT), 1)), '') AS payload_digest
+          FROM digests),
+        ranked AS (SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS best FROM coded)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM ranked""",
     "op2_exact_dedup": r"""
         WITH facts AS (
           SELECT doc_id, length(coalesce(text, '')) AS n,
