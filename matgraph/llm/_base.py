@@ -3,10 +3,14 @@ shared folder, and the definition of a word."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,31 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: For rows that hold whole texts: what the Parquet reader decodes at once, and what goes
+#: to a Python worker at once. Spark's own values count rows of a few bytes.
+BATCHES = {
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of text batches, in this session. They are read when a plan
+    runs, so they stay set."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+
+
+def map_arrow(rows: DataFrame, of_batches, schema) -> DataFrame:
+    """``mapInArrow`` with bounded batches, by a worker that gives back its memory."""
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(tidy(of_batches), schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,3 +89,22 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
             end += 1
         yield data[at:end].split()
         at = end
+
+
+def tidy(of_batches):
+    """A function for mapInArrow that gives its memory back to the system at the end of
+    the task, as Spark keeps its Python workers for other tasks."""
+
+    @functools.wraps(of_batches)
+    def run(batches):
+        yield from of_batches(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+    return run
+
+
+def column_of(batch: pa.RecordBatch, i: int) -> Iterator:
+    """The values of a column one by one, and not as a list."""
+    return (x.as_py() for x in batch.column(i))

@@ -30,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import text_of
+from ._base import map_arrow, text_of
 
 #: Characters of text whose pieces are held at once.
-BLOCK = 3 << 20
+BLOCK = 4 << 20
 #: Pieces in each of the cache's two generations.
 CACHE = 200_000
 LONG = 1024
@@ -246,9 +246,10 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
                     names=["doc_id", "ids", "decoded"],
                 )
                 at += len(block)
+        own.old.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(of_batches, "doc_id long, ids binary, decoded binary")
+    return map_arrow(rows, of_batches, "doc_id long, ids binary, decoded binary")
 
 
 def decode(rows: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
@@ -264,4 +265,4 @@ def decode(rows: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
                 ids = [np.frombuffer(x or b"", "<u4").tolist() for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.decode(ids), pa.binary())], names=["doc_id", "decoded"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(of_batches, "doc_id long, decoded binary")
+    return map_arrow(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), of_batches, "doc_id long, decoded binary")

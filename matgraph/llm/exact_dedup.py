@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import SPACE, staged, text_of
+from ._base import SPACE, map_arrow, staged, text_of
 
 K = 1024
 MIN_HEAVY = 64
@@ -60,7 +60,7 @@ def misra_gries(rows: DataFrame, col: str, k: int = K) -> DataFrame:
             names=["digest", "at_least"],
         )
 
-    parts = rows.select(col).mapInArrow(summarise, "digest binary, at_least long")
+    parts = map_arrow(rows.select(col), summarise, "digest binary, at_least long")
     return parts.groupBy("digest").agg(F.sum("at_least").alias("at_least"))
 
 

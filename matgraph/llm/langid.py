@@ -17,6 +17,7 @@ language that sorts first; every row gives one row; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import text_of, word_blocks
+from ._base import column_of, map_arrow, text_of, word_blocks
 from ._sample import labelled_sample
 from ._subwords import hashed, letters, sums
 
@@ -35,9 +36,9 @@ SAMPLE_DOCS = 200
 SAMPLE_WORDS = 40_000
 STEPS = 60
 #: Words whose emissions a worker holds.
-CACHE = 300_000
+CACHE = 150_000
 #: Words that are labelled at once.
-BLOCK = 400_000
+BLOCK = 120_000
 
 
 @dataclass
@@ -195,8 +196,9 @@ class Labeller:
         post, _ = forward_backward(self.emit[at].astype(np.float64), chain, place, self.model.transitions)
         return post, self.real[at]
 
-    def documents(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
-        total = np.zeros((len(texts), len(self.model.labels) + 1))  # last: words with letters
+    def documents(self, texts: Iterable[bytes], n: int) -> tuple[list[str], list[float]]:
+        """(language, score) of each of n texts."""
+        total = np.zeros((n, len(self.model.labels) + 1))  # last: words with letters
         held: list[bytes] = []
         sizes: list[int] = []
         owner: list[int] = []
@@ -206,8 +208,8 @@ class Labeller:
                 post, real = self.words(held, np.array(sizes))
                 doc = np.repeat(owner, sizes)[real]
                 for c in range(post.shape[1]):
-                    total[:, c] += np.bincount(doc, post[real, c], len(texts))
-                total[:, -1] += np.bincount(doc, minlength=len(texts))
+                    total[:, c] += np.bincount(doc, post[real, c], n)
+                total[:, -1] += np.bincount(doc, minlength=n)
             held.clear(), sizes.clear(), owner.clear()
 
         if self.model.labels:
@@ -221,8 +223,8 @@ class Labeller:
                         flush()
             flush()
         some = total[:, -1] > 0
-        best = total[:, :-1].argmax(axis=1) if self.model.labels else np.zeros(len(texts), int)
-        score = np.where(some, total[np.arange(len(texts)), best] / np.maximum(total[:, -1], 1), 0.0)
+        best = total[:, :-1].argmax(axis=1) if self.model.labels else np.zeros(n, int)
+        score = np.where(some, total[np.arange(n), best] / np.maximum(total[:, -1], 1), 0.0)
         return [self.model.labels[b] if s else "und" for b, s in zip(best, some)], np.clip(score, 0, 1).tolist()
 
 
@@ -240,11 +242,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def of_batches(batches):
         own = Labeller(given.value)
         for batch in batches:
-            langs, scores = own.documents(batch.column(1).to_pylist())
+            langs, scores = own.documents(column_of(batch, 1), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(of_batches, "doc_id long, lang_pred string, score double")
+    return map_arrow(rows, of_batches, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
@@ -256,10 +258,10 @@ def accepted(docs: DataFrame, model: Model, min_score: float, text_col: str = "t
     def of_batches(batches):
         own = Labeller(given.value)
         for batch in batches:
-            langs, scores = own.documents([(t or "").encode() for t in batch.column(at).to_pylist()])
+            langs, scores = own.documents(((t or "").encode() for t in column_of(batch, at)), batch.num_rows)
             yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(of_batches, docs.schema)
+    return map_arrow(docs, of_batches, docs.schema)
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,7 +274,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         labels = given.value.labels
         for batch in batches:
             rows: list[tuple] = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, text in zip(column_of(batch, 0), column_of(batch, 1)):
                 base, run = 0, None
                 for words in word_blocks(text):
                     if not words or not labels:
@@ -291,4 +293,4 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "lang", "first_word", "n_words"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(of_batches, "doc_id long, lang string, first_word long, n_words long")
+    return map_arrow(rows, of_batches, "doc_id long, lang string, first_word long, n_words long")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import staged, text_of, word_blocks
+from ._base import map_arrow, staged, text_of, word_blocks
 from ._graph import components
 
 SHINGLE = 3
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(fps).view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(of_batches, "doc_id long, fp long")
+    return map_arrow(rows, of_batches, "doc_id long, fp long")
 
 
 def trie_pairs(values: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +213,7 @@ def links(classes: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
         parts = parts.withColumn("bucket", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))
         plain = plain.join(large, "key", "left_anti").select("fp", "rep", "bucket").unionByName(parts.select("fp", "rep", "bucket"))
     dealt = plain.select("bucket", "fp", "rep").repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_linked, "a long, b long")
+    return map_arrow(dealt, _linked, "a long, b long")
 
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

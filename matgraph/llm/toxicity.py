@@ -18,6 +18,7 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import text_of, word_blocks
+from ._base import column_of, map_arrow, text_of, word_blocks
 from ._sample import labelled_sample
 from ._subwords import hashed, letters, sums
 
@@ -35,15 +36,15 @@ SIZE = 8
 #: Bounds of the training sample: documents of each class; and words of each document,
 #: of which whole windows are drawn evenly from all of it.
 SAMPLE_DOCS = 1500
-SAMPLE_WORDS = 1000
+SAMPLE_WORDS = 480
 WARM_UP, STEPS = 15, 25
 #: Words of a bag, not counting those without letters.
 WINDOW = 24
 #: Words of the sample that a bucket must occur in, and what each step takes off a
 #: bucket's vector, as a share of the step.
 LEAST, LASSO = 30, 2.0
-CACHE = 300_000
-BLOCK = 400_000
+CACHE = 150_000
+BLOCK = 120_000
 
 
 @dataclass
@@ -175,8 +176,9 @@ class Scorer:
                 return words[i:]
         return words
 
-    def documents(self, texts: list[bytes]) -> np.ndarray:
-        best = np.full(len(texts), -np.inf)
+    def documents(self, texts: Iterable[bytes], n: int) -> np.ndarray:
+        """The score of each of n texts."""
+        best = np.full(n, -np.inf)
         held: list[bytes] = []
         sizes: list[int] = []
         owner: list[int] = []
@@ -224,8 +226,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def of_batches(batches):
         own = Scorer(given.value)
         for batch in batches:
-            scores = own.documents(batch.column(1).to_pylist())
+            scores = own.documents(column_of(batch, 1), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(of_batches, "doc_id long, score double")
+    return map_arrow(rows, of_batches, "doc_id long, score double")

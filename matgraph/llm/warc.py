@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import new_folder, staged
+from ._base import map_arrow, new_folder, staged
 
 CHUNK = 64 << 10
 #: An empty gzip member. Its time stamp differs from that of the records' members.
@@ -145,7 +145,7 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
                         out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
-    rows.mapInArrow(members, "member binary").select(F.col("member").cast("string").alias("value")).write.options(**_TEXT).text(path)
+    map_arrow(rows, members, "member binary").select(F.col("member").cast("string").alias("value")).write.options(**_TEXT).text(path)
 
 
 SEGMENTS = "page_id long, record string, segment long, record_type string, refers_to long, payload_bytes long, payload_digest string, data binary, sha1 binary"
@@ -192,7 +192,7 @@ def chunk_table(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], schema.field(n).type) for n in names], schema=schema)
 
     lines = spark.read.options(**_TEXT).text(path).select(F.col("value").cast("binary").alias("member"))
-    return lines.mapInArrow(rows, SEGMENTS)
+    return map_arrow(lines, rows, SEGMENTS)
 
 
 def _digested(batches):
@@ -236,7 +236,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     whole = chunks.filter("segment = 0").select(*cols)
     parts = chunks.filter("segment > 0")
     parts = parts.repartition(F.col("record")).sortWithinPartitions("record", "segment")
-    joined = parts.select(*cols, "record", "segment", "data").mapInArrow(_digested, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string")
+    joined = map_arrow(parts.select(*cols, "record", "segment", "data"), _digested, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string")
     return whole.unionByName(joined).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -51,9 +51,9 @@ def model():
 
 def test_language_of_held_out_and_mixed_text(model):
     rows = language_rows(np.random.default_rng(3), 200)
-    got, scores = langid.Labeller(model).documents([t.encode() for _, t, _ in rows])
+    got, scores = langid.Labeller(model).documents([t.encode() for _, t, _ in rows], len(rows))
     assert np.mean([a == y for a, (_, _, y) in zip(got, rows)]) > 0.98 and all(0 <= s <= 1 for s in scores)
-    assert langid.Labeller(model).documents([b"", b" 12 ... \xf0\x9f\x99\x82", "schöner".encode()])[0] == ["und", "und", "de"]
+    assert langid.Labeller(model).documents([b"", b" 12 ... \xf0\x9f\x99\x82", "schöner".encode()], 3)[0] == ["und", "und", "de"]
 
 
 def test_predict_accept_and_spans(spark, model):
@@ -98,7 +98,7 @@ def test_toxicity_and_unseen_misspellings():
     model = toxicity.fit([(t, y) for _, t, y in toxic_rows(np.random.default_rng(5), 300, BAD)], 0.5)
     for bad in (BAD, ["idiott", "mmoronic", "scumbagg", "wworthless"]):
         rows = toxic_rows(np.random.default_rng(6), 300, bad)
-        p = toxicity.Scorer(model).documents([t.encode() for _, t, _ in rows])
+        p = toxicity.Scorer(model).documents([t.encode() for _, t, _ in rows], len(rows))
         y = np.array([y for _, _, y in rows])
         assert ((p >= 0.3) == y).mean() > 0.95, bad
 
