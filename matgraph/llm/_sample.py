@@ -14,11 +14,17 @@ def remainder(id_col: str, modulus: int):
 def labelled_sample(labels: DataFrame, docs: DataFrame, per_label: int) -> list[tuple[str, object]]:
     """(text, label) of at most ``per_label`` of the rows (doc_id, label) of each label,
     those with the least MD5 of the id, with their texts from ``docs``. The choice is
-    made on narrow rows, and Spark applies its limit before the shuffle too; of the
-    texts only the chosen ones move."""
-    order = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
+    made on narrow rows; of the texts only the chosen ones move. Labels are few: a
+    classifier's classes."""
+    digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    uniform = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
     narrow = labels.filter("label is not null and doc_id is not null").select("doc_id", "label")
-    chosen = narrow.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("doc_id", "label").distinct()
+    # About twice the wanted number pass the first draw, whatever the number of rows, so
+    # that a label's window isn't given more by more tasks.
+    counts = narrow.groupBy("label").agg((2.0 * per_label / F.count(F.lit(1)) + 100.0 / F.count(F.lit(1))).alias("share"))
+    drawn = narrow.join(F.broadcast(counts), "label").filter(uniform < F.col("share"))
+    order = Window.partitionBy("label").orderBy(digest, "doc_id")
+    chosen = drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("doc_id", "label").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     found = texts.join(F.broadcast(chosen), "doc_id").collect()
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"], str(r["label"])))]
