@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, simhash, toxicity, warc
+from . import bpe, exact_dedup, langid, mixing, permutation_index, simhash, toxicity, warc
 from ._base import table
 from ._sample import remainder
 
@@ -19,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def public_vocabulary() -> tuple[bytes, str]:
     """The rank file that the contract names, and its pattern."""
     import public_tokenizers
@@ -66,6 +70,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_permutation_index": op3_permutation_index,
     "op4_bpe": op4_bpe,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
