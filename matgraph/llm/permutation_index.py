@@ -36,7 +36,7 @@ from ._base import map_arrow, staged
 PIVOTS = 1024
 PREFIX = 64
 BLOCK = 8192
-SHARE, LEAST = 0.12, 400
+SHARE, LEAST = 0.2, 400
 #: Queries that a block's index serves before it is built again elsewhere.
 QUERIES = 100_000
 
