@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, permutation_index, simhash, toxicity, warc
+from . import bpe, exact_dedup, langid, mixing, permutation_index, quotation, simhash, toxicity, warc
 from ._base import table
 from ._sample import remainder
 
@@ -67,6 +67,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.linked(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
@@ -76,9 +80,66 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
+    "op9_quotation": op9_quotation,
 }
 
 ORACLE = {
+    "op9_quotation": r"""
+        WITH base AS (
+          SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text FROM conversations),
+        numbered AS (
+          SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS id,
+                 len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^[ \t]{0,3}(?:>[ \t]?)+'))) > 0 AS quoted
+          FROM base),
+        bodies AS (
+          SELECT *, string_split(text, chr(10)) AS lines FROM numbered),
+        messages AS (
+          SELECT id, conv_id, turn, role, quoted, lines,
+                 CASE WHEN quoted THEN regexp_replace(array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i:
+                        NOT regexp_matches(lines[i], '^[ \t]{0,3}(?:>[ \t]?)+')
+                        AND NOT (regexp_matches(lines[i], '(?i)^(?:on .* wrote|le .* a écrit|am .* schrieb .*|el .* escribió|.{1,60} (?:wrote|said)):[ \t]*$')
+                                 AND coalesce(regexp_matches(lines[i + 1], '^[ \t]{0,3}(?:>[ \t]?)+'), false))),
+                        lambda i: lines[i]), chr(10)), '^\s+|\s+$', '', 'g')
+                      ELSE text END AS body
+          FROM bodies),
+        split AS (SELECT id, conv_id, turn, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM messages WHERE quoted),
+        levels AS (
+          SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]{0,3}(?:>[ \t]?)+'), '[^>]', '', 'g')) AS level,
+                 substr(line, length(regexp_extract(line, '^[ \t]{0,3}(?:>[ \t]?)+')) + 1) AS rest
+          FROM split),
+        changes AS (SELECT *, CASE WHEN level <> lag(level) OVER (PARTITION BY id ORDER BY pos) THEN 1 ELSE 0 END AS changed FROM levels),
+        runs AS (SELECT *, sum(changed) OVER (PARTITION BY id ORDER BY pos) AS run FROM changes),
+        passages AS (
+          SELECT id, conv_id, turn, run, level, string_agg(rest, chr(10) ORDER BY pos) AS passage
+          FROM runs WHERE level > 0 GROUP BY ALL),
+        units AS (
+          SELECT id, conv_id, turn, run, level, 0 AS kind, 1 AS pos, passage AS unit FROM passages
+          UNION ALL SELECT id, conv_id, turn, run, level, 1, unnest(range(1, 1 + len(regexp_split_to_array(passage, '\n[ \t]*\n')))),
+                           unnest(regexp_split_to_array(passage, '\n[ \t]*\n')) FROM passages
+          UNION ALL SELECT id, conv_id, turn, run, level, 2, unnest(range(1, 1 + len(string_split(passage, chr(10))))),
+                           unnest(string_split(passage, chr(10))) FROM passages),
+        quotes AS (
+          SELECT *, trim(regexp_replace(lower(unit), '[\x00-\x20]+', ' ', 'g')) AS norm FROM units
+          WHERE trim(regexp_replace(lower(unit), '[\x00-\x20]+', ' ', 'g')) <> ''),
+        held AS (
+          SELECT conv_id, turn, trim(regexp_replace(lower(unit), '[\x00-\x20]+', ' ', 'g')) AS norm
+          FROM (SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n[ \t]*\n'), string_split(body, chr(10)))) AS unit
+                FROM messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+        own AS (SELECT norm, conv_id, min(turn) AS own_turn FROM held GROUP BY ALL),
+        firsts AS (SELECT norm, min({'conv': conv_id, 'turn': own_turn}) AS f FROM own GROUP BY ALL),
+        found AS (
+          SELECT q.*, own_turn < q.turn AS near,
+                 CASE WHEN own_turn < q.turn THEN {'conv': q.conv_id, 'turn': own_turn}
+                      WHEN f.conv <> q.conv_id AND len(string_split(q.norm, ' ')) >= 3 THEN f END AS original
+          FROM quotes q LEFT JOIN own ON own.norm = q.norm AND own.conv_id = q.conv_id LEFT JOIN firsts ON firsts.norm = q.norm),
+        links AS (
+          SELECT id, count(DISTINCT run) AS n_quotes, count(DISTINCT run) FILTER (original IS NOT NULL) AS n_linked,
+                 arg_min(original, {'a': level, 'b': run, 'c': NOT coalesce(near, false), 'd': kind, 'e': pos}) FILTER (original IS NOT NULL) AS reply
+          FROM found GROUP BY id)
+        SELECT conv_id, turn,
+               CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST) END AS position,
+               role, body, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, reply.conv AS reply_conv, reply.turn AS reply_turn
+        FROM messages LEFT JOIN links USING (id)""",
     "op1_warc": r"""
         WITH digests AS (
           SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
