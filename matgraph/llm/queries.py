@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, permutation_index, quotation, simhash, toxicity, warc
+from . import bpe, exact_dedup, langid, mixing, permutation_index, quotation, simhash, substring_dedup, toxicity, warc
 from ._base import table
 from ._sample import remainder
 
@@ -71,6 +71,10 @@ def op9_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.linked(table(spark, sf_dir, "conversations"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
@@ -81,6 +85,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
     "op9_quotation": op9_quotation,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE = {
