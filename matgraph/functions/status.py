@@ -43,12 +43,13 @@ def status_counts(states: DataFrame) -> DataFrame:
     return row.unpivot([], list(STATUSES), "status", "n")
 
 
-def snapshot(states: DataFrame, now: Column, run_started: Column) -> DataFrame:
-    """One row: the counts, elapsed, eta and summary of a run."""
+def snapshot(states: DataFrame, now: Column, run_started: Column, *more: Column) -> DataFrame:
+    """One row: the counts, elapsed, eta and summary of a run, and ``more`` aggregates."""
     spent = elapsed(now)
     row = states.agg(
         *[_count(s).alias(s) for s in STATUSES],
         F.avg(F.when((F.col("status") == "done") & (spent != 0), spent)).alias("mean_s"),
+        *more,
     )
     active = F.col("running") + F.col("waiting")
     left = F.col("pending") + active
@@ -103,13 +104,13 @@ def status_json(states: DataFrame, now: Column, run_started: Column) -> DataFram
     listed = lambda cond, of: F.array_sort(F.collect_list(F.when(cond, of)))
     active = F.col("status").isin("running", "waiting")
     start = F.struct(F.coalesce("started_at", F.lit(0.0)).alias("at"), F.col("label"), F.col("_b").alias("b"))
-    lists = own.agg(
+    lists = (
         F.transform(listed(active, start), lambda x: x["b"]).alias("running_builds"),
         listed(F.col("status") == "pending", F.col("name")).alias("pending_names"),
         F.transform(listed(F.col("status") == "failed", F.struct("label", F.col("_b").alias("b"))), lambda x: x["b"]).alias("failed_builds"),
         listed(F.col("status") == "blocked", F.col("name")).alias("blocked_names"),
     )
-    row = snapshot(states, now, run_started).crossJoin(lists)  # of one row each
+    row = snapshot(own, now, run_started, *lists)
     counts = F.struct(*[F.col(s) for s in STATUSES]).alias("counts")
     renamed = [F.col("running_builds").alias("running"), F.col("pending_names").alias("pending"), F.col("failed_builds").alias("failed"), F.col("blocked_names").alias("blocked")]
     return row.select(F.to_json(F.struct("elapsed_s", "eta_s", "summary", counts, *renamed)).alias("document"))
