@@ -1,0 +1,141 @@
+"""The registered queries against their SQL or brute force, and the pipeline."""
+
+import base64
+import hashlib
+import os
+import re
+
+import duckdb
+import public_tokenizers
+import pytest
+import tiktoken
+from test_dedup import plain_components, plain_fingerprint
+
+import corpus_pipeline
+from matgraph.llm import bpe, langid, mixing
+from matgraph.llm._sample import remainder
+from matgraph.llm.queries import ORACLE, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
+
+
+@pytest.fixture(scope="module")
+def tables():
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{f}'")
+    return con
+
+
+@pytest.fixture(scope="module")
+def documents(tables):
+    return dict(tables.execute("SELECT doc_id, text FROM documents").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, tables, name):
+    want = tables.execute(ORACLE[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.fixture(scope="module")
+def library():
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def packed(library, text):
+    return b"".join(i.to_bytes(4, "little") for i in library.encode_ordinary(text))
+
+
+def test_bpe_equals_the_library(spark, documents, library):
+    got = {r["doc_id"]: r for r in QUERIES["op4_bpe"](spark, DATA).collect()}
+    for i, text in documents.items():
+        ids = packed(library, text)
+        want = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want
+
+
+def test_simhash_equals_brute_force(spark, documents):
+    prints = {i: plain_fingerprint(t) for i, t in documents.items()}
+    want = plain_components(prints)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in QUERIES["op5_simhash"](spark, DATA).collect()}
+    assert got == {i: (f"{prints[i]:016x}", want[i]) for i in prints}
+
+
+def test_archive_of_pages(spark, tables):
+    pages = dict(tables.execute("SELECT page_id, html FROM pages").fetchall())
+    for r in QUERIES["op1_warc"](spark, DATA).collect():
+        raw = pages[r["page_id"]].encode()
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
+
+
+def test_mix_comes_near_its_targets(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 40), f"s{i % 3}" if i % 3 else None) for i in range(6000)], "doc_id long, text string, source string")
+    plan = mixing.plan(docs)
+    rows = plan.groupBy("source_size", "target").agg({"size": "sum", "copies": "max"}).collect()
+    taken = {r["target"]: r[1] for r in plan.selectExpr("target", "size * copies AS t").groupBy("target").sum("t").collect()}
+    assert all(abs(t - taken[t]) < 0.1 * t for t in taken) and max(r["max(copies)"] for r in rows) <= 3
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == plan.groupBy().sum("copies").first()[0]
+    assert sorted(map(tuple, plan.collect()), key=repr) == sorted(map(tuple, mixing.plan(docs.repartition(7)).collect()), key=repr)
+
+
+def test_mix_of_odd_rows(spark):
+    schema = "doc_id long, text string, source string, size long, rate double, target double"
+    rows = [(1, None, "a", 0, 0.0, 0.0), (2, "", None, 0, 0.0, 0.0), (None, "x y", None, 0, 0.0, 0.0), (3, "z", "b", 0, 0.0, 0.0), (3, "z", "b", 0, 0.0, 0.0)]
+    docs = spark.createDataFrame(rows, schema)
+    got = mixing.plan(docs).collect()
+    assert len(got) == 5 and all(0 <= r["copies"] <= 3 for r in got) and sorted(r["size"] for r in got) == [0, 0, 1, 1, 2]
+    assert mixing.mix(docs).columns == docs.columns and mixing.plan(docs.limit(0)).count() == 0 == mixing.mix(docs.limit(0)).count()
+
+
+@pytest.mark.parametrize("caps", [[100, 10, 1], [1, 1000, 10], [5], [0, 0], [7, 7, 7, 7, 7, 1, 900]])
+def test_targets_against_the_stated_rule(spark, caps):
+    sizes = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(caps)], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.rates(sizes).collect()}
+    weight = {f"s{i}": (5, 2, 1)[i % 3] for i in range(len(caps))}
+    cap = {f"s{i}": 3.0 * n for i, n in enumerate(caps)}
+    full: dict = {}
+    while True:  # reshare by weight until none is above
+        rest, w = sum(caps) - sum(full.values()), sum(weight[s] for s in weight if s not in full)
+        over = [s for s in weight if s not in full and rest * weight[s] / w > cap[s]] if w else []
+        if not over:
+            break
+        full |= {s: cap[s] for s in over}
+    want = {s: full.get(s, rest * weight[s] / w if w else 0.0) for s in weight}
+    assert all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_pipeline_against_brute_force(spark, documents, tables, library):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.train(docs, remainder("doc_id", 5) != 0)
+    texts = sorted(documents)
+    langs, scores = langid.Labeller(model).documents([documents[i].encode() for i in texts], len(texts))
+    kept = {i for i, x, s in zip(texts, langs, scores) if x != "und" and s >= corpus_pipeline.MIN_LANGUAGE_SCORE}
+    groups: dict = {}
+    for i in kept:
+        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", documents[i]), []).append((-len(documents[i]), i))
+    kept = {min(g)[1] for g in groups.values()}
+    prints = {i: plain_fingerprint(documents[i]) for i in sorted(kept)}
+    kept = set(plain_components(prints).values())
+    plan = {r["doc_id"]: r["copies"] for r in mixing.plan(docs.filter(docs.doc_id.isin(sorted(kept)))).collect()}
+    want = sorted((i, hashlib.sha256(packed(library, documents[i])).hexdigest()) for i in kept for _ in range(plan[i]))
+    got = sorted((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == want and len(set(i for i, _ in got)) > 100
+
+
+def test_pipeline_of_odd_rows(spark):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the cat sat on the mat", "en", None, 3), (4, "12 34", "en", "s", 0), (5, "the cat sat on a mat", "en", "s", 1)] * 2
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, DATA)
+            docs.count()
+            assert docs.columns == before.columns or name == "BPE"
