@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +15,15 @@ def blocked_closure(edges: DataFrame, failed: DataFrame) -> DataFrame:
     known, so diamonds don't multiply rows and depth has no limit. Rounds are cut off
     by checkpoints, which survive lost executors.
     """
-    frontier = failed.select("node").distinct()
-    found = frontier
-    while True:
+    frontier = found = failed.select("node").distinct()
+    for depth in itertools.count(1):
         up = edges.join(frontier.withColumnRenamed("node", "dep"), "dep").select("node").distinct()
         frontier = up.join(found, "node", "left_anti").checkpoint()
-        if not frontier.limit(1).count():
+        if frontier.isEmpty():
             return found.join(failed.select("node"), "node", "left_anti")
-        found = found.unionByName(frontier).checkpoint()
+        found = found.unionByName(frontier)
+        if depth % 16 == 0:  # or the plan grows with the depth
+            found = found.checkpoint()
 
 
 def ready_set(nodes: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
