@@ -11,6 +11,8 @@ from pathlib import PurePosixPath
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from matgraph.operators.shipping import ship
+
 ENTRIES = "archive string, entry string, length long, content binary"
 _SCHEMA = pa.schema([("archive", pa.string()), ("entry", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 
@@ -51,4 +53,5 @@ def entries(archives: DataFrame, only: str | None = None) -> DataFrame:
                         raise ValueError(f"{path.as_py()}: entry {name!r} leaves the archive")
                     yield pa.RecordBatch.from_pylist([{"archive": path.as_py(), "entry": name, "length": len(data), "content": data}], schema=_SCHEMA)
 
+    ship(archives.sparkSession)
     return archives.select("path", "content").mapInArrow(unpack, ENTRIES)
