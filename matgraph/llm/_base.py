@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matgraph.operators.shipping import ship
+
 #: White space as every contract here defines it: the space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,8 +39,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(rows: DataFrame, of_batches, schema) -> DataFrame:
-    """``mapInArrow`` with bounded batches, by a worker that gives back its memory."""
+    """``mapInArrow`` with bounded batches, by a worker that has this package and gives back
+    its memory."""
     small_batches(rows.sparkSession)
+    ship(rows.sparkSession)
     return rows.mapInArrow(tidy(of_batches), schema)
 
 
