@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import matgraph as m
 from matgraph.functions import digest, messages, status
 from matgraph.plans import relations
+from matgraph.sources import archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +87,7 @@ def step_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 class _Statuses(m.Reporter):
     def close(self, snapshot: m.Snapshot) -> None:
-        self.counts = snapshot.counts()
+        self.counts, self.builds = snapshot.counts(), snapshot.builds
 
 
 def step_cached_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +169,37 @@ def nodes_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.sha2("p_brand", 256).alias("hash"), F.col("p_type").alias("name")).dropDuplicates(["hash", "name"])
 
 
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into archives by tasks, and unpacked again."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("entry"), F.col("text").alias("content"))
+    found = archives.entries(archives.packed(docs))
+    return found.select("entry", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def scheduled_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step for each nation, on that of half its number; those of one region fail. The
+    states are what the scheduler tells its reporter."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+    steps: dict[int, m.Derivation] = {}
+
+    @m.derivation(lambda key, fails, *below: f"nation{key}")
+    def nation(key, fails, *below):
+        if fails:
+            raise ValueError(f"nation {key} fails")
+        m.output().write_text(str(key))
+
+    for r in rows:
+        key = r["n_nationkey"] + 1
+        steps[key] = nation(key, r["n_regionkey"] == 1, *([steps[key // 2]] if key > 1 else []))
+    told = _Statuses()
+    try:
+        realized(spark, m.Gather(*steps.values()), root=tempfile.mkdtemp(prefix="matgraph-store-"), reporter=told)
+    except m.RealizeError:
+        pass
+    found = [(int(b.name.removeprefix("nation")), b.status) for b in told.builds.values()]
+    return spark.createDataFrame(found, "node int, status string")
+
+
 # -- the event channel
 
 _MESSAGE = ("ID=b", "user_id", "\nDONE=", "event_id", "\nno sign here\n STATUS =", "event_type", "=x\nSTATUS=", "event_type", "=y")
@@ -290,7 +322,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         step_materialized, step_cached_twice, step_chain, gather_union, value_step, child_partition, rename_alias, symlink_alias,
-        blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, labels, nodes_once, parse_message, coalesce_last,
+        blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, labels, nodes_once, archive_entries, scheduled_graph, parse_message, coalesce_last,
         latest_state, fraction, build_eta, status_counts, snapshot_eta, summary_line, fmt_elapsed, running_list, transition_log, log_lines,
         status_json, progress_stream,
     )
@@ -373,6 +405,11 @@ ORACLE = {
         sha256(string_agg(printf('%012d', doc_id) || chr(31) || sha256(text), chr(10) ORDER BY printf('%012d', doc_id))) AS digest FROM documents GROUP BY source""",
     "labels": "SELECT p_partkey, sha256(p_name) || '-' || p_name AS label FROM part",
     "nodes_once": "SELECT DISTINCT sha256(p_brand) AS hash, p_type AS name FROM part",
+    "archive_entries": "SELECT source || '/' || doc_id AS entry, strlen(text) AS length, sha256(text) AS sha256 FROM documents",
+    "scheduled_graph": """WITH RECURSIVE own AS (SELECT n_nationkey + 1 AS node, n_regionkey = 1 AS fails FROM nation),
+        lost AS (SELECT node FROM own WHERE fails UNION SELECT own.node FROM own JOIN lost ON own.node // 2 = lost.node),
+        above AS (SELECT own.node FROM own JOIN lost ON own.node // 2 = lost.node)
+        SELECT CAST(node AS INTEGER) AS node, CASE WHEN node IN (SELECT node FROM above) THEN 'blocked' WHEN fails THEN 'failed' ELSE 'done' END AS status FROM own""",
     "parse_message": """SELECT event_id, 'b' || user_id AS build, CAST(event_id AS VARCHAR) AS done, event_type || '=y' AS status, 2 AS n_fields FROM events""",
     "coalesce_last": _LAST,
     "latest_state": """SELECT user_id, arg_max(event_type, {'ts': ts, 'e': event_id}) AS event_type, arg_max(value, {'ts': ts, 'e': event_id}) FILTER (value IS NOT NULL) AS value,

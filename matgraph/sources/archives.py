@@ -15,6 +15,7 @@ from matgraph.operators.shipping import ship
 
 ENTRIES = "archive string, entry string, length long, content binary"
 _SCHEMA = pa.schema([("archive", pa.string()), ("entry", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+_PACKED = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
 
 def safe(entry: str) -> bool:
@@ -55,3 +56,30 @@ def entries(archives: DataFrame, only: str | None = None) -> DataFrame:
 
     ship(archives.sparkSession)
     return archives.select("path", "content").mapInArrow(unpack, ENTRIES)
+
+
+def packed(rows: DataFrame, target: int = 32 << 20) -> DataFrame:
+    """Zip archives of (entry, content) rows as (path, content) rows: each task packs what
+    it has into archives of about ``target`` bytes of content."""
+
+    def pack(batches):
+        buffer, size, number = io.BytesIO(), 0, 0
+        z = zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED)
+
+        def closed() -> pa.RecordBatch:
+            z.close()
+            return pa.RecordBatch.from_pylist([{"path": f"part-{number}.zip", "content": buffer.getvalue()}], schema=_PACKED)
+
+        for batch in batches:
+            for entry, content in zip(batch.column(0), batch.column(1)):
+                data = content.as_py() or b""
+                z.writestr(zipfile.ZipInfo(entry.as_py()), data)
+                size += len(data)
+                if size >= target:
+                    yield closed()
+                    buffer, size, number = io.BytesIO(), 0, number + 1
+                    z = zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED)
+        if size or z.namelist():
+            yield closed()
+
+    return rows.selectExpr("entry", "cast(content as binary) as content").mapInArrow(pack, "path string, content binary")

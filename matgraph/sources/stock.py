@@ -168,11 +168,7 @@ def Rename(name: str, input: Realizable) -> Derivation:
 def ChildFile(parent: Any, child: str) -> Any:
     """A path below a realized folder; of a dataset, the part that a sub-folder holds."""
     if is_dataframe(parent):
-        base = os.path.commonpath([f.rsplit("/", 1)[0] for f in parent.inputFiles()]) if parent.inputFiles() else ""
-        root = base.split("/" + child.split("/")[0])[0]
-        while "=" in root.rsplit("/", 1)[-1]:
-            root = root.rsplit("/", 1)[0]
-        root = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file:///") else root
+        root = parent.matgraph_uri
         return parent.sparkSession.read.option("basePath", root).parquet(f"{root}/{child}")
     return Path(parent) / child
 

@@ -31,7 +31,7 @@ from matgraph import (
     realize,
 )
 from matgraph.functions.digest import tree_digest, tree_digest_of_digests
-from matgraph.sources import archives, stock
+from matgraph.sources import archives, fetch, stock
 
 
 def build(tmp_path, node):
@@ -198,3 +198,23 @@ def test_tree_digests(spark, tmp_path):
     os.rename(b / "sub/f", b / "sub/f2")
     assert digest_of(a) != digest_of(b) == got["b"]
     assert len({r["digest"] for r in tree_digest_of_digests(rows).collect()}) == 2
+
+
+def test_downloads_as_rows(spark, server):
+    url, body = server
+    urls = spark.createDataFrame([(f"{url}/f",), (None,)], "url string")
+    got = fetch.fetched(urls)
+    (row,) = got.collect()
+    assert (row["length"], row["sha256"], bytes(row["content"])) == (len(body), hashlib.sha256(body).hexdigest(), body)
+    right = spark.createDataFrame([(f"{url}/f", hashlib.sha256(body).hexdigest().upper())], "url string, expected string")
+    assert fetch.verified(got, right).count() == 1
+    with pytest.raises(Exception, match="has digest"):
+        fetch.verified(got, right.selectExpr("url", "'00' AS expected")).collect()
+
+
+def test_packing(spark):
+    rows = spark.createDataFrame([(f"d/{i}", "x" * i) for i in range(50)] + [("null", None)], "entry string, content string").coalesce(2)
+    zips = archives.packed(rows, target=200)
+    assert zips.count() > 2
+    assert sorted((r["entry"], r["length"]) for r in archives.entries(zips).collect()) == sorted([(f"d/{i}", i) for i in range(50)] + [("null", 0)])
+    assert archives.packed(rows.limit(0)).count() == 0
