@@ -1,11 +1,14 @@
 """The registered queries against their SQL or brute force, and the pipeline."""
 
 import base64
+import difflib
 import hashlib
 import os
 import re
+import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -139,3 +142,54 @@ def test_pipeline_of_odd_rows(spark):
             before, docs = docs, stage(spark, docs, DATA)
             docs.count()
             assert docs.columns == before.columns or name == "BPE"
+
+
+def test_passages_against_brute_force(spark, documents):
+    """Every document that shares 50 words in a row with an earlier one is reported, and
+    what is reported matches word for word as far as it says."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {i: re.findall("[^\x20\x09-\x0d]+", t.translate(lower)) for i, t in documents.items()}
+    first: dict = {}
+    want = set()
+    for i in sorted(words):
+        runs = {tuple(words[i][k : k + 50]) for k in range(len(words[i]) - 49)}
+        if any(first.setdefault(r, i) != i for r in runs):
+            want.add(i)
+    got = QUERIES["op10_substring_dedup"](spark, DATA).collect()
+    assert want and want <= {r["doc_id"] for r in got}
+    for r in got:
+        a = words[r["doc_id"]][r["start"] : r["start"] + r["n_words"]]
+        b = words[r["ref_id"]][r["ref_start"] : r["ref_start"] + r["ref_words"]]
+        blocks = difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+        assert r["ref_id"] < r["doc_id"] and len(a) == r["n_words"] >= 50 and len(b) == r["ref_words"]
+        assert sum(m.size for m in blocks) >= 0.75 * max(len(a), len(b)) and r["similarity"] >= 0.8
+
+
+def test_neighbours_against_brute_force(spark, tables):
+    rows = tables.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    ids, x = [i for i, _ in rows], np.array([v for _, v in rows], np.float64)
+    found: dict = {}
+    for r in QUERIES["op3_permutation_index"](spark, DATA).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert abs(r["score"] - x[ids.index(r["vec_id"])] @ x[ids.index(r["query_id"])]) < 1e-9
+    queries = [i for i in ids if i % 20 == 0]
+    hits = 0
+    for q in queries:
+        scores = x @ x[ids.index(q)]
+        best = sorted((j for j in ids if j != q), key=lambda j: (-scores[ids.index(j)], j))[:20]
+        hits += len(set(best) & set(found[q]))
+    assert sorted(found) == queries and hits >= 0.9 * 20 * len(queries)
+
+
+def test_languages_of_held_out_documents(spark):
+    data = "/root/testdata/sf0.01"
+    truth = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{data}/documents.parquet'").fetchall())
+    got = [r for r in QUERIES["op8_langid"](spark, data).collect()]
+    held = [r["lang_pred"] == truth[r["doc_id"]] for r in got if r["held_out"]]
+    assert len(got) == len(truth) and len(held) > 100 and sum(held) > 0.95 * len(held)
+
+
+def test_scores_of_every_document(spark, documents):
+    got = QUERIES["op7_toxicity"](spark, DATA).collect()
+    assert {r["doc_id"] for r in got} == set(documents) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
