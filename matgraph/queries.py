@@ -31,9 +31,11 @@ def new_root(spark: SparkSession) -> str:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Where checkpoints go, if the session doesn't say."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matgraph-"))
+    """Where checkpoints go, if the context doesn't know: the session's folder, or a
+    temporary one on a single machine."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matgraph-"))
 
 
 def realized(spark: SparkSession, node, **kw):
