@@ -10,7 +10,10 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters(word: bytes) -> str:
-    return _OTHER.sub("", word.decode("utf-8", "replace").lower())
+    core = _OTHER.sub("", word.decode("utf-8", "replace").lower())
+    if core and not core.isalpha():  # fractions, powers and the like are left
+        core = "".join(filter(str.isalpha, core))
+    return core
 
 
 def hashed(cores: list[str], grams: tuple[int, ...], affixes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:

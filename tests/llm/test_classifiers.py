@@ -53,7 +53,8 @@ def test_language_of_held_out_and_mixed_text(model):
     rows = language_rows(np.random.default_rng(3), 200)
     got, scores = langid.Labeller(model).documents([t.encode() for _, t, _ in rows], len(rows))
     assert np.mean([a == y for a, (_, _, y) in zip(got, rows)]) > 0.98 and all(0 <= s <= 1 for s in scores)
-    assert langid.Labeller(model).documents([b"", b" 12 ... \xf0\x9f\x99\x82", "schöner".encode()], 3)[0] == ["und", "und", "de"]
+    odd = [b"", b" 12 ... \xf0\x9f\x99\x82", "½ x² Ⅷ".replace("x", "").encode(), "schöner".encode()]
+    assert langid.Labeller(model).documents(odd, 4)[0] == ["und", "und", "und", "de"]
 
 
 def test_predict_accept_and_spans(spark, model):
