@@ -39,6 +39,8 @@ BLOCK = 8192
 SHARE, LEAST = 0.2, 400
 #: Queries that a block's index serves before it is built again elsewhere.
 QUERIES = 100_000
+#: Tasks at most; beyond, a task goes through several cells one after another.
+PARTITIONS = 20_000
 
 
 def _rows(column: pa.Array, size: int) -> np.ndarray:
@@ -134,8 +136,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     vectors = good.withColumn("b", of(blocks, "block")).withColumn("g", every(groups)).select(cell(F.col("b"), F.col("g")), F.lit(0).alias("kind"), "vec_id", "v")
     queries = good.filter(is_query).withColumn("g", of(groups, "group")).withColumn("b", every(blocks)).select(cell(F.col("b"), F.col("g")), F.lit(1).alias("kind"), "vec_id", "v")
-    cells = blocks * groups
-    dealt = vectors.unionByName(queries).repartitionByRange(cells, "cell") if cells > 1 else vectors.unionByName(queries).repartition(1)
+    # By range, as a hash would put several of few cells into one task.
+    parts = min(blocks * groups, PARTITIONS)
+    dealt = vectors.unionByName(queries)
+    dealt = dealt.repartitionByRange(parts, "cell") if parts > 1 else dealt.repartition(1)
     dealt = dealt.sortWithinPartitions("cell", "kind", "vec_id")
 
     def search(batches):
