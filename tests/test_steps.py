@@ -268,6 +268,15 @@ def test_partition_child(spark, tmp_path):
     assert sorted(r["id"] for r in got.collect()) == [1, 3, 5, 7, 9]
 
 
+def test_other_formats_are_paths(spark, tmp_path):
+    @derivation("lines")
+    def lines():
+        spark.range(3).write.json(output().as_uri())
+
+    got = build(tmp_path, lines())
+    assert spark.read.json(got.as_uri()).count() == 3 and build(tmp_path, lines()) == got
+
+
 # -- concurrency, failures, locks
 
 
