@@ -37,6 +37,10 @@ class LocalFiles:
     def names(self) -> list[str]:
         return sorted(os.listdir(self.root))
 
+    def holds(self, name: str, suffix: str) -> bool:
+        """Is there a file with that suffix in the folder, at any depth?"""
+        return any(True for _ in self.path(name).rglob(f"*{suffix}"))
+
     def read(self, name: str) -> bytes | None:
         try:
             return self.path(name).read_bytes()
@@ -114,6 +118,13 @@ class HadoopFiles:
     def names(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)))
 
+    def holds(self, name: str, suffix: str) -> bool:
+        found = self._fs.listFiles(self._at(name), True)
+        while found.hasNext():
+            if found.next().getPath().getName().endswith(suffix):
+                return True
+        return False
+
     def read(self, name: str) -> bytes | None:
         if not self._fs.exists(self._at(name)):
             return None

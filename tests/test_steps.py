@@ -254,6 +254,7 @@ def test_store_on_a_hadoop_path(spark, tmp_path):
     assert files.publish("_t", "d") and not complete(files, "d")
     files.write("d/_matgraph.json", b"{}")
     spark.range(3).write.parquet(files.uri("_t"))
+    assert files.holds("d", ".parquet") and not files.holds("d", ".csv")
     assert complete(files, "d") and not files.publish("_t", "d") and spark.read.parquet(files.uri("d")).count() == 2
     files.remove("d")
     assert not files.exists("d")
