@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 
 def parse_message(message: Column) -> Column:
     """struct<id, fields>: the lines of ``KEY=VALUE``. Lines without ``=`` are skipped,
-    only the first one splits, keys are trimmed, and the last of equal keys counts:
-    of each key the pair at its last place is kept, so no session setting matters."""
+    only the first one splits, keys are trimmed, and the last of equal keys counts,
+    whatever the session's policy for keys of maps: the lines are folded into a map, from
+    which a key goes before it comes again."""
     lines = F.filter(F.split(message.cast("string"), "\n"), lambda x: x.contains("="))
     key = lambda x: F.regexp_replace(F.substring_index(x, "=", 1), r"^\s+|\s+$", "")
     value = lambda x: F.substr(x, F.instr(x, F.lit("=")) + 1)
-    pairs = F.transform(lines, lambda x: F.struct(key(x).alias("key"), value(x).alias("value")))
-    keys = F.transform(pairs, lambda p: p["key"])
-    last = lambda i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), F.get(keys, i))
-    kept = F.filter(pairs, lambda p, i: last(i))
-    fields = F.map_from_entries(F.filter(kept, lambda p: p["key"] != "ID"))
-    return F.struct(F.get(F.filter(kept, lambda p: p["key"] == "ID"), F.lit(0))["value"].alias("id"), fields.alias("fields"))
+
+    def put(fields: Column, x: Column) -> Column:
+        return F.map_concat(F.map_filter(fields, lambda k, v: k != key(x)), F.create_map(key(x), value(x)))
+
+    found = F.aggregate(lines, F.create_map().cast("map<string,string>"), put)
+    return F.struct(found["ID"].alias("id"), F.map_filter(found, lambda k, v: k != "ID").alias("fields"))
 
 
 def coalesce_last(events: DataFrame, build: str, bucket: Column, order: list[str]) -> DataFrame:
