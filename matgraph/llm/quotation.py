@@ -4,9 +4,9 @@ Lines that begin with ``>`` marks are quotes, as deep as they have marks; runs o
 lines of one depth are passages. Passages, and their paragraphs and lines, are
 normalised (lower case, single spaces) and hashed, and so are the unquoted bodies
 of all messages. A quote's original is the first message of its own conversation
-that holds the passage and comes before it, else the first of all conversations
+that holds the passage and comes before it, else the first of all other conversations
 (for passages of ``MIN_WORDS`` words or more). As the originals are reduced to the
-first one for each hash (and conversation) before the join, a passage that very
+first two for each hash (and one for each conversation) before the join, a passage that very
 many messages quote, or hold, makes one row for each quote and no pairs.
 
 A message replies to the original of its first outermost linked passage. Originals
@@ -95,10 +95,14 @@ def links(rows: DataFrame) -> DataFrame:
     bodies = rows.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(_units(F.col("body")), lambda u: u["norm"]))).alias("norm"))
     held = bodies.select("conv_id", "turn", _digest(F.col("norm")).alias("digest")).join(quotes.select("digest").distinct(), "digest", "left_semi")
     in_conv = staged(held.groupBy("digest", "conv_id").agg(F.min("turn").alias("own_turn")), "originals")
-    first = in_conv.groupBy("digest").agg(F.min(F.struct("conv_id", "own_turn")).alias("first"))
-    found = quotes.join(in_conv, ["digest", "conv_id"], "left").join(first, "digest", "left")
+    first = staged(in_conv.groupBy("digest").agg(F.min(F.struct("conv_id", "own_turn")).alias("first")), "first")
+    # The first of the other conversations, for quotes in the first one.
+    rest = in_conv.join(first, "digest").filter(F.col("conv_id") != F.col("first.conv_id"))
+    second = rest.groupBy("digest").agg(F.min(F.struct("conv_id", "own_turn")).alias("second"))
+    found = quotes.join(in_conv, ["digest", "conv_id"], "left").join(first, "digest", "left").join(second, "digest", "left")
     own = F.when(F.col("own_turn") < F.col("turn"), F.struct(F.col("conv_id").alias("conv"), F.col("own_turn").alias("turn")))
-    other = F.when((F.col("first.conv_id") != F.col("conv_id")) & F.col("long_enough"), F.struct(F.col("first.conv_id").alias("conv"), F.col("first.own_turn").alias("turn")))
+    far = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).when(F.col("first.conv_id") == F.col("conv_id"), F.col("second"))
+    other = F.when(far.isNotNull() & F.col("long_enough"), F.struct(far["conv_id"].alias("conv"), far["own_turn"].alias("turn")))
     found = found.withColumn("original", F.coalesce(own, other))
     rank = F.when(F.col("original").isNotNull(), F.struct("level", "run", own.isNull().alias("far"), "kind", "at"))
     return found.groupBy("key").agg(

@@ -69,3 +69,10 @@ def test_long_conversations_and_hot_quotes(spark, monkeypatch, span):
 
 def test_empty(spark):
     assert quotation.linked(table(spark, [])).count() == 0
+
+
+def test_a_quote_whose_own_conversation_is_the_first_holder(spark):
+    rows = [(5, 1, "user", "> one line of words\nand mine"), (5, 4, "user", "one line of words"), (9, 0, "user", "one line of words")]
+    rows += [(12, 1, "user", "> one line of words\nand mine"), (20, 1, "user", "> held here only later\nhm"), (20, 2, "user", "held here only later")]
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"]) for r in quotation.linked(table(spark, rows)).collect()}
+    assert got[5, 1] == (9, 0) and got[12, 1] == (5, 4) and got[20, 1] == (None, None)
