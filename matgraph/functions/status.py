@@ -7,30 +7,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matgraph.streaming.state import STATUSES
+from matgraph.functions.figures import ACTIVE, BUILD_FIELDS, ELAPSED, ETA, FRACTION, LISTS, LOG_LINE, RUN_ELAPSED, RUN_ETA, STATUSES, filled
+from matgraph.functions.figures import told_column as fmt_elapsed
 
 
 def elapsed(now: Column) -> Column:
-    return F.coalesce("finished_at", now) - F.col("started_at")
+    return ELAPSED.column(now=now)
 
 
 def fraction() -> Column:
-    """Null without progress or total. ``least`` and ``greatest`` skip nulls, hence the
-    guard."""
-    known = F.col("done").isNotNull() & (F.col("total") != 0)
-    return F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("done") / F.col("total"))))
+    """Null without progress or total."""
+    return FRACTION.column()
 
 
 def build_eta(now: Column) -> Column:
-    part, spent = fraction(), elapsed(now)
-    return F.when((part != 0) & (spent != 0), spent * (1 - part) / part)
-
-
-def fmt_elapsed(seconds: Column) -> Column:
-    s = seconds.cast("long")
-    hours, minutes = F.floor(s / 3600), F.floor(s / 60)
-    long = F.format_string("%dh%02dm", hours, F.floor((s % 3600) / 60))
-    return F.when(s.isNull(), "--").when(s >= 3600, long).otherwise(F.format_string("%d:%02d", minutes, s % 60))
+    return ETA.column(now=now)
 
 
 def _count(status: str) -> Column:
@@ -51,9 +42,7 @@ def snapshot(states: DataFrame, now: Column, run_started: Column, *more: Column)
         F.avg(F.when((F.col("status") == "done") & (spent != 0), spent)).alias("mean_s"),
         *more,
     )
-    active = F.col("running") + F.col("waiting")
-    left = F.col("pending") + active
-    row = row.withColumn("elapsed_s", now - run_started).withColumn("eta_s", F.when(left > 0, F.col("mean_s") * left / F.greatest(F.lit(1), active)))
+    row = row.withColumn("elapsed_s", RUN_ELAPSED.column(now=now, run_started=run_started)).withColumn("eta_s", RUN_ETA.column())
     counts = F.concat_ws("  ", *[F.concat(F.lit(f"{s} "), F.col(s).cast("string")) for s in STATUSES])
     rest = F.coalesce(F.concat(F.lit("  ~"), fmt_elapsed(F.col("eta_s")), F.lit(" left")), F.lit(""))
     return row.withColumn("summary", F.concat(counts, F.lit("  elapsed "), fmt_elapsed(F.col("elapsed_s")), rest)).drop("mean_s")
@@ -64,7 +53,7 @@ def running_list(states: DataFrame) -> DataFrame:
     equal starts by label. The place is a window over these rows alone, of which a run
     has no more than slots."""
     order = Window.orderBy(F.coalesce("started_at", F.lit(0.0)), "label")
-    return states.filter(F.col("status").isin("running", "waiting")).withColumn("place", F.row_number().over(order))
+    return states.filter(F.col("status").isin(*ACTIVE)).withColumn("place", F.row_number().over(order))
 
 
 def transition_log(events: DataFrame, build: str, status: str, order: list[str]) -> DataFrame:
@@ -80,37 +69,52 @@ def last_line(text: Column) -> Column:
 
 def log_lines(states: DataFrame, now: Column) -> DataFrame:
     """(label, line): the text of a transition to each build's status, without the clock."""
-    spent = F.when(F.col("status").isin("done", "failed"), F.concat(F.lit(" elapsed="), fmt_elapsed(elapsed(now))))
-    wide = F.when(F.col("slots") != 1, F.concat(F.lit(" x"), F.col("slots").cast("string")))
-    error = F.when((F.col("status") == "failed") & (F.col("error") != ""), F.concat(F.lit("  error="), last_line(F.col("error"))))
-    empty = F.lit("")
-    line = F.concat(F.rpad("status", 8, " "), F.lit(" "), F.col("name"), F.lit("  pool="), F.col("pool"), F.coalesce(wide, empty), F.coalesce(spent, empty), F.coalesce(error, empty))
-    return states.filter("status <> 'pending'").select("label", line.alias("line"))
-
-
-def build_struct(now: Column) -> Column:
-    """A build as the status document has it; empty texts are null, which JSON leaves out."""
-    return F.struct(
-        "name", "label", "pool", "slots", "status",
-        elapsed(now).alias("elapsed_s"), fraction().alias("fraction"), build_eta(now).alias("eta_s"),
-        F.nullif(F.col("text"), F.lit("")).alias("text"), F.nullif(F.col("error"), F.lit("")).alias("error"),
-    )
+    fields = {
+        "padded": F.rpad("status", 8, " "),
+        "many": F.when(F.col("slots") != 1, F.col("slots").cast("string")),
+        "spent": F.when(F.col("status").isin("done", "failed") & elapsed(now).isNotNull(), fmt_elapsed(elapsed(now))),
+        "last": F.when((F.col("status") == "failed"), F.nullif(last_line(F.col("error")), F.lit(""))),
+    }
+    parts = [F.coalesce(filled(part, lambda name: fields.get(name, F.col(name)), lambda pieces: F.concat(*pieces), F.lit), F.lit("")) for part in LOG_LINE]
+    return states.filter("status <> 'pending'").select("label", F.concat(*parts).alias("line"))
+
+
+def _json(value: Column) -> Column:
+    """A value as JSON, ``null`` if it is unknown."""
+    listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _object(fields: list[tuple[str, Column]]) -> Column:
+    """A JSON object of (name, JSON); fields that are null themselves are left out."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{name}":'), value) for name, value in fields]), F.lit("}"))
+
+
+def build_json(now: Column) -> Column:
+    """A build as the status document has it; empty texts are unknown."""
+    fields = []
+    for f in BUILD_FIELDS:
+        value = f.of.column(now=now)
+        value = F.round(value, f.digits) if f.digits else value
+        known = value.isNotNull() & (value.cast("string") != "")
+        fields.append((f.name, _json(value) if f.always else F.when(known, _json(value))))
+    return _object(fields)
 
 
 def status_json(states: DataFrame, now: Column, run_started: Column) -> DataFrame:
-    """(document): the status document of a run as JSON, in one aggregate. Its lists hold
-    a run's builds, which the driver holds anyway."""
-    own = states.withColumn("_b", build_struct(now))
-    listed = lambda cond, of: F.array_sort(F.collect_list(F.when(cond, of)))
-    active = F.col("status").isin("running", "waiting")
-    start = F.struct(F.coalesce("started_at", F.lit(0.0)).alias("at"), F.col("label"), F.col("_b").alias("b"))
-    lists = (
-        F.transform(listed(active, start), lambda x: x["b"]).alias("running_builds"),
-        listed(F.col("status") == "pending", F.col("name")).alias("pending_names"),
-        F.transform(listed(F.col("status") == "failed", F.struct("label", F.col("_b").alias("b"))), lambda x: x["b"]).alias("failed_builds"),
-        listed(F.col("status") == "blocked", F.col("name")).alias("blocked_names"),
-    )
+    """(document): the status document of a run as JSON, in one aggregate; times of the day
+    are the session's. Its lists hold a run's builds, which the driver holds anyway."""
+    own = states.withColumn("_build", build_json(now)).withColumn("_name", _json(F.col("name")))
+    start = F.when(F.col("status").isin(*ACTIVE), F.coalesce("started_at", F.lit(0.0)))
+    lists = []
+    for name, statuses, whole in LISTS:
+        member = F.struct(start.alias("at"), F.col("label"), F.col("_build" if whole else "_name").alias("json"))
+        members = F.array_sort(F.collect_list(F.when(F.col("status").isin(*statuses), member)))
+        lists.append(F.array_join(F.transform(members, lambda x: x["json"]), ",").alias(f"_{name}"))
     row = snapshot(own, now, run_started, *lists)
-    counts = F.struct(*[F.col(s) for s in STATUSES]).alias("counts")
-    renamed = [F.col("running_builds").alias("running"), F.col("pending_names").alias("pending"), F.col("failed_builds").alias("failed"), F.col("blocked_names").alias("blocked")]
-    return row.select(F.to_json(F.struct("elapsed_s", "eta_s", "summary", counts, *renamed)).alias("document"))
+    day = lambda at: _json(F.date_format(F.timestamp_seconds(at), "HH:mm:ss"))
+    fields = [("time", day(now)), ("started", day(run_started))]
+    fields += [(k, _json(F.round(k, 1))) for k in ("elapsed_s", "eta_s")]
+    fields += [("summary", _json(F.col("summary"))), ("counts", _object([(s, _json(F.col(s))) for s in STATUSES]))]
+    fields += [(name, F.concat(F.lit("["), F.col(f"_{name}"), F.lit("]"))) for name, _, _ in LISTS]
+    return row.select(_object(fields).alias("document"))

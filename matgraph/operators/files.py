@@ -1,4 +1,4 @@
-"""The store's file operations, on a local folder or any Hadoop file system.
+"""The vault's file operations, on a local folder or any Hadoop file system.
 
 An entry is complete if its marker says so and not because a folder is there: a
 dataset has a manifest that is written last, which also holds where a folder's
@@ -95,7 +95,7 @@ class LocalFiles:
 
 
 class HadoopFiles:
-    """The same through Spark's Hadoop client, for object stores and HDFS."""
+    """The same through Spark's Hadoop client, for HDFS and what else speaks its protocol."""
 
     def __init__(self, root: str, spark: Any):
         jvm = spark.sparkContext._jvm

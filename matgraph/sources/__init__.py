@@ -1 +1 @@
-"""Stock steps that bring files into the store or reshape what is there."""
+"""Stock steps that bring files into the vault or reshape what is there."""

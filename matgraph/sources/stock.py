@@ -6,6 +6,7 @@ import hashlib
 import os
 import shutil
 import ssl
+import stat
 import subprocess
 import tarfile
 import tempfile
@@ -40,6 +41,18 @@ def _digest(path: Path, hasher: Any) -> bytes:
     return hasher.digest()
 
 
+class _Metered:
+    """A file for writing that hands on what is written, and how much that is so far."""
+
+    def __init__(self, file: Any, seen: Callable[[bytes], Any], so_far: Callable[[int], Any]):
+        self._file, self._seen, self._so_far = file, seen, so_far
+
+    def write(self, block: bytes) -> None:
+        self._file.write(block)
+        self._seen(block)
+        self._so_far(self._file.tell())
+
+
 def _expect(what: str, found: bytes, wanted: bytes | None) -> None:
     if wanted is not None and found != wanted:
         raise ValueError(f"{what} has digest {found.hex()}, not {wanted.hex()}")
@@ -55,12 +68,7 @@ def DownloadFile(filename: str, url: str, hash: bytes | None, hasher_factory: Ca
         with urllib.request.urlopen(url, context=context) as response, open(out, "wb") as f:
             if size := int(response.headers.get("content-length") or 0):
                 report.total(size)
-            received = 0
-            while block := response.read(BLOCK):
-                hasher.update(block)
-                f.write(block)
-                received += len(block)
-                report.set(received)
+            shutil.copyfileobj(response, _Metered(f, hasher.update, report.set), BLOCK)
         _expect(f"download {filename}", hasher.digest(), hash)
 
     return Derivation(filename, hash if hash is not None else hashlib.sha256(url.encode()).digest(), [], fetch)
@@ -138,7 +146,7 @@ def ExtractFromZip(zip_file: Realizable, filename: str) -> Derivation:
 
 def _link(value: Any) -> Any:
     if is_dataframe(value):
-        return value  # published again; datasets are read by path, and stores may have no links
+        return value  # published again; datasets are read by path, and other file systems may have no links
     os.symlink(value, output())
 
 
@@ -147,21 +155,20 @@ def Symlink(name: str, input: FileLike) -> Derivation:
     return derivation(name)(_link)(input)
 
 
-def _copied(value: Any) -> Any:
+def _again(value: Any) -> Any:
+    """The value's content as this step's own: datasets are published again, files copied."""
     if is_dataframe(value):
         return value
-    path = Path(value)
-    if path.is_dir():
-        shutil.copytree(path, output())
-    elif path.is_file():
-        shutil.copy(path, output())
-    else:
-        raise ValueError(f"{path} is neither a file nor a folder")
+    copies = {stat.S_IFDIR: shutil.copytree, stat.S_IFREG: shutil.copy}
+    kind = stat.S_IFMT(os.stat(value).st_mode) if os.path.exists(value) else None
+    if kind not in copies:
+        raise ValueError(f"{value} is neither a file nor a folder")
+    copies[kind](value, output())
 
 
 def Rename(name: str, input: Realizable) -> Derivation:
     """The same content under another name."""
-    return derivation(name)(_copied)(input)
+    return derivation(name)(_again)(input)
 
 
 @expression()

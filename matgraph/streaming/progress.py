@@ -13,6 +13,7 @@ import os
 import socket
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
 
@@ -99,31 +100,24 @@ def parse_message(data: bytes) -> tuple[str | None, dict[str, str]]:
 
 
 class ProgressServer:
-    """Receives the datagrams of one run and hands (build, fields) to ``on_update``."""
+    """Receives the datagrams of one run and hands (build, fields) to ``on_update``, until the
+    one that ``close`` sends itself."""
 
     def __init__(self, on_update: Callable[[str, dict[str, str]], None]):
-        self._socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+        self._socket = socket.socket(type=socket.SOCK_DGRAM)
         self._socket.bind(("127.0.0.1", 0))
-        self._socket.settimeout(0.1)
-        self.name = "127.0.0.1:%d" % self._socket.getsockname()[1]
-        self._on_update, self._over = on_update, threading.Event()
-        self._thread = threading.Thread(target=self._receive, name="matgraph-progress", daemon=True)
+        self.name = "{}:{}".format(*self._socket.getsockname())
+        self._end = uuid.uuid4().bytes
+        self._thread = threading.Thread(target=self._hand_on, args=(on_update,), name="matgraph-progress", daemon=True)
         self._thread.start()
 
-    def _receive(self) -> None:
-        while not self._over.is_set():
-            try:
-                data = self._socket.recv(1 << 16)
-            except TimeoutError:
-                continue
-            except OSError:
-                return
-            build, fields = parse_message(data)
-            if build is not None:
-                with contextlib.suppress(Exception):  # a listener's fault stops no run
-                    self._on_update(build, fields)
+    def _hand_on(self, on_update: Callable[[str, dict[str, str]], None]) -> None:
+        for build, fields in map(parse_message, iter(lambda: self._socket.recv(1 << 16), self._end)):
+            with contextlib.suppress(Exception):  # a listener's fault stops no run
+                if build is not None:
+                    on_update(build, fields)
 
     def close(self) -> None:
-        self._over.set()
-        self._thread.join(1.0)
-        self._socket.close()
+        with self._socket, contextlib.suppress(OSError):
+            self._socket.sendto(self._end, self._socket.getsockname())
+            self._thread.join(1.0)

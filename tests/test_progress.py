@@ -46,7 +46,7 @@ class Recorder(Reporter):
 
 
 def run(tmp_path, node, reporter=None, **kw):
-    return realize(tmp_path / "store", node, executor=LocalExecutor(default_pool_size=4, poll=0.05), reporter=reporter, **kw)
+    return realize(tmp_path / "vault", node, executor=LocalExecutor(default_pool_size=4, poll=0.05), reporter=reporter, **kw)
 
 
 def test_messages_as_bytes_and_columns(spark):
@@ -132,8 +132,8 @@ def test_waiting_is_reported(tmp_path):
     def w():
         output().write_text("x")
 
-    (tmp_path / "store").mkdir()
-    lock = tmp_path / "store" / f"{label_of(w())}.lock"
+    (tmp_path / "vault").mkdir()
+    lock = tmp_path / "vault" / f"{label_of(w())}.lock"
     lock.write_text("{}")
     import threading
 

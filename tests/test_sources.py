@@ -35,7 +35,7 @@ from matgraph.sources import archives, fetch, stock
 
 
 def build(tmp_path, node):
-    return realize(tmp_path / "store", node, executor=LocalExecutor())
+    return realize(tmp_path / "vault", node, executor=LocalExecutor())
 
 
 @pytest.fixture
@@ -142,7 +142,7 @@ def test_downloads(tmp_path, server):
         build(tmp_path, DownloadFile("g", f"{url}/f", b"x" * 32))
     with pytest.raises(RealizeError, match="404"):
         build(tmp_path, DownloadFile("h", f"{url}/missing", None))
-    assert len(os.listdir(tmp_path / "store")) == 1
+    assert len(os.listdir(tmp_path / "vault")) == 1
 
 
 def test_tls_settings(monkeypatch, tmp_path):
@@ -176,7 +176,7 @@ def test_git(tmp_path):
         build(tmp_path, GitClone("other", str(repo), first, b"x" * 32))
     with pytest.raises(RealizeError, match="git clone"):
         build(tmp_path, GitClone("none", str(tmp_path / "missing"), first, b"y" * 32))
-    assert len(os.listdir(tmp_path / "store")) == 1
+    assert len(os.listdir(tmp_path / "vault")) == 1
 
 
 def digest_of(folder):

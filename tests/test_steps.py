@@ -38,11 +38,11 @@ def length_of(path, factor=1):
 
 
 def build(tmp_path, node, **kw):
-    return realize(tmp_path / "store", node, executor=kw.pop("executor", LocalExecutor({}, default_pool_size=4, poll=0.05)), **kw)
+    return realize(tmp_path / "vault", node, executor=kw.pop("executor", LocalExecutor({}, default_pool_size=4, poll=0.05)), **kw)
 
 
 def leftovers(tmp_path):
-    return [n for n in os.listdir(tmp_path / "store") if ".tmp-" in n or n.endswith(".lock")]
+    return [n for n in os.listdir(tmp_path / "vault") if ".tmp-" in n or n.endswith(".lock")]
 
 
 def test_builds_once_and_names_by_hash(tmp_path):
@@ -166,13 +166,13 @@ def test_a_failing_body_leaves_nothing(tmp_path):
 
     with pytest.raises(RealizeError, match="ValueError: no"):
         build(tmp_path, bad())
-    assert os.listdir(tmp_path / "store") == []
+    assert os.listdir(tmp_path / "vault") == []
 
 
 def test_stale_temporaries_are_ignored(tmp_path):
     node = greeting("w")
-    (tmp_path / "store").mkdir()
-    old = tmp_path / "store" / f"_{label_of(node)}.tmp-1-deadbeef"
+    (tmp_path / "vault").mkdir()
+    old = tmp_path / "vault" / f"_{label_of(node)}.tmp-1-deadbeef"
     old.write_text("half")
     assert build(tmp_path, node).read_text() == "hello w" and old.exists()
 
@@ -197,7 +197,7 @@ def test_deleted_dependency_of_a_cached_step(tmp_path):
     base = greeting("deep")
     top = length_of(base)
     build(tmp_path, top)
-    (tmp_path / "store" / label_of(base)).unlink()
+    (tmp_path / "vault" / label_of(base)).unlink()
     build(tmp_path, top, prune_cached=True)
     assert calls == ["deep"]
     build(tmp_path, top)
@@ -226,7 +226,7 @@ def test_datasets_are_published_read_back_and_cached(spark, tmp_path):
         got = build(tmp_path, doubled(numbers(5)))
         assert sorted(r["id"] for r in got.collect()) == [0, 2, 4, 6, 8]
     assert calls == [5] and leftovers(tmp_path) == []
-    entry = tmp_path / "store" / label_of(numbers(5))
+    entry = tmp_path / "vault" / label_of(numbers(5))
     manifest = json.loads((entry / "_matgraph.json").read_text())
     assert manifest["name"] == "numbers" and "id" in manifest["schema"]
 
@@ -234,7 +234,7 @@ def test_datasets_are_published_read_back_and_cached(spark, tmp_path):
 def test_a_dataset_without_its_manifest_is_built_again(spark, tmp_path):
     calls.clear()
     build(tmp_path, numbers(3))
-    (tmp_path / "store" / label_of(numbers(3)) / "_matgraph.json").unlink()
+    (tmp_path / "vault" / label_of(numbers(3)) / "_matgraph.json").unlink()
     assert build(tmp_path, numbers(3)).count() == 3 and calls == [3, 3]
 
 
@@ -328,7 +328,7 @@ def test_failures_block_their_dependents_only(tmp_path):
         build(tmp_path, Gather(length_of(bad()), greeting("good")))
     assert [type(x) for x in e.value.failed.values()] == [ValueError]
     assert len(e.value.blocked) == 2 and e.value.blocked[-1].startswith("expr-")
-    assert (tmp_path / "store" / label_of(greeting("good"))).exists() and leftovers(tmp_path) == []
+    assert (tmp_path / "vault" / label_of(greeting("good"))).exists() and leftovers(tmp_path) == []
 
 
 def test_fail_fast(tmp_path):
@@ -394,9 +394,9 @@ def test_waits_for_a_foreign_lock(tmp_path):
     import threading
 
     node = greeting("locked")
-    store = tmp_path / "store"
-    store.mkdir()
-    lock, entry = store / f"{label_of(node)}.lock", store / label_of(node)
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    lock, entry = vault / f"{label_of(node)}.lock", vault / label_of(node)
     lock.write_text("{}")
     calls.clear()
 
@@ -411,9 +411,9 @@ def test_waits_for_a_foreign_lock(tmp_path):
 
 def test_takes_over_a_stale_lock_and_keeps_a_successors(tmp_path):
     node = greeting("stale")
-    store = tmp_path / "store"
-    store.mkdir()
-    lock = store / f"{label_of(node)}.lock"
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    lock = vault / f"{label_of(node)}.lock"
     lock.write_text("{}")
     os.utime(lock, (time.time() - 3600,) * 2)
     assert build(tmp_path, node, executor=LocalExecutor(lock_stale_after=60)).read_text() == "hello stale" and not lock.exists()
@@ -421,11 +421,11 @@ def test_takes_over_a_stale_lock_and_keeps_a_successors(tmp_path):
     from matgraph.operators.files import LocalFiles
     from matgraph.operators.locks import BuildLock
 
-    own = BuildLock(LocalFiles(store), "e", stale_after=60, heartbeat=0.05, poll=0.05)
+    own = BuildLock(LocalFiles(vault), "e", stale_after=60, heartbeat=0.05, poll=0.05)
     assert own.acquire(lambda: False, lambda: None, lambda: False)
-    (store / "e.lock").write_text(json.dumps({"token": "successor"}))
+    (vault / "e.lock").write_text(json.dumps({"token": "successor"}))
     own.release()
-    assert (store / "e.lock").exists()
+    assert (vault / "e.lock").exists()
 
 
 def test_heartbeat_keeps_a_lock_fresh(tmp_path):
@@ -463,7 +463,7 @@ def test_interrupts_end_a_run(tmp_path):
         "from matgraph import *\n"
         "@derivation('s', pool='p')\ndef s(i):\n    time.sleep(30)\n"
         "@derivation('c', pool='p', isolate=True)\ndef c(i):\n    import time\n    time.sleep(30)\n"
-        f"realize({str(tmp_path / 'store')!r}, Gather(s(1), s(2), c(1), c(2)), executor=LocalExecutor({{'p': 4}}))\n"
+        f"realize({str(tmp_path / 'vault')!r}, Gather(s(1), s(2), c(1), c(2)), executor=LocalExecutor({{'p': 4}}))\n"
     )
     child = subprocess.Popen([sys.executable, str(script)], stderr=subprocess.PIPE)
     time.sleep(3)
@@ -471,4 +471,34 @@ def test_interrupts_end_a_run(tmp_path):
     at = time.monotonic()
     child.communicate(timeout=15)
     assert time.monotonic() - at < 5 and child.returncode != 0
-    assert not [n for n in os.listdir(tmp_path / "store") if n.endswith(".lock")]
+    assert not [n for n in os.listdir(tmp_path / "vault") if n.endswith(".lock")]
+
+
+def test_a_graph_that_can_not_go_on(tmp_path):
+    body = lambda _: output().write_text("x")
+    a = Derivation("a", b"1", [], body)
+    b = Derivation("b", b"2", [a], body)
+    a.dependencies.append(b)  # by hand, in a ring
+    with pytest.raises(RuntimeError, match="nothing can run"):
+        realize(tmp_path / "vault", Gather(b, Derivation("c", b"3", [], body)), executor=LocalExecutor())
+    assert [n for n in os.listdir(tmp_path / "vault") if not n.endswith(".lock")] == [f"{b'3'.hex()}-c"]
+
+
+def test_capacity_of_pools():
+    assert LocalExecutor({"p": 3}, default_pool_size=2).capacity("p") == 3 and LocalExecutor({"p": 3}, default_pool_size=2).capacity("q") == 2
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from matgraph.operators.scratch import shared_dir
+
+    conf = {}
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://a:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+    conf["spark.checkpoint.dir"] = "hdfs:///shared/"
+    assert shared_dir(session("yarn")) == "hdfs:///shared"
+    conf.clear()
+    assert shared_dir(session("local[4]")).startswith("file:///") and conf
