@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matgraph.operators.shipping import ship
+
 
 def hash_directory_tree(hasher: Any, dir: str | Path) -> None:
     """Feed relative path and content of every file, in the order of paths. Empty folders
@@ -23,11 +27,44 @@ def hash_directory_tree(hasher: Any, dir: str | Path) -> None:
 
 def tree_digest(files: DataFrame, root: str = "root", path: str = "path", content: str = "content") -> DataFrame:
     """(root, n_files, digest): what SHA-256 with :func:`hash_directory_tree` gives, of
-    the files of each root. A tree is put together in one task, as its bytes are one
-    message; for trees beyond a task's memory use :func:`tree_digest_of_digests`."""
-    each = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col(content).alias("c"))))
-    whole = F.array_join(F.transform(each, lambda f: F.concat(f["p"], f["c"])), "")
-    return files.groupBy(root).agg(F.count(F.lit(1)).alias("n_files"), F.sha2(whole, 256).alias("digest"))
+    the files of each root; a null content is empty.
+
+    A tree's bytes are one message, which has to pass one task in the order of paths; they
+    are sorted by Spark, that spills, and digested as they stream by, so a task holds a batch
+    of files. Where the value may be another, :func:`tree_digest_of_digests` splits this."""
+
+    def digested(batches):
+        held, found = None, []
+
+        def close() -> None:
+            if held is not None:
+                found.append((held[0], held[1], held[2].hexdigest()))
+
+        for batch in batches:
+            for r, p, c in zip(*(batch.column(i) for i in range(3))):
+                r = r.as_py()
+                if held is None or held[0] != r:
+                    close()
+                    held = [r, 0, hashlib.sha256()]
+                held[1] += 1
+                held[2].update(p.as_py())
+                if c.is_valid:
+                    held[2].update(c.as_buffer())
+            yield _digests(found)
+            found = []
+        close()
+        yield _digests(found)
+
+    ship(files.sparkSession)
+    rows = files.select(F.col(root).cast("string").alias("root"), F.col(path).cast("binary").alias("path"), F.col(content).cast("binary").alias("content"))
+    dealt = rows.repartition("root").sortWithinPartitions("root", "path")
+    found = dealt.mapInArrow(digested, "root string, n_files long, digest string")
+    return found.select(F.col("root").cast(files.schema[root].dataType).alias(root), "n_files", "digest")
+
+
+def _digests(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], names=["root", "n_files", "digest"])
 
 
 def tree_digest_of_digests(files: DataFrame, root: str = "root", path: str = "path", content: str = "content") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,10 @@ def parse_message(message: Column) -> Column:
 
 def coalesce_last(events: DataFrame, build: str, bucket: Column, order: list[str]) -> DataFrame:
     """Of each build's events the last in each bucket of time: what the channel's
-    throttling leaves."""
-    latest = Window.partitionBy(build, "bucket").orderBy(*[F.desc(c) for c in order])
-    return events.withColumn("bucket", bucket).withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
+    throttling leaves. Partial maxima go to the shuffle, not events."""
+    last = F.max_by(F.struct(*[F.col(c) for c in events.columns]), F.struct(*order)).alias("_last")
+    found = events.withColumn("bucket", bucket).groupBy(build, "bucket").agg(last)
+    return found.select(*[F.col("_last")[c].alias(c) for c in events.columns], "bucket")
 
 
 def latest_state(events: DataFrame, build: str, fields: list[str], order: list[str]) -> DataFrame:

@@ -4,26 +4,31 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from matgraph.operators.scratch import new_folder
+
 
 def blocked_closure(edges: DataFrame, failed: DataFrame) -> DataFrame:
     """(node): all that depend on a failed node, directly or not, and didn't fail.
 
-    Breadth first: each round joins the new nodes with the edges and drops what is
-    known, so diamonds don't multiply rows and depth has no limit. Rounds are cut off
-    by checkpoints, which survive lost executors.
+    Breadth first: each level joins the new nodes with the edges and drops what is
+    known, so diamonds don't multiply rows and depth has no limit. A level is one job, whose
+    rows go to a folder of their own below the session's shared folder, which survives
+    lost executors and keeps plans small; the next level and the result read them there.
     """
-    frontier = found = failed.select("node").distinct()
-    for depth in itertools.count(1):
-        up = edges.join(frontier.withColumnRenamed("node", "dep"), "dep").select("node").distinct()
-        frontier = up.join(found, "node", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return found.join(failed.select("node"), "node", "left_anti")
-        found = found.unionByName(frontier)
-        if depth % 16 == 0:  # or the plan grows with the depth
-            found = found.checkpoint()
+    spark = edges.sparkSession
+    folder, schema = new_folder(spark, "closure"), failed.select("node").schema
+    read = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet
+    fresh = failed.select("node").distinct()
+    for depth in itertools.count():
+        seen = Observation()
+        fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/{depth}")
+        if not seen.get["n"]:
+            return read(folder).join(failed.select("node"), "node", "left_anti")
+        above = edges.join(read(f"{folder}/{depth}").withColumnRenamed("node", "dep"), "dep").select("node").distinct()
+        fresh = above.join(read(folder), "node", "left_anti")
 
 
 def ready_set(nodes: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:

@@ -7,14 +7,22 @@ from ``part`` (a step depends on that of half its key), the build log from
 
 from __future__ import annotations
 
+import io
+import os
+import tarfile
 import tempfile
-import uuid
+import time
+import zipfile
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import matgraph as m
 from matgraph.functions import digest, messages, status
+from matgraph.operators.scratch import checkpoints, new_folder
+from matgraph.operators.shipping import ship
 from matgraph.plans import relations
 from matgraph.sources import archives
 
@@ -24,18 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_root(spark: SparkSession) -> str:
-    """A fresh store in the folder that driver and executors share, or a temporary one on
-    a single machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex[:12]}" if shared else tempfile.mkdtemp(prefix="matgraph-store-")
+    """A fresh vault in the folder that driver and executors share."""
+    return new_folder(spark, "vault")
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Where checkpoints go, if the context doesn't know: the session's folder, or a
-    temporary one on a single machine."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matgraph-"))
+def mounted() -> str:
+    """A fresh vault of steps that write files: their entries are the driver's."""
+    return tempfile.mkdtemp(prefix="matgraph-vault-")
 
 
 def realized(spark: SparkSession, node, **kw):
@@ -134,7 +137,6 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocked_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checkpoints(spark)
     failed = table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_partkey").alias("node"))
     return relations.blocked_closure(part_edges(spark, sf_dir), failed)
 
@@ -178,6 +180,122 @@ def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("entry", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def archive_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one member of each nation's archives, a gzipped tar and a zip, that has its name."""
+
+    def packed(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                files = [("other", b"x" * 1000), ("member", name.encode())]
+                yield pa.RecordBatch.from_pylist([{"path": f"{name}.{kind}", "content": pack(files)} for kind, pack in (("tar.gz", _tar), ("zip", _zip))])
+
+    ship(spark)
+    found = archives.entries(table(spark, sf_dir, "nation").select("n_name").mapInArrow(packed, "path string, content binary"), only="member")
+    return found.select("archive", "entry", "length", F.col("content").cast("string").alias("content"))
+
+
+def _tar(files: list[tuple[str, bytes]]) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        for name, data in files:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def _zip(files: list[tuple[str, bytes]]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in files:
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def stock_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions' names through the stock steps that handle files: (step, r_regionkey, name)."""
+    names = {str(r["r_regionkey"]): r["r_name"].encode() for r in table(spark, sf_dir, "region").collect()}
+    work = Path(tempfile.mkdtemp(prefix="matgraph-files-"))
+    (work / "all.tar.gz").write_bytes(_tar(sorted(names.items())))
+    (work / "all.zip").write_bytes(_zip(sorted(names.items())))
+    (work / "0").write_bytes(names["0"])
+    tar, archive = m.ExtractTarball(m.LocalFile(work / "all.tar.gz")), m.LocalFile(work / "all.zip")
+    folder = m.ExtractZip(archive)
+    first = m.LocalFile(work / "0")
+    nodes = {("tar", k): m.ChildFile(tar, k) for k in names} | {("zip", k): m.ChildFile(folder, k) for k in names}
+    nodes |= {("member", k): m.ExtractFromZip(archive, k) for k in names}
+    nodes |= {("file", "0"): first, ("path", "0"): m.LocalSymlink("at", work / "0"), ("link", "0"): m.Symlink("linked", first), ("renamed", "0"): m.Rename("other", first)}
+    nodes |= {("child of a renamed folder", "0"): m.ChildFile(m.Rename("folder", folder), "0"), ("constant", "0"): m.Constant(names["0"])}
+    paths = realized(spark, m.Gather(*nodes.values()), root=mounted())
+    rows = [(step, int(k), (p if isinstance(p, bytes) else Path(p).read_bytes()).decode()) for (step, k), p in zip(nodes, paths)]
+    return spark.createDataFrame(rows, "step string, r_regionkey int, name string")
+
+
+def reported_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What steps, every other one in a child process, report of themselves, as the scheduler
+    folds it; and that children run elsewhere."""
+    here = os.getpid()
+    steps = []
+    for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        key = r["r_regionkey"]
+
+        @m.derivation(f"region{key}", isolate=key % 2 == 1)
+        def count(key, name, here):
+            report = m.progress()
+            report.total(key + 10)
+            report.status(name + (" in a child" if os.getpid() != here else ""))
+            time.sleep(0.5)
+            m.output().write_text(name)
+
+        steps.append(count(key, r["r_name"], here))
+    told = _Statuses()
+    realized(spark, m.Gather(*steps), root=mounted(), reporter=told)
+    rows = [(b.name, b.status, b.total, b.text, b.elapsed >= 0.5) for b in told.builds.values()]
+    return spark.createDataFrame(rows, "name string, status string, total double, text string, took_time boolean")
+
+
+def failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How runs end that can't give a value: (case, error, n_failed, n_blocked)."""
+
+    @m.derivation("bad")
+    def bad(key):
+        raise ValueError(f"region {key}")
+
+    @m.derivation("nothing")
+    def nothing():
+        pass
+
+    @m.derivation("slow")
+    def slow():
+        time.sleep(30)
+        m.output().write_text("late")
+
+    @m.derivation("after")
+    def after(x):
+        m.output().write_text("after")
+
+    @m.derivation("wide", slots=5)
+    def wide():
+        m.output().write_text("wide")
+
+    keys = [r["r_regionkey"] for r in table(spark, sf_dir, "region").collect()]
+    cases = {
+        "failures": (m.Gather(*[after(bad(k)) for k in keys]), {}),
+        "no output": (after(nothing()), {}),
+        "the first failure": (m.Gather(after(slow()), bad(0)), {"fail_fast": True}),
+        "more slots than the pool has": (wide(), {}),
+        "not a step": (7, {}),
+    }
+    rows = []
+    for case, (node, options) in cases.items():
+        at = time.monotonic()
+        try:
+            realized(spark, node, root=mounted(), **options)
+        except Exception as e:
+            rows.append((case, type(e).__name__, len(getattr(e, "failed", ())), len(getattr(e, "blocked", ())), time.monotonic() - at < 20))
+    return spark.createDataFrame(rows, "case string, error string, n_failed int, n_blocked int, at_once boolean")
+
+
 def scheduled_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A step for each nation, on that of half its number; those of one region fail. The
     states are what the scheduler tells its reporter."""
@@ -195,7 +313,7 @@ def scheduled_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         steps[key] = nation(key, r["n_regionkey"] == 1, *([steps[key // 2]] if key > 1 else []))
     told = _Statuses()
     try:
-        realized(spark, m.Gather(*steps.values()), root=tempfile.mkdtemp(prefix="matgraph-store-"), reporter=told)
+        realized(spark, m.Gather(*steps.values()), root=mounted(), reporter=told)
     except m.RealizeError:
         pass
     found = [(int(b.name.removeprefix("nation")), b.status) for b in told.builds.values()]
@@ -309,9 +427,22 @@ def status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.json_array_length(at("$.running")).cast("long").alias("n_running"), at("$.running[0].label").alias("first_running"),
         F.json_array_length(at("$.failed")).cast("long").alias("n_failed"), at("$.failed[0].error").alias("first_error"), at("$.failed[0].text").alias("no_text"),
         F.json_array_length(at("$.pending")).cast("long").alias("n_pending"), at("$.blocked[0]").alias("first_blocked"),
+        F.array_join(F.json_object_keys("d"), " ").alias("fields"), at("$.elapsed_s").cast("double").alias("elapsed_s"), at("$.eta_s").cast("double").alias("eta_s"),
+        (at("$.time").rlike(_DAY) & at("$.started").rlike(_DAY)).alias("has_times"),
     )
 
 
+_DAY = r"^[0-2]\d:[0-5]\d:[0-5]\d$"
+
+
+def build_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each build as the status document has it: its fields, and their values."""
+    found = build_states(spark, sf_dir).select("label", status.build_json(F.lit(_NOW)).alias("b"))
+    at = lambda name: F.get_json_object("b", f"$.{name}")
+    numbers = [at(name).cast("double").alias(name) for name in ("elapsed_s", "fraction", "eta_s")]
+    return found.select("label", F.array_join(F.json_object_keys("b"), " ").alias("fields"), at("slots").cast("int").alias("slots"), *numbers, at("text").alias("text"), at("error").alias("error"))
+
+
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, folded to the last event of each build and hour."""
     from matgraph.streaming.fold import fold_stream
@@ -324,9 +455,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         step_materialized, step_cached_twice, step_chain, gather_union, value_step, child_partition, rename_alias, symlink_alias,
-        blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, labels, nodes_once, archive_entries, scheduled_graph, parse_message, coalesce_last,
+        blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, labels, nodes_once, archive_entries, archive_member, stock_steps, scheduled_graph,
+        reported_progress, failed_runs, parse_message, coalesce_last,
         latest_state, fraction, build_eta, status_counts, snapshot_eta, summary_line, fmt_elapsed, running_list, transition_log, log_lines,
-        status_json, progress_stream,
+        status_json, build_json, progress_stream,
     )
 }
 
@@ -436,6 +568,20 @@ ORACLE = {
     "status_json": f"""WITH {_STATES} SELECT done AS n_done, blocked AS n_blocked, {_SUMMARY} AS summary, running + waiting AS n_running,
         (SELECT arg_min(label, {{'a': coalesce(started_at, 0), 'b': label}}) FROM states WHERE status IN ('running', 'waiting')) AS first_running,
         failed AS n_failed, (SELECT arg_min(error, label) FROM states WHERE status = 'failed') AS first_error, CAST(NULL AS VARCHAR) AS no_text,
-        pending AS n_pending, (SELECT min(name) FROM states WHERE status = 'blocked') AS first_blocked FROM snap""",
+        pending AS n_pending, (SELECT min(name) FROM (SELECT arg_min(name, label) AS name FROM states WHERE status = 'blocked')) AS first_blocked,
+        'time started elapsed_s eta_s summary counts running pending failed blocked' AS fields, round(elapsed_s, 1) AS elapsed_s, round(eta_s, 1) AS eta_s, true AS has_times FROM snap""",
+    "build_json": f"""WITH {_STATES}, told AS (
+          SELECT *, CASE WHEN fraction <> 0 AND elapsed_s <> 0 THEN round(elapsed_s / fraction - elapsed_s, 1) END AS eta FROM timed)
+        SELECT label, 'name label pool slots status elapsed_s' || CASE WHEN fraction IS NOT NULL THEN ' fraction' ELSE '' END || CASE WHEN eta IS NOT NULL THEN ' eta_s' ELSE '' END
+          || CASE WHEN text <> '' THEN ' text' ELSE '' END || CASE WHEN error <> '' THEN ' error' ELSE '' END AS fields, slots,
+          round(elapsed_s, 1) AS elapsed_s, round(fraction, 4) AS fraction, eta AS eta_s, nullif(text, '') AS text, nullif(error, '') AS error FROM told""",
+    "archive_member": """SELECT n_name || kind AS archive, 'member' AS entry, strlen(n_name) AS length, n_name AS content FROM nation, (VALUES ('.tar.gz'), ('.zip')) k(kind)""",
+    "stock_steps": """SELECT step, r_regionkey, r_name AS name FROM region, (VALUES ('tar'), ('zip'), ('member')) s(step)
+        UNION ALL SELECT step, r_regionkey, r_name FROM region, (VALUES ('file'), ('path'), ('link'), ('renamed'), ('child of a renamed folder'), ('constant')) s(step) WHERE r_regionkey = 0""",
+    "reported_progress": """SELECT 'region' || r_regionkey AS name, 'done' AS status, CAST(r_regionkey + 10 AS DOUBLE) AS total,
+        r_name || CASE WHEN r_regionkey % 2 = 1 THEN ' in a child' ELSE '' END AS text, true AS took_time FROM region""",
+    "failed_runs": """SELECT 'failures' AS "case", 'RealizeError' AS error, CAST(count(*) AS INTEGER) AS n_failed, CAST(count(*) + 1 AS INTEGER) AS n_blocked, true AS at_once FROM region
+        UNION ALL SELECT * FROM (VALUES ('no output', 'RealizeError', 1, 1, true), ('the first failure', 'RealizeError', 1, 1, true),
+          ('more slots than the pool has', 'ValueError', 0, 0, true), ('not a step', 'TypeError', 0, 0, true))""",
     "progress_stream": _LAST,
 }
