@@ -5,16 +5,20 @@ holds the merge table (left id, right id, merged id = rank). The pieces of the
 pattern that the partition's cache doesn't know become token-position rows; a
 recursive query joins neighbouring positions with the merge table and contracts
 each piece's leftmost pair of least rank, until no piece has one. An ordered
-aggregation gives each piece's ids and, through the vocabulary, its bytes back.
+aggregation gives each piece's ids. Decoding joins the (text, position, id) rows of
+every text to the vocabulary and aggregates them in order.
 The pattern is applied by the ``regex`` module, as DuckDB's engine has no
 lookahead. Nothing is shuffled; memory is bounded by ``BLOCK`` characters of
-pieces, ``CACHE`` cached pieces and DuckDB's own limit.
+pieces, ``WORK`` rows of a recursion, ``TOKENS`` rows of a decoding, ``CACHE`` cached
+pieces and DuckDB's own limit.
 
-A piece of more than ``LONG`` bytes (one unbroken run of letters, say) would
-take the recursion quadratic time; it is contracted by the same rule over a heap.
+The recursion keeps every step, so a piece of n bytes makes up to n * n / 2 rows and takes
+quadratic time. One of more than ``LONG`` bytes (an unbroken run of letters, say) is
+contracted by the same rule over a heap, and isn't cached.
 
-Defined results: a null text is the empty text, with no tokens; every row gives
-one row, repeats and null ids included; other columns are ignored.
+Defined results: a null text is the empty text, with no tokens; a very long text is
+encoded and decoded in parts; every row gives one row, repeats and null ids included; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +40,11 @@ from ._base import map_arrow, text_of
 BLOCK = 4 << 20
 #: Pieces in each of the cache's two generations.
 CACHE = 200_000
-LONG = 1024
-#: Pieces that go through one recursive query.
-QUERY = 20_000
+LONG = 128
+#: Pieces that go through one recursive query, and rows that it may make.
+QUERY, WORK = 20_000, 2_000_000
+#: Tokens that are decoded by one query.
+TOKENS = 500_000
 
 #: key is the piece's number and the token's place in it, which stays dense: a step
 #: contracts one pair of each piece that still has one.
@@ -55,13 +61,14 @@ WITH RECURSIVE step(it, key, id) AS (
   WHERE s.key <> best.at + 1
 ),
 last AS (SELECT key >> 16 AS piece, max(it) AS it FROM step GROUP BY 1)
-SELECT list({'id': s.id, 'bytes': v.bytes} ORDER BY s.key) AS tokens
-FROM step s JOIN last ON last.piece = s.key >> 16 AND last.it = s.it JOIN vocabulary v ON v.id = s.id
+SELECT list(s.id ORDER BY s.key) AS ids
+FROM step s JOIN last ON last.piece = s.key >> 16 AND last.it = s.it
 GROUP BY s.key >> 16 ORDER BY s.key >> 16
 """
 
+#: The vocabulary's bytes as characters of that number, as a token may end within a character.
 DECODE = """
-SELECT doc, list(v.bytes ORDER BY pos) AS bytes
+SELECT doc, string_agg(v.chars, '' ORDER BY pos) AS chars
 FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY doc ORDER BY doc
 """
 
@@ -80,6 +87,7 @@ class Codec:
         self.find = regex.compile(pattern)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": ""})
         get = self.ranks.get
@@ -92,7 +100,7 @@ class Codec:
         m = np.array(merges, np.int64).reshape(-1, 3)
         for name, rows in (
             ("merges", pa.table({"pair": m[:, 0] << 16 | m[:, 1], "merged": m[:, 2]})),
-            ("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "bytes": list(self.ranks)})),
+            ("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "chars": [b.decode("latin-1") for b in self.ranks]})),
         ):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -128,78 +136,86 @@ class Codec:
         return [x for x, live in zip(ids, alive) if live]
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Bring all these pieces into the young generation, as packed ids. Each piece is
-        decoded again by the ordered aggregation, and the result held against the piece,
-        so that the cache needn't hold it twice."""
-        missing, seeds = [], []
-        for p in set(pieces):
-            if p in self.young:
-                continue
-            if (known := self.old.get(p)) is None:
+        """Bring all these pieces into the young generation, as packed ids."""
+        missing: list[tuple[int, bytes, str]] = []
+        young, old, rank_of = self.young, self.old, self.ranks.get
+        for p in set(pieces).difference(young):
+            if (known := old.get(p)) is None:
                 raw = p.encode()
-                if (rank := self.ranks.get(raw)) is not None:
-                    known = np.uint32(rank).tobytes()
-                elif len(raw) > LONG:
-                    ids = self._contract_long(raw)
-                    if self.decode([ids]) != [raw]:
-                        raise ValueError(f"ids of {p[:50]!r}... decode to other bytes")
-                    known = np.array(ids, "<u4").tobytes()
-            if known is None:
-                missing.append(p)
-                seeds.append(raw)
-            else:
-                self.young[p] = known
-        for at in range(0, len(missing), QUERY):
-            raws = seeds[at : at + QUERY]
-            n = np.fromiter(map(len, raws), np.int64, len(raws))
-            wid = np.repeat(np.arange(len(raws)), n)
-            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            seed = pa.table({"key": wid << 16 | pos, "id": self.byte_ids[np.frombuffer(b"".join(raws), np.uint8)]})
-            self.db.register("seed", seed)
-            got = self.db.sql(ENCODE).to_arrow_table().column(0).combine_chunks()
-            ends, tokens = got.offsets.to_numpy(), got.values
-            ids = tokens.field("id").to_numpy().astype("<u4").tobytes()
-            raw = tokens.field("bytes")
-            cuts = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset :][ends]
-            data = raw.buffers()[2].to_pybytes()
-            if data[cuts[0] : cuts[-1]] != b"".join(raws) or (np.diff(cuts) != n).any():
-                raise ValueError("ids decode to other bytes than their pieces")
-            for p, a, b in zip(missing[at : at + QUERY], ends.tolist(), ends[1:].tolist()):
-                self.young[p] = ids[4 * a : 4 * b]
-            self.db.unregister("seed")
-
-    def decode(self, docs: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids."""
-        n = np.fromiter(map(len, docs), np.int64, len(docs))
-        flat = np.fromiter(itertools.chain.from_iterable(docs), np.int64, int(n.sum()))
-        doc = np.repeat(np.arange(len(docs)), n)
-        self.db.register("tokens", pa.table({"doc": doc, "pos": np.arange(len(flat)), "id": flat}))
-        out = [b""] * len(docs)
-        for i, raw in self.db.execute(DECODE).fetchall():
-            out[i] = b"".join(raw)
-        self.db.unregister("tokens")
+                if (rank := rank_of(raw)) is not None:
+                    known = rank.to_bytes(4, "little")
+                elif len(raw) <= LONG:
+                    missing.append((len(raw), raw, p))
+                    continue
+                else:
+                    known = np.array(self._contract_long(raw), "<u4").tobytes()
+                    self.long.append(p)
+            young[p] = known
+        # Pieces of like length together, as many as WORK allows.
+        missing.sort()
+        at = 0
+        while at < len(missing):
+            end, work = at, 0
+            while end < len(missing) and end - at < QUERY and (end == at or work + missing[end][0] ** 2 // 2 <= WORK):
+                work += missing[end][0] ** 2 // 2
+                end += 1
+            self._contract(missing[at:end])
+            at = end
+
+    def _contract(self, given: list[tuple[int, bytes, str]]) -> None:
+        n = np.fromiter((k for k, _, _ in given), np.int64, len(given))
+        wid = np.repeat(np.arange(len(given)), n)
+        pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        raw = np.frombuffer(b"".join(r for _, r, _ in given), np.uint8)
+        self.db.register("seed", pa.table({"key": wid << 16 | pos, "id": self.byte_ids[raw]}))
+        got = self.db.sql(ENCODE).to_arrow_table().column(0).combine_chunks()
+        self.db.unregister("seed")
+        ids, ends = got.values.to_numpy().astype("<u4").tobytes(), got.offsets.to_numpy().tolist()
+        for (_, _, p), a, b in zip(given, ends, ends[1:]):
+            self.young[p] = ids[4 * a : 4 * b]
+
+    def decode(self, texts: list[bytes]) -> list[bytes]:
+        """The bytes of each list of packed ids."""
+        n = np.fromiter(map(len, texts), np.int64, len(texts)) // 4
+        flat = np.frombuffer(b"".join(texts), "<u4").astype(np.int32)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), n)
+        out = [b""] * len(texts)
+        for at in range(0, len(flat), TOKENS):
+            part = slice(at, at + TOKENS)
+            self.db.register("tokens", pa.table({"doc": doc[part], "pos": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}))
+            got = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("tokens")
+            for i, chars in zip(got.column(0).to_pylist(), got.column(1)):
+                out[i] += chars.as_py().encode("latin-1")
         return out
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= BLOCK:
             yield self.find.findall(text)
             return
-        found = (m[0] for m in self.find.finditer(text))
-        while block := list(itertools.islice(found, BLOCK // 4)):
-            yield block
+        held, size = [], 0
+        for m in self.find.finditer(text):
+            held.append(m[0])
+            size += len(held[-1])
+            if size > BLOCK or len(held) > BLOCK // 4:
+                yield held
+                held, size = [], 0
+        yield held
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each text its ids, as packed little-endian unsigned 32-bit integers, and the
-        bytes that they decode to. ``texts`` holds about BLOCK characters or is one."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids, as packed little-endian unsigned 32-bit integers.
+        ``texts`` holds about BLOCK characters or is one."""
         if len(texts) == 1 and len(texts[0]) > BLOCK:
-            parts = [self._joined([block])[0] for block in self.pieces(texts[0])]
-            return [(b"".join(a for a, _ in parts), b"".join(b for _, b in parts))]
+            return [b"".join(self._joined([block])[0] for block in self.pieces(texts[0]))]
         return self._joined([self.find.findall(t) for t in texts])
 
-    def _joined(self, found: list[list[str]]) -> list[tuple[bytes, bytes]]:
+    def _joined(self, found: list[list[str]]) -> list[bytes]:
         self.learn(itertools.chain.from_iterable(found))
         get = self.young.__getitem__
-        out = [(b"".join(map(get, pieces)), "".join(pieces).encode()) for pieces in found]
+        out = [b"".join(map(get, pieces)) for pieces in found]
+        for p in self.long:
+            del self.young[p]
+        self.long.clear()
         if len(self.young) > CACHE:
             self.old, self.young = self.young, {}
         return out
@@ -240,10 +256,10 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_
         for batch in batches:
             at = 0
             for block in _blocks(x.as_py() for x in batch.column(1)):
-                pairs = own.encode(block)
+                ids = own.encode(block)
+                decoded = own.decode(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(block)), pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())],
-                    names=["doc_id", "ids", "decoded"],
+                    [batch.column(0).slice(at, len(block)), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"]
                 )
                 at += len(block)
         own.old.clear()
@@ -262,7 +278,7 @@ def decode(rows: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                ids = [np.frombuffer(x or b"", "<u4").tolist() for x in part.column(1).to_pylist()]
+                ids = [x or b"" for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.decode(ids), pa.binary())], names=["doc_id", "decoded"])
 
     return map_arrow(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), of_batches, "doc_id long, decoded binary")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -19,8 +20,8 @@ def reference():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(FILE), special_tokens={})
 
 
-def ids_of(pair):
-    return [int.from_bytes(pair[0][i : i + 4], "little") for i in range(0, len(pair[0]), 4)]
+def ids_of(packed):
+    return [int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)]
 
 
 def samples():
@@ -35,15 +36,16 @@ def test_equals_the_library(own, reference):
     for t in samples():
         (got,) = own.encode([t])
         assert ids_of(got) == reference.encode_ordinary(t), repr(t)
-        assert got[1] == t.encode() and own.decode([ids_of(got)]) == [t.encode()]
+        assert own.decode([got]) == [t.encode()]
 
 
 def test_long_pieces_and_texts(own, reference, monkeypatch):
     rng = random.Random(6)
     long = "".join(rng.choice("abcdefgh") for _ in range(5000))
     assert ids_of(own.encode([long])[0]) == reference.encode_ordinary(long)
-    with_recursion = "".join(rng.choice("abcdefgh") for _ in range(700))
+    with_recursion = "".join(rng.choice("abcdefgh") for _ in range(bpe.LONG))
     assert own._contract_long(with_recursion.encode()) == ids_of(own.encode([with_recursion])[0])
+    assert not own.long and long not in own.young
     monkeypatch.setattr(bpe, "BLOCK", 1000)
     text = "Some words, and 12 numbers.\n\n  " * 300
     assert ids_of(own.encode([text])[0]) == reference.encode_ordinary(text)
@@ -60,7 +62,23 @@ def test_encode_and_decode_tables(spark, reference):
     rows = spark.createDataFrame([(i, t, "clash", "clash") for i, t in texts], "doc_id long, text string, ids string, decoded string")
     got = bpe.encode(rows, FILE, public_tokenizers.PATTERN)
     want = sorted((str(i), reference.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts)
-    assert sorted((str(r["doc_id"]), ids_of((bytes(r["ids"]),)), bytes(r["decoded"])) for r in got.collect()) == want
+    assert sorted((str(r["doc_id"]), ids_of(bytes(r["ids"])), bytes(r["decoded"])) for r in got.collect()) == want
     back = bpe.decode(got, FILE, public_tokenizers.PATTERN)
     assert sorted((str(r["doc_id"]), bytes(r["decoded"])) for r in back.collect()) == sorted((a, c) for a, _, c in want)
     assert bpe.encode(rows.limit(0), FILE, public_tokenizers.PATTERN).collect() == []
+
+
+@pytest.mark.parametrize("length", [60, bpe.LONG, 200, 900])
+def test_many_long_pieces_stay_within_memory(own, reference, length):
+    rng = random.Random(length)
+    text = " ".join("".join(rng.choice("acgt") for _ in range(length)) for _ in range(20_000 if length == 60 else 2000))
+    (got,) = own.encode([text])
+    assert ids_of(got) == reference.encode_ordinary(text) and own.decode([got]) == [text.encode()]
+
+
+def test_decoding_reads_the_ids_and_nothing_else(own, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "TOKENS", 7)
+    texts = samples()[:40]
+    packed = [np.array(reference.encode_ordinary(t)[::-1], "<u4").tobytes() for t in texts]
+    assert own.decode(packed) == [b"".join(reference.decode_single_token_bytes(i) for i in reference.encode_ordinary(t)[::-1]) for t in texts]
+    assert own.decode([]) == [] and own.decode([b""]) == [b""]
