@@ -12,23 +12,26 @@ task finds leaves it as a spanning forest, and components are joined by hooking
 and contraction.
 
 Defined results: null and wordless texts have fingerprint zero and are linked
-like any other; a document with a null id counts as a copy of its class, and a
-class of null ids alone has a null component; repeated rows give repeated rows;
+like any other; the shingles of a very long text are counted block by block; a document
+with a null id counts as a copy of its class, and a component of null ids alone has a
+null id; rows with equal ids are documents of their own; repeated rows give repeated rows;
 an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import map_arrow, staged, text_of, word_blocks
+from ._base import column_of, map_arrow, staged, text_of, word_blocks
 from ._graph import components
+from ._rows import leave_out, marks, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -43,9 +46,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _LANES = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
 
 
-def shingle_hashes(text: bytes, width: int = SHINGLE) -> list[int]:
-    """The XXH64 of each shingle, in order."""
-    out: list[int] = []
+def shingle_hashes(text: bytes, width: int = SHINGLE) -> Iterator[list[int]]:
+    """The XXH64 of each shingle, in order, as lists of bounded length."""
     tail: list[bytes] = []
     h = xxhash.xxh64_intdigest
     n = 0
@@ -55,13 +57,12 @@ def shingle_hashes(text: bytes, width: int = SHINGLE) -> list[int]:
         if len(words) >= width:
             ends = list(itertools.accumulate(map(len, words), lambda a, w: a + w + 1, initial=0))
             joined = b" ".join(words)
-            out += [h(joined[a : b - 1], SEED) for a, b in zip(ends, ends[width:])]
+            yield [h(joined[a : b - 1], SEED) for a, b in zip(ends, ends[width:])]
             tail = words[-(width - 1) :] if width > 1 else []
         else:
             tail = words
     if n and n < width:
-        out.append(h(b" ".join(tail), SEED))
-    return out
+        yield [h(b" ".join(tail), SEED)]
 
 
 def _bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -79,33 +80,41 @@ def _bit_counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return counts
 
 
-def _majority(hashes: list[int], sizes: list[int]) -> np.ndarray:
-    n = np.array(sizes, np.int64)
-    out = np.zeros(len(n), np.uint64)
-    if (full := n > 0).any():
-        set_ = 2 * _bit_counts(np.array(hashes, np.uint64), n[full]) > n[full][:, None]
-        out[full] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+def prints(texts: Iterable[bytes], n: int) -> np.ndarray:
+    """The fingerprints of n texts."""
+    counts, total = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
+    hashes: list[int] = []
+    sizes: list[int] = []
+    owner: list[int] = []
+
+    def flush() -> None:
+        if hashes:
+            own, size = np.array(owner), np.array(sizes, np.int64)
+            np.add.at(counts, own, _bit_counts(np.array(hashes, np.uint64), size))
+            np.add.at(total, own, size)
+        hashes.clear(), sizes.clear(), owner.clear()
+
+    for i, text in enumerate(texts):
+        for part in shingle_hashes(text):
+            hashes.extend(part)
+            sizes.append(len(part))
+            owner.append(i)
+            if len(hashes) >= FLUSH:
+                flush()
+    flush()
+    return np.packbits(2 * counts > total[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, x, fp): the fingerprint as a signed long, and what names the text."""
 
     def of_batches(batches):
         for batch in batches:
-            ids, fps, hashes, sizes = batch.column(0), [], [], []
-            for text in batch.column(1):
-                found = shingle_hashes(text.as_py())
-                hashes += found
-                sizes.append(len(found))
-                if len(hashes) >= FLUSH:
-                    fps.append(_majority(hashes, sizes))
-                    hashes, sizes = [], []
-            fps.append(_majority(hashes, sizes))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(fps).view(np.int64))], names=["doc_id", "fp"])
+            fps = prints(column_of(batch, 2), batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "x", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    return map_arrow(rows, of_batches, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("x"), text_of(text_col).cast("binary").alias("text"))
+    return map_arrow(rows, of_batches, "doc_id long, x long, fp long")
 
 
 def trie_pairs(values: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -216,16 +225,30 @@ def links(classes: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
     return map_arrow(dealt, _linked, "a long, b long")
 
 
+def _named(facts: DataFrame) -> DataFrame:
+    """(fp, root): of each fingerprint the least of its component, by which that is named."""
+    prints = staged(facts.select("fp").distinct(), "classes")
+    roots = components(links(prints.select("fp", F.col("fp").alias("rep"))))
+    return staged(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "components")
+
+
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, fp, component_id."""
     facts = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = staged(facts.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = components(links(classes.filter("rep is not null")))
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return facts.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = _named(facts)
+    least = facts.groupBy("fp").agg(F.min("doc_id").alias("id")).join(named, "fp")
+    ids = least.groupBy("root").agg(F.min("id").alias("component_id"))
+    return facts.join(named.join(ids, "root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each component; rows with a null id stay."""
-    gone = membership(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each component: the smallest id (null after all others), then
+    the least hash of the text; of rows equal in both, one (see :func:`._rows.leave_out`). Rows
+    are told apart by id and text, so ids may repeat and be null."""
+    facts = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+    named = _named(facts)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "x")
+    least = facts.groupBy("fp").agg(F.min(order).alias("first")).join(named, "fp")
+    first = staged(least.groupBy("root").agg(F.min("first").alias("first")), "firsts")
+    found = facts.join(named.join(first, "root"), "fp")
+    return leave_out(docs, marks(found, order.eqNullSafe(F.col("first"))), id_col, text_col)

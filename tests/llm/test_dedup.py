@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -7,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from matgraph.llm import exact_dedup, simhash
+from matgraph.llm import _rows, exact_dedup, simhash
 from matgraph.llm._graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, digest string"
@@ -48,6 +49,31 @@ def test_misra_gries_keeps_every_frequent_value(spark):
     assert 1000 - 3000 / 5 <= found[b"hot"] <= 1000
 
 
+ODD = [
+    (1, "alpha beta"), (5, "alpha beta"), (5, "quite another text"), (7, "z z"), (7, "z z"), (7, "z  z"), (None, "z z"),
+    (None, "only without an id"), (None, "only without an id"), (None, "its own"), (9, None), (9, ""), (8, " "), (None, None),
+]
+
+
+def texts_of(rows):
+    return sorted(((r["doc_id"], r["text"] or "") for r in rows.collect()), key=repr)
+
+
+@pytest.mark.parametrize("broadcast", [_rows.BROADCAST_ROWS, 0])
+def test_one_row_of_each_group_stays(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(_rows, "BROADCAST_ROWS", broadcast)
+    given = docs(spark, ODD)
+    want = [(1, "alpha beta"), (5, "quite another text"), (7, "z  z"), (None, "only without an id"), (None, "its own"), (8, " ")]
+    assert texts_of(exact_dedup.drop_copies(given)) == sorted(want, key=repr)
+    kept = texts_of(simhash.keep_one(given))
+    # To SimHash all spaces are alike, and of one id's texts either may stay.
+    assert [(i, " ".join(t.split())) for i, t in kept] == sorted(((i, " ".join(t.split())) for i, t in want), key=repr)
+    for f in (exact_dedup.drop_copies, simhash.keep_one):
+        assert f(given).columns == given.columns and texts_of(f(given.repartition(3))) == texts_of(f(given)) and f(given.limit(0)).count() == 0
+        many = docs(spark, [(4, "same row")] * 300 + [(None, "same row")] * 300)
+        assert texts_of(f(many)) == [(4, "same row")]
+
+
 def plain_fingerprint(text):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
@@ -97,6 +123,9 @@ def test_simhash_against_brute_force(spark, monkeypatch, bucket):
 def test_simhash_of_odd_rows(spark):
     got = simhash.membership(docs(spark, [(None, "a b c"), (7, "a b c"), (7, "a b c"), (None, "x y z w")])).collect()
     assert len(got) == 4 and {r["component_id"] for r in got if r["doc_id"] == 7} == {7}
+    texts = [(3, "a b c"), (5, "a b c"), (5, "another text with words"), (6, "another text with words"), (None, "x y z w")]
+    got = simhash.membership(docs(spark, texts)).collect()  # an id of two texts joins nothing
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == [("3", "3"), ("5", "3"), ("5", "5"), ("6", "5"), ("None", "None")]
     assert simhash.membership(docs(spark, [])).count() == 0
 
 
@@ -111,7 +140,7 @@ def test_trie_pairs_are_exact(values, shift):
 
 def test_words_survive_block_borders():
     text = b" ".join(b"w%d" % i for i in range(1000)) * 3
-    assert simhash.shingle_hashes(text) == [
+    assert list(itertools.chain(*simhash.shingle_hashes(text))) == [
         xxhash.xxh64_intdigest(b" ".join(w), 42) for w in zip(text.split(), text.split()[1:], text.split()[2:])]
     from matgraph.llm._base import word_blocks
 
