@@ -19,9 +19,10 @@ one vector don't hide each other's smallest ids.
 
 Defined results: vectors that are null, zero, of another length than most, or that
 hold null or non-finite components take no part; rows with a null id neither;
-rows that repeat a query's id are not its neighbours; a query without other
-candidates gives no row; an empty table gives an empty result; other columns are
-ignored.
+rows that repeat an id and a vector count once; an id of several vectors is searched with
+each, and found with each score; rows that repeat a query's id are not its neighbours; a
+query without other candidates gives no row; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,6 +120,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     good = given.filter(~F.exists("v", bad)).withColumn("norm", F.sqrt(length)).filter("norm > 0 and norm < double('Infinity')")
+    good = staged(good.dropDuplicates(["vec_id", "v"]), "vectors")
     sizes = good.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("radius"))
     size = sizes.orderBy(F.desc("n"), "size").first()
     schema = "query_id long, rank int, vec_id long, score double"
@@ -171,6 +173,6 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 
     found = map_arrow(dealt, search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # A query among repeated ids is searched once for each; its rows then repeat.
+    # An id's vectors may find one row, of one score, several times.
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

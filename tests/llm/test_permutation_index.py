@@ -55,3 +55,14 @@ def test_copies_beyond_the_candidates(spark, monkeypatch):
     got = P.nearest(table(spark, rows), F.col("vec_id").isin(100, 7), 8).orderBy("query_id", "rank").collect()
     best = {q: [r["vec_id"] for r in got if r["query_id"] == q and abs(r["score"] - 10.25) < 1e-9] for q in (7, 100)}
     assert best[100] == sorted(best[100]) and best[7] == sorted(best[7]) and len(best[7]) + len(best[100]) > 0
+
+
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, [1.0, 0.5])] * 40 + [(20, [1.0, 0.0])] * 3 + [(100 + i, v) for i, v in enumerate(rng.normal(size=(26, 2)).tolist())]
+    got = P.nearest(table(spark, rows), F.col("vec_id") == 20, 20).orderBy("rank").collect()
+    best = sorted(((-v[0], i) for i, v in dict(rows).items() if i != 20))[:20]
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(n + 1, i) for n, (_, i) in enumerate(best)]
+    two = [(1, [1.0, 0.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (20, [1.0, 0.0]), (2, [0.7, 0.0])]
+    got = P.nearest(table(spark, two), F.col("vec_id") == 20, 20).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1.0), (2, 0.7), (1, 0.5)]
