@@ -90,7 +90,7 @@ QUERIES = {
 
 ORACLE = {
     "op9_quotation": r"""
-        WITH base AS (
+        WITH RECURSIVE base AS (
           SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text FROM conversations),
         numbered AS (
           SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS id,
@@ -131,20 +131,29 @@ ORACLE = {
           FROM (SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n[ \t]*\n'), string_split(body, chr(10)))) AS unit
                 FROM messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
         own AS (SELECT norm, conv_id, min(turn) AS own_turn FROM held GROUP BY ALL),
-        firsts AS (SELECT norm, min({'conv': conv_id, 'turn': own_turn}) AS f FROM own GROUP BY ALL),
+        firsts AS (SELECT norm, f[1] AS f, f[2] AS g FROM (SELECT norm, min({'conv': conv_id, 'turn': own_turn}, 2) AS f FROM own GROUP BY ALL)),
         found AS (
           SELECT q.*, own_turn < q.turn AS near,
                  CASE WHEN own_turn < q.turn THEN {'conv': q.conv_id, 'turn': own_turn}
-                      WHEN f.conv <> q.conv_id AND len(string_split(q.norm, ' ')) >= 3 THEN f END AS original
+                      WHEN len(string_split(q.norm, ' ')) < 3 THEN NULL
+                      WHEN f.conv <> q.conv_id THEN f WHEN f.conv = q.conv_id THEN g END AS original
           FROM quotes q LEFT JOIN own ON own.norm = q.norm AND own.conv_id = q.conv_id LEFT JOIN firsts ON firsts.norm = q.norm),
         links AS (
           SELECT id, count(DISTINCT run) AS n_quotes, count(DISTINCT run) FILTER (original IS NOT NULL) AS n_linked,
                  arg_min(original, {'a': level, 'b': run, 'c': NOT coalesce(near, false), 'd': kind, 'e': pos}) FILTER (original IS NOT NULL) AS reply
-          FROM found GROUP BY id)
-        SELECT conv_id, turn,
-               CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST) END AS position,
-               role, body, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, reply.conv AS reply_conv, reply.turn AS reply_turn
-        FROM messages LEFT JOIN links USING (id)""",
+          FROM found GROUP BY id),
+        joined AS (SELECT DISTINCT conv_id AS a, reply.conv AS b FROM messages JOIN links USING (id) WHERE reply.conv < conv_id),
+        reach AS (
+          SELECT a AS node, a AS other FROM joined UNION SELECT b, b FROM joined UNION
+          SELECT reach.node, CASE WHEN e.a = reach.other THEN e.b ELSE e.a END FROM reach JOIN joined e ON reach.other IN (e.a, e.b)),
+        threads AS (SELECT node, min(other) AS thread_id FROM reach GROUP BY node),
+        placed AS (
+          SELECT id, coalesce(thread_id, conv_id) AS thread_id,
+                 row_number() OVER (PARTITION BY coalesce(thread_id, conv_id) ORDER BY conv_id, turn, role NULLS FIRST) AS position
+          FROM messages LEFT JOIN threads ON node = conv_id WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+        SELECT conv_id, turn, thread_id, position, role, body, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
+               reply.conv AS reply_conv, reply.turn AS reply_turn
+        FROM messages LEFT JOIN links USING (id) LEFT JOIN placed USING (id)""",
     "op1_warc": r"""
         WITH digests AS (
           SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),

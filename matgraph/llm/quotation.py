@@ -9,16 +9,19 @@ that holds the passage and comes before it, else the first of all other conversa
 first two for each hash (and one for each conversation) before the join, a passage that very
 many messages quote, or hold, makes one row for each quote and no pairs.
 
-A message replies to the original of its first outermost linked passage. Originals
-in the same conversation come earlier, so the order of turns is a reply order; a
-message's position in it is counted by spans of ``SPAN`` turns, so that no task
-needs a whole conversation.
-
-Defined results: a null text is empty; rows with a null conversation or turn are
-kept, aren't linked and don't serve as originals, and have a null position; rows
-that repeat a conversation and turn are positioned by role and text; a quote that
-only its own message holds is not linked; an empty table gives an empty result;
-other columns are ignored.
+A message replies to the original of its first outermost linked passage. Conversations
+that replies join are one thread: the ids of conversations are taken for the order in which
+they began, so a reply joins its conversation to an earlier one, and one to a later
+conversation is told but joins nothing. A thread is named by its first conversation, and is
+ordered by conversation, then turn: as originals come earlier in both, that is a reply order.
+A message's position in its thread is counted by spans of ``SPAN`` turns, and of ``SPAN``
+conversations, so that no task needs a whole conversation, or a row for each of a thread's.
+
+Defined results: a null text is empty; a very long text is split where it is read; rows with
+a null conversation or turn are kept, aren't linked and don't serve as originals, and have a
+null thread and position; rows that repeat a conversation and turn are positioned by role
+and text; a quote that only its own message holds is not linked; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._base import small_batches, staged, text_of
+from ._graph import components
 
 MARKS = r"^[ \t]{0,3}(?:>[ \t]?)+"
 ATTRIBUTION = r"(?i)^(?:on .* wrote|le .* a écrit|am .* schrieb .*|el .* escribió|.{1,60} (?:wrote|said)):[ \t]*$"
@@ -84,7 +88,7 @@ def passages(rows: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """(key, n_quotes, n_linked, reply_conv, reply_turn) for parsed messages with quotes."""
+    """(key, own_conv, n_quotes, n_linked, reply_conv, reply_turn) for parsed messages with quotes."""
     quotes = staged(
         passages(rows).withColumn("unit", F.explode(_units(F.col("passage")))).select(
             "key", "conv_id", "turn", "run", "level", "unit.kind", "unit.at", _digest(F.col("unit.norm")).alias("digest"),
@@ -106,38 +110,66 @@ def links(rows: DataFrame) -> DataFrame:
     found = found.withColumn("original", F.coalesce(own, other))
     rank = F.when(F.col("original").isNotNull(), F.struct("level", "run", own.isNull().alias("far"), "kind", "at"))
     return found.groupBy("key").agg(
+        F.max("conv_id").alias("own_conv"),
         F.countDistinct("run").alias("n_quotes"),
         F.countDistinct(F.when(F.col("original").isNotNull(), F.col("run"))).alias("n_linked"),
         F.min_by("original", rank).alias("reply"),
-    ).select("key", "n_quotes", "n_linked", F.col("reply.conv").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"))
+    ).select("key", "own_conv", "n_quotes", "n_linked", F.col("reply.conv").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"))
+
+
+def threads(found: DataFrame) -> DataFrame:
+    """(conv_id, thread_id) of the conversations that replies of :func:`links` join to an earlier
+    one."""
+    joined = found.filter("reply_conv < own_conv").select(F.col("own_conv").alias("a"), F.col("reply_conv").alias("b"))
+    return components(joined).select(F.col("node").alias("conv_id"), F.col("root").alias("thread_id"))
+
+
+def _before(group: list[str], order: str, n: str) -> Column:
+    """What the rows before have together, in their group."""
+    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(n).over(before), F.lit(0))
+
+
+def _offsets(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(conv_id, span, thread_id, before): the messages of a thread before each span."""
+    spans = rows.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("n")).join(threads(found), "conv_id", "left")
+    spans = staged(spans.withColumn("thread_id", F.coalesce("thread_id", "conv_id")).withColumn("block", F.floor(F.col("conv_id") / SPAN)), "spans")
+    convs = spans.groupBy("thread_id", "block", "conv_id").agg(F.sum("n").alias("n"))
+    blocks = convs.groupBy("thread_id", "block").agg(F.sum("n").alias("n"))
+    in_block = convs.withColumn("in_block", _before(["thread_id", "block"], "conv_id", "n")).drop("n")
+    in_thread = blocks.withColumn("in_thread", _before(["thread_id"], "block", "n")).drop("n")
+    in_conv = spans.withColumn("in_conv", _before(["conv_id"], "span", "n"))
+    return in_conv.join(in_block, ["thread_id", "block", "conv_id"]).join(in_thread, ["thread_id", "block"]).select(
+        "conv_id", "span", "thread_id", (F.col("in_thread") + F.col("in_block") + F.col("in_conv")).alias("before")
+    )
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """One row for each message: conv_id, turn, position, role, body, n_quotes,
-    n_linked, reply_conv, reply_turn; positions count from 1."""
+    """One row for each message: conv_id, turn, thread_id, position, role, body, n_quotes,
+    n_linked, reply_conv, reply_turn; positions count a thread's messages from 1."""
     small_batches(messages.sparkSession)
-    rows = parsed(messages)
+    rows = parsed(messages).withColumn("span", F.floor(F.col("turn") / SPAN))
     found = staged(links(rows), "links")
-    rows = rows.withColumn("span", F.floor(F.col("turn") / SPAN))
-    counts = rows.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.filter("conv_id is not null and span is not null").withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    offsets = staged(_offsets(rows.filter(placed), found), "offsets")
     inner = Window.partitionBy("conv_id", "span").orderBy("turn", F.col("role").asc_nulls_first(), "key")
-    at = rows.select("conv_id", "turn", "role", "body", "key", "span", F.row_number().over(inner).alias("inner"))
+    at = rows.filter(placed).withColumn("inner", F.row_number().over(inner)).join(offsets, ["conv_id", "span"])
+    at = at.withColumn("position", F.col("before") + F.col("inner"))
+    null = F.lit(None).cast("long")
+    rest = rows.filter(~placed).withColumn("thread_id", null).withColumn("position", null)
+    cols = ["conv_id", "turn", "thread_id", "position", "role", "body"]
     return (
-        at.join(counts, ["conv_id", "span"], "left")
+        at.select("key", *cols)
+        .unionByName(rest.select("key", *cols))
         .join(found, "key", "left")
-        .select(
-            "conv_id", "turn", (F.col("before") + F.col("inner")).alias("position"), "role", "body",
-            F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_conv", "reply_turn",
-        )
+        .select(*cols, F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_conv", "reply_turn")
     )
 
 
 def formatted(messages: DataFrame) -> DataFrame:
-    """(conv_id, part, text): conversations in reply order as chat markup without
-    quotes, in parts of at most SPAN positions."""
+    """(thread_id, part, text): threads in reply order as chat markup without quotes, in
+    parts of at most SPAN positions."""
     rows = linked(messages).filter("position is not null").withColumn("part", F.floor((F.col("position") - 1) / SPAN))
     turn = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "body")
-    told = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("position", turn.alias("said")))).alias("turns"))
-    return told.select("conv_id", "part", F.array_join(F.transform("turns", lambda t: t["said"]), "\n").alias("text"))
+    told = rows.groupBy("thread_id", "part").agg(F.array_sort(F.collect_list(F.struct("position", turn.alias("said")))).alias("turns"))
+    return told.select("thread_id", "part", F.array_join(F.transform("turns", lambda t: t["said"]), "\n").alias("text"))

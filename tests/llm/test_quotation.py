@@ -39,10 +39,21 @@ def test_links(spark):
     assert told[None, 1][3] in (None, 2) and told[6, 0] == (1, 0, None, None) and told[6, 2] == (1, 1, 6, 1)
     assert got[1, 1]["body"] == "Use sorted()." and got[1, 2]["body"] == "Thanks, and in reverse?" and got[3, 5]["body"] == "I see > you"
     assert [got[1, t]["position"] for t in range(4)] == [1, 2, 3, 4] and got[None, 1]["position"] is None and got[4, None]["position"] is None
+    # The reply in 3 to a message of 2 joins these two.
+    assert [(got[k]["thread_id"], got[k]["position"]) for k in ((2, 0), (2, 1), (2, 2), (3, 5), (3, 6), (1, 0), (6, 0))] == [
+        (2, 1), (2, 2), (2, 3), (2, 4), (2, 5), (1, 1), (6, 1)]
+    assert got[None, 1]["thread_id"] is None is got[4, None]["thread_id"]
 
 
-def test_equals_sql(spark):
-    rows = [r for r in ROWS if r[0] is not None]
+LATER = [  # the first holder is the quote's own conversation; a chain of threads; a reply to a later conversation
+    (5, 1, "user", "> one line of words\nand mine"), (5, 4, "user", "one line of words"), (9, 0, "user", "one line of words"),
+    (12, 1, "user", "> one line of words\nand mine"), (13, 0, "user", "> and mine to answer\nwell"), (12, 9, "user", "and mine to answer"),
+    (20, 1, "user", "> held here only later\nhm"), (20, 2, "user", "held here only later"), (None, 0, "user", "> one line of words"),
+]
+
+
+@pytest.mark.parametrize("rows", [ROWS, LATER, ROWS + [(r[0] and 10 * r[0], *r[1:]) for r in LATER]])
+def test_equals_sql(spark, rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
@@ -63,8 +74,28 @@ def test_long_conversations_and_hot_quotes(spark, monkeypatch, span):
     assert len(found) == 111 and sorted(r["position"] for r in found if r["conv_id"] == 9) == list(range(1, 62))
     assert {(r["reply_conv"], r["reply_turn"]) for r in found if r["conv_id"] >= 100} == {(9, 0)}
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
-    parts = [r for r in quotation.formatted(table(spark, rows)).collect() if r["conv_id"] == 9]
-    assert len(parts) == -(-61 // span) and sum(p["text"].count("<|user|>") for p in parts) == 61 and not any("\n>" in p["text"] for p in parts)
+    assert {r["thread_id"] for r in found} == {9} and sorted(r["position"] for r in found) == list(range(1, 112))
+    parts = quotation.formatted(table(spark, rows)).collect()
+    assert {p["thread_id"] for p in parts} == {9} and len(parts) == -(-111 // span)
+    assert sum(p["text"].count("<|user|>") for p in parts) == 111 and not any("\n>" in p["text"] for p in parts)
+
+
+def test_every_message_comes_after_the_one_it_replies_to(spark):
+    rows = [(c, t, "user", (f"> words of {c - 1} and {t}\n" if c % 5 else "") + f"words of {c} and {t}") for c in range(40) for t in range(3)]
+    got = {(r["conv_id"], r["turn"]): r for r in quotation.linked(table(spark, rows)).collect()}
+    assert {r["thread_id"] for r in got.values()} == set(range(0, 40, 5))
+    for r in got.values():
+        if r["reply_conv"] is not None:
+            original = got[r["reply_conv"], r["reply_turn"]]
+            assert original["thread_id"] == r["thread_id"] and original["position"] < r["position"]
+
+
+def test_rows_without_a_place_and_a_very_long_text(spark):
+    long = "> quoted words here\n" + "own line\n" * 200_000
+    rows = [(None, 1, "user", "x")] * 50 + [(1, None, "user", "y")] * 50 + [(2, 0, "user", "quoted words here"), (2, 1, "user", long)]
+    got = quotation.linked(table(spark, rows)).collect()
+    assert len(got) == 102 and sum(r["position"] is None and r["thread_id"] is None for r in got) == 100
+    assert [(r["reply_turn"], r["position"], len(r["body"])) for r in got if r["turn"] == 1 and r["conv_id"] == 2] == [(0, 2, 9 * 200_000 - 1)]
 
 
 def test_empty(spark):
