@@ -8,7 +8,9 @@ the draw depends on seed and id only, so reruns agree and no shuffle is needed.
 
 Defined results: a null text has size 0; a null source is a source of its own,
 ordered last; a source of size 0 has target 0 and its documents are not emitted;
-rows with equal ids share their draw; an empty table gives an empty result.
+rows with equal ids share their draw; the words of a very long text are counted where it is
+read; an empty table gives an empty result; other columns are ignored, and handed on by
+:func:`mix`.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from ._base import WORD, staged, text_of
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = "mix"
-#: More sources than this are joined by a shuffle and not by a broadcast.
+#: More sources than this are ranked in ranges and joined by a shuffle, and not by a broadcast.
 BROADCAST_SOURCES = 50_000
 
 
@@ -29,36 +31,43 @@ def size_of(text_col: str = "text") -> Column:
     return F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
 
 
+def _ranked(by_source: DataFrame) -> DataFrame:
+    """With ``rank``, from 0, by source in the order of code points, null last. Many sources are
+    numbered within ranges, and the ranges' sizes added up."""
+    order = F.col("source").asc_nulls_last()
+    if by_source.count() <= BROADCAST_SOURCES:
+        return by_source.withColumn("rank", F.row_number().over(Window.orderBy(order)) - 1)
+    dealt = staged(by_source.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    return dealt.withColumn("inner", inner).join(F.broadcast(sizes), "part").withColumn("rank", F.col("before") + F.col("inner") - 1).drop("part", "inner", "before")
+
+
 def rates(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(source, source_size, target, rate) from (source, size) rows.
 
-    In the order of cap/weight, a source is capped if its share of what the ones
-    before it leave is more than its cap; after the first that isn't, none is. The
-    windows run over one row for each source.
+    A source is capped if its share by weight of what the capped ones leave is more than its
+    cap. Capping some raises the others' shares, so the set grows, from none, until it
+    stays; each time two sums over the sources' narrow rows come to the driver.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
-    cap = F.col("source_size") * max_repeat
-    everything = Window.partitionBy()
-    before = Window.orderBy("fill", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    filled = (
-        by_source.withColumn("w", w.cast("long"))
-        .withColumn("cap", cap)
-        .withColumn("fill", F.col("cap").cast("double") / F.col("w"))
-        .withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), zero))
-        .withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), zero))
-        .withColumn("capped", F.col("left") * F.col("w") > F.col("cap") * F.col("w_left"))
-    )
-    capped_cap = F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(zero)).over(everything)
-    capped_w = F.sum(F.when(F.col("capped"), F.col("w")).otherwise(zero)).over(everything)
-    rest = F.sum("source_size").over(everything) - capped_cap
-    w_rest = F.sum("w").over(everything) - capped_w
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(
-        (F.col("w") * rest).cast("double") / w_rest
-    )
-    return filled.withColumn("target", target).select(
+    by_source = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    # Products of sizes and weights may pass a long.
+    shares = staged(_ranked(by_source).withColumn("w", w.cast("long")).withColumn("cap", F.col("source_size") * max_repeat).drop("rank"), "shares")
+    everything = shares.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    room, left, capped = everything["size"] or 0, everything["w"] or 0, F.lit(False)
+    while True:
+        over = F.lit(room).cast("decimal(19,0)") * F.col("w").cast("decimal(9,0)") > F.col("cap").cast("decimal(19,0)") * F.lit(left).cast("decimal(19,0)")
+        found = shares.filter(over).agg(F.sum("cap").alias("cap"), F.sum("w").alias("w")).first()
+        now = (everything["size"] or 0) - (found["cap"] or 0), (everything["w"] or 0) - (found["w"] or 0)
+        capped = over
+        if now == (room, left):
+            break
+        room, left = now
+    target = F.when(capped, F.col("cap").cast("double")).otherwise((F.col("w") * F.lit(room)).cast("double") / F.lit(max(left, 1)))
+    return shares.withColumn("target", target).select(
         "source",
         "source_size",
         "target",
