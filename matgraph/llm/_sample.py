@@ -11,20 +11,30 @@ def remainder(id_col: str, modulus: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
 
 
-def labelled_sample(labels: DataFrame, docs: DataFrame, per_label: int) -> list[tuple[str, object]]:
+#: Classes at most that a sample has: the most frequent labels.
+CLASSES = 200
+
+
+def labelled_sample(labels: DataFrame, docs: DataFrame, per_label: int, chars: int) -> list[tuple[str, object]]:
     """(text, label) of at most ``per_label`` of the rows (doc_id, label) of each label,
-    those with the least MD5 of the id, with their texts from ``docs``. The choice is
-    made on narrow rows; of the texts only the chosen ones move. Labels are few: a
-    classifier's classes."""
+    those with the least MD5 of the id, with their whole texts from ``docs``; fewer where the
+    texts before a row, in that order, have ``chars`` characters together. The choice is
+    made on narrow rows; of the texts only the chosen ones move. Of ids that repeat, equal
+    texts count once. What is collected is bounded by CLASSES, ``per_label`` and
+    ``chars``, and one text."""
     digest = F.md5(F.col("doc_id").cast("string").cast("binary"))
     uniform = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
     narrow = labels.filter("label is not null and doc_id is not null").select("doc_id", "label")
     # About twice the wanted number pass the first draw, whatever the number of rows, so
     # that a label's window isn't given more by more tasks.
-    counts = narrow.groupBy("label").agg((2.0 * per_label / F.count(F.lit(1)) + 100.0 / F.count(F.lit(1))).alias("share"))
+    counts = narrow.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES)
+    counts = counts.select("label", ((2.0 * per_label + 100.0) / F.col("n")).alias("share"))
     drawn = narrow.join(F.broadcast(counts), "label").filter(uniform < F.col("share"))
     order = Window.partitionBy("label").orderBy(digest, "doc_id")
-    chosen = drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("doc_id", "label").distinct()
+    chosen = drawn.dropDuplicates(["doc_id", "label"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    found = texts.join(F.broadcast(chosen), "doc_id").collect()
-    return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"], str(r["label"])))]
+    found = texts.join(F.broadcast(chosen.select("doc_id", "label", "n")), "doc_id").withColumn("x", F.xxhash64("text")).dropDuplicates(["doc_id", "label", "x"])
+    before = Window.partitionBy("label").orderBy("n", "x").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(F.col("before") < chars)
+    rows = found.select("doc_id", "x", "text", "label").collect()
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["x"], str(r["label"])))]

@@ -6,8 +6,9 @@ prefixes and suffixes of one to three letters, and letter 2- and 3-grams with
 word borders, hashed. Emission weights and transitions are learned jointly by
 maximum likelihood (forward-backward, Adam) on chains of the sampled documents;
 half the chains are spliced from two languages, so that the transitions learn
-code-switching. Inference runs forward-backward on every word of every text, in
-chains of ``CHAIN`` words.
+code-switching. Inference runs forward-backward on every word of every text, as one chain;
+a text of more than a block is taken block by block, each with ``OVERLAP`` words of its
+neighbours on either side.
 
 Defined results: a text that is null or has no letters is ``und`` with score 0;
 words without letters carry the chain but no evidence; null labels are not
@@ -17,7 +18,7 @@ language that sorts first; every row gives one row; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,16 +30,19 @@ from ._base import column_of, map_arrow, text_of, word_blocks
 from ._sample import labelled_sample
 from ._subwords import hashed, letters, sums
 
+#: Words of a chain of the training sample, before it is spliced with another.
 CHAIN = 64
+OVERLAP = 64
 BUCKETS = 1 << 16
-#: Bounds of the training sample: documents and words of each language.
-SAMPLE_DOCS = 200
-SAMPLE_WORDS = 40_000
+#: Bounds of the training sample: documents of each language, and characters after which no
+#: further one is taken.
+SAMPLE_DOCS = 150
+SAMPLE_CHARS = 500_000
 STEPS = 60
 #: Words whose emissions a worker holds.
 CACHE = 150_000
-#: Words that are labelled at once.
-BLOCK = 120_000
+#: Words that are labelled at once, or those of one text or block.
+BLOCK = 200_000
 
 
 @dataclass
@@ -57,45 +61,40 @@ class Model:
         return np.concatenate([np.array(real, np.int64)[word], own[:, 0]]), np.concatenate([feat, own[:, 1]])
 
 
-def _layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For documents of so many words: (chain, place) of each word."""
-    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    fresh = within % CHAIN == 0
-    return np.cumsum(fresh) - 1, within % CHAIN
-
-
-def forward_backward(emit: np.ndarray, chain: np.ndarray, place: np.ndarray, transitions: np.ndarray, pairs: bool = False):
-    """Posteriors of each word (emit: log potentials), and the expected transitions."""
+def forward_backward(emit: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, pairs: bool = False):
+    """For chains of so many words (none 0) the posteriors of each word (emit: log potentials),
+    and the expected transitions."""
     k = emit.shape[1]
-    n = int(chain[-1]) + 1 if len(chain) else 0
-    e = np.ones((CHAIN, n, k))
-    e[place, chain] = np.exp(emit - emit.max(axis=1, keepdims=True))
-    length = np.bincount(chain, minlength=n)
-    by_length = np.argsort(-length, kind="stable")  # so that the chains alive are a prefix
-    e, alive = e[:, by_length], np.searchsorted(-length[by_length], -np.arange(CHAIN))  # of length > t
-    a = np.exp(transitions)
-    alpha, beta = np.zeros_like(e), np.ones_like(e)
-    for t in range(CHAIN):
-        m = alive[t]
-        if not m:
-            break
-        x = e[t, :m] if t == 0 else (alpha[t - 1, :m] @ a) * e[t, :m]
-        alpha[t, :m] = x / x.sum(axis=1, keepdims=True)
     expected = np.zeros((k, k))
-    for t in range(CHAIN - 2, -1, -1):
-        m = alive[t + 1]
-        if not m:
-            continue
-        x = (e[t + 1, :m] * beta[t + 1, :m]) @ a.T
-        beta[t, :m] = x / x.sum(axis=1, keepdims=True)
+    if not len(sizes):
+        return np.empty((0, k)), expected
+    # The longest chains first, so that those that go on are a prefix; rows by place, then chain.
+    by_length = np.argsort(-sizes, kind="stable")
+    start = (np.cumsum(sizes) - sizes)[by_length]
+    alive = np.searchsorted(-sizes[by_length], -np.arange(sizes.max()))
+    end = np.cumsum(alive)
+    place = np.repeat(np.arange(len(alive)), alive)
+    row = start[np.arange(len(place)) - (end - alive)[place]] + place
+    e = emit[row]
+    e = np.exp(e - e.max(axis=1, keepdims=True))
+    a = np.exp(transitions)
+    alpha, beta = np.empty_like(e), np.ones_like(e)
+    cuts = [slice(x - n, x) for x, n in zip(end.tolist(), alive.tolist())]
+    for t, now in enumerate(cuts):
+        x = e[now] if t == 0 else (before[: now.stop - now.start] @ a) * e[now]
+        before = alpha[now] = x / x.sum(axis=1, keepdims=True)
+    for now, then in zip(cuts[-2::-1], cuts[:0:-1]):
+        n = then.stop - then.start
+        x = e[then] * beta[then]
         if pairs:
-            y = (e[t + 1, :m] * beta[t + 1, :m])[:, None, :] * alpha[t, :m, :, None] * a
+            y = x[:, None, :] * alpha[now][:n, :, None] * a
             expected += (y / y.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        x = x @ a.T
+        beta[now.start : now.start + n] = x / x.sum(axis=1, keepdims=True)
     post = alpha * beta
-    post /= np.maximum(post.sum(axis=2, keepdims=True), 1e-300)
-    back = np.empty(n, np.int64)
-    back[by_length] = np.arange(n)
-    return post[place, back[chain]], expected
+    out = np.empty_like(post)
+    out[row] = post / np.maximum(post.sum(axis=1, keepdims=True), 1e-300)
+    return out, expected
 
 
 def fit(sample: list[tuple[str, str]], seed: int = 7) -> Model:
@@ -111,14 +110,7 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> Model:
             if y == label:
                 words = text.encode().split()
                 own += [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
-        own = [own[i] for i in rng.permutation(len(own))]
-        kept, n = [], 0
-        for c in own:
-            if n >= SAMPLE_WORDS:
-                break
-            kept.append([letters(w) for w in c])
-            n += len(c)
-        chains.append(kept)
+        chains.append([[letters(w) for w in own[i]] for i in rng.permutation(len(own))])
     rows: list[tuple[list[str], list[int]]] = []
     for i, own in enumerate(chains):
         for words in own:
@@ -141,15 +133,15 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> Model:
     word_of, feat = model.features(list(count))
     token = np.array([known[w] for words, _ in rows for w in words], np.int64)
     gold = np.array([y for _, ys in rows for y in ys], np.int64)
-    chain, place = _layout(np.array([len(w) for w, _ in rows], np.int64))
+    sizes = np.array([len(w) for w, _ in rows], np.int64)
     one_hot = np.eye(k)[gold]
-    follows = np.flatnonzero(place > 0)
+    follows = np.setdiff1d(np.arange(len(gold)), np.cumsum(sizes) - sizes)
     seen = np.zeros((k, k))
     np.add.at(seen, (gold[follows - 1], gold[follows]), 1)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (model.weights, model.transitions)]
     for step in range(1, STEPS + 1):
         emit = sums(word_of, model.weights[feat], len(count))
-        post, expected = forward_backward(emit[token], chain, place, model.transitions, pairs=True)
+        post, expected = forward_backward(emit[token], sizes, model.transitions, pairs=True)
         by_word = sums(token, one_hot - post, len(count))
         grads = (
             sums(feat, by_word[word_of], len(model.weights)) / len(token) - 1e-6 * model.weights,
@@ -192,33 +184,32 @@ class Labeller:
         """(posteriors, has letters) for the words of documents of these sizes."""
         self._learn(words)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        chain, place = _layout(sizes)
-        post, _ = forward_backward(self.emit[at].astype(np.float64), chain, place, self.model.transitions)
+        post, _ = forward_backward(self.emit[at].astype(np.float64), sizes, self.model.transitions)
         return post, self.real[at]
 
     def documents(self, texts: Iterable[bytes], n: int) -> tuple[list[str], list[float]]:
         """(language, score) of each of n texts."""
         total = np.zeros((n, len(self.model.labels) + 1))  # last: words with letters
         held: list[bytes] = []
-        sizes: list[int] = []
-        owner: list[int] = []
+        chains: list[tuple[int, int, int, int]] = []
 
         def flush():
             if held:
-                post, real = self.words(held, np.array(sizes))
+                owner, sizes, first, last = (np.array(x) for x in zip(*chains))
+                post, real = self.words(held, sizes)
+                within = np.arange(len(held)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                real &= (within >= np.repeat(first, sizes)) & (within < np.repeat(last, sizes))
                 doc = np.repeat(owner, sizes)[real]
                 for c in range(post.shape[1]):
                     total[:, c] += np.bincount(doc, post[real, c], n)
                 total[:, -1] += np.bincount(doc, minlength=n)
-            held.clear(), sizes.clear(), owner.clear()
+            held.clear(), chains.clear()
 
         if self.model.labels:
             for i, text in enumerate(texts):
-                for words in word_blocks(text):
-                    if words:
-                        held += words
-                        sizes.append(len(words))
-                        owner.append(i)
+                for words, first, last in overlapping(text):
+                    held.extend(words)
+                    chains.append((i, len(words), first, last))
                     if len(held) >= BLOCK:
                         flush()
             flush()
@@ -228,11 +219,31 @@ class Labeller:
         return [self.model.labels[b] if s else "und" for b, s in zip(best, some)], np.clip(score, 0, 1).tolist()
 
 
+def overlapping(text: bytes) -> Iterator[tuple[list[bytes], int, int]]:
+    """(words, first, last): the chains of a text, that is one but for a huge text; from first
+    to last (not included) they are the chain's own, and the others its context."""
+    held: list[bytes] = []
+    first = 0
+    for words in word_blocks(text):
+        if not words:
+            continue
+        words = held + words
+        # The last words wait for the next block, if there is one.
+        own = len(words) - OVERLAP
+        if len(text) <= 1 << 20 or own <= first:
+            held = words
+        else:
+            yield words, first, own
+            held, first = words[max(0, own - OVERLAP) :], min(own, OVERLAP)
+    if len(held) > first:
+        yield held, first, len(held)
+
+
 def train(docs: DataFrame, fold: Column | None = None) -> Model:
     """Fit on a bounded sample of the rows of ``docs`` (doc_id, text, lang) that ``fold``
-    admits: SAMPLE_DOCS documents of each language."""
+    admits: whole documents, SAMPLE_DOCS of each language."""
     rows = docs if fold is None else docs.filter(fold)
-    return fit(labelled_sample(rows.select("doc_id", F.col("lang").alias("label")), docs, SAMPLE_DOCS))
+    return fit(labelled_sample(rows.select("doc_id", F.col("lang").alias("label")), docs, SAMPLE_DOCS, SAMPLE_CHARS))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,10 +287,8 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             rows: list[tuple] = []
             for i, text in zip(column_of(batch, 0), column_of(batch, 1)):
                 base, run = 0, None
-                for words in word_blocks(text):
-                    if not words or not labels:
-                        continue
-                    best = own.words(words, np.array([len(words)]))[0].argmax(axis=1)
+                for words, first, last in overlapping(text) if labels else ():
+                    best = own.words(words, np.array([len(words)]))[0].argmax(axis=1)[first:last]
                     cuts = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1], [True])))
                     for a, b in zip(cuts, cuts[1:]):
                         if run and run[1] == labels[best[a]]:
@@ -287,7 +296,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         else:
                             rows += [run] if run else []
                             run = (i, labels[best[a]], base + int(a), int(b - a))
-                    base += len(words)
+                    base += last - first
                 rows += [run] if run else []
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "lang", "first_word", "n_words"])
