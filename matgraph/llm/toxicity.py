@@ -13,7 +13,7 @@ number, which workers hold for a bounded number of words.
 
 Defined results: a text that is null or has no letters scores the share of toxic
 labels; without labels of both classes every score is that share (0 without
-labels); documents with several labels count once for each; other columns are
+labels); a very long text is scored block by block, with windows over the borders; documents with several labels count once for each; other columns are
 ignored.
 """
 
@@ -34,16 +34,16 @@ from ._subwords import hashed, letters, sums
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 SIZE = 8
-#: Bounds of the training sample: documents of each class; and words of each document,
-#: of which whole windows are drawn evenly from all of it.
+#: Bounds of the training sample: documents of each class, that are read whole, and characters
+#: after which no further one is taken.
 SAMPLE_DOCS = 1000
-SAMPLE_WORDS = 480
+SAMPLE_CHARS = 5_000_000
 WARM_UP, STEPS = 15, 25
 #: Words of a bag, not counting those without letters.
 WINDOW = 12
-#: Words of the sample that a bucket must occur in, and what each step takes off a
-#: bucket's vector, as a share of the step.
-LEAST, LASSO = 30, 2.0
+#: Words of the sample that a bucket must occur in, fewer where there are few texts of label 1;
+#: and what each step takes off a bucket's vector, as a share of the step.
+LEAST, LEAST_OF_FEW, PER_TEXT, LASSO = 30, 4, 9, 2.0
 #: With so many texts of label 1 in the sample, the bias is halfway to the true shares.
 PRIOR = 50
 CACHE = 150_000
@@ -93,14 +93,6 @@ def best_windows(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     return first, top
 
 
-def _sampled(words: list[str], rng) -> list[str]:
-    n = -(-len(words) // WINDOW)
-    if len(words) <= SAMPLE_WORDS:
-        return words
-    chosen = np.sort(rng.choice(n, SAMPLE_WORDS // WINDOW, replace=False))
-    return [w for k in chosen for w in words[k * WINDOW : (k + 1) * WINDOW]]
-
-
 def fit(sample: list[tuple[str, int]], share: float, seed: int = 11) -> Model:
     """From (text, label) pairs, labels 0 and 1; share: of label 1 among all labels."""
     rng = np.random.default_rng(seed)
@@ -108,7 +100,7 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 11) -> Model:
     index: dict[str, int] = {}
     word, sizes, gold = [], [], []
     for text, y in sample:
-        if own := _sampled([core for w in text.encode().split() if (core := letters(w))], rng):
+        if own := [core for w in text.encode().split() if (core := letters(w))]:
             word += [index.setdefault(core, len(index)) for core in own]
             sizes.append(len(own))
             gold.append(int(y))
@@ -119,7 +111,7 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 11) -> Model:
     grams = np.bincount(of, minlength=len(index))
     # A bucket met in a few bags only would be learned by heart; its vector stays zero.
     bags_with = np.bincount(word, minlength=len(index))
-    common = np.bincount(feat, bags_with[of], BUCKETS) >= LEAST
+    common = np.bincount(feat, bags_with[of], BUCKETS) >= min(LEAST, LEAST_OF_FEW + int(gold.sum()) // PER_TEXT)
     by_word = np.flatnonzero(common[feat])[np.argsort(of[common[feat]], kind="stable")]
     feat, of = feat[by_word], of[by_word]
     kept = np.bincount(of, minlength=len(index))
@@ -228,12 +220,13 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, label_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of the labelled rows that ``fold`` (on doc_id) admits."""
+    """Fit on a bounded sample of the labelled rows that ``fold`` (on doc_id) admits: whole
+    documents, SAMPLE_DOCS of each class."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
     labels = labels if fold is None else labels.filter(fold)
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     share = counts.get(1, 0) / max(sum(counts.values()), 1)
-    return fit(labelled_sample(labels, docs, SAMPLE_DOCS), share)
+    return fit(labelled_sample(labels, docs, SAMPLE_DOCS, SAMPLE_CHARS), share)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -33,15 +33,35 @@ def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(1)
     sizes = np.array([5, 1, 3])
     emit, transitions = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
-    chain, place = langid._layout(sizes)
-    got, _ = langid.forward_backward(emit, chain, place, transitions)
+    got, _ = langid.forward_backward(emit, sizes, transitions)
     want = np.concatenate([plain_posteriors(emit[a:b], transitions) for a, b in ((0, 5), (5, 6), (6, 9))])
     assert np.allclose(got, want)
 
 
-def test_long_texts_are_cut_into_chains():
-    chain, place = langid._layout(np.array([langid.CHAIN + 2, 3]))
-    assert chain.tolist() == [0] * langid.CHAIN + [1, 1, 2, 2, 2] and place[-5:].tolist() == [0, 1, 0, 1, 2]
+def test_posteriors_of_long_chains_equal_the_plain_recursion():
+    rng = np.random.default_rng(2)
+    sizes = np.array([3, 700, 150])
+    emit, transitions = rng.normal(size=(853, 3)), rng.normal(size=(3, 3))
+    got, _ = langid.forward_backward(emit, sizes, transitions)
+    e, a = np.exp(emit[3:703]), np.exp(transitions)
+    alpha, beta = [e[0] / e[0].sum()], [np.ones(3)]
+    for x in e[1:]:
+        y = (alpha[-1] @ a) * x
+        alpha.append(y / y.sum())
+    for x in e[:0:-1]:
+        y = a @ (x * beta[-1])
+        beta.append(y / y.sum())
+    want = np.array(alpha) * np.array(beta[::-1])
+    assert np.allclose(got[3:703], want / want.sum(axis=1, keepdims=True))
+
+
+def test_huge_texts_are_chained_with_their_context():
+    words = [b"w%d" % i for i in range(400_000)]
+    parts = list(langid.overlapping(b" ".join(words)))
+    assert len(parts) > 1 and [w for ws, a, b in parts for w in ws[a:b]] == words
+    assert all(a == langid.OVERLAP for _, a, _ in parts[1:]) and all(len(ws) - b == langid.OVERLAP for ws, _, b in parts[:-1])
+    for n in (0, 1, 63, 64, 65, 200):
+        assert [(len(w), a, b) for w, a, b in langid.overlapping(b" ".join(words[:n]))] == ([(n, 0, n)] if n else [])
 
 
 @pytest.fixture(scope="module")
@@ -77,8 +97,12 @@ def test_folds_and_sample(spark):
     rows = spark.createDataFrame([(i, f"text {i}", i % 3) for i in range(300)] + [(None, "t", 1), (500, None, 1), (501, "t", None)], "doc_id long, text string, label int")
     got = {r["doc_id"]: r["r"] for r in rows.select("doc_id", remainder("doc_id", 5).alias("r")).collect()}
     assert all(v == (zlib.crc32(str(i).encode()) % 5 if i is not None else 0) for i, v in got.items())
-    sample = labelled_sample(rows.select("doc_id", "label"), rows.select("doc_id", "text"), 20)
-    assert len(sample) in (59, 60) and sample == labelled_sample(rows.repartition(5).select("doc_id", "label"), rows.select("doc_id", "text"), 20)
+    sample = labelled_sample(rows.select("doc_id", "label"), rows.select("doc_id", "text"), 20, 1000)
+    assert len(sample) in (59, 60) and sample == labelled_sample(rows.repartition(5).select("doc_id", "label"), rows.select("doc_id", "text"), 20, 1000)
+    texts = rows.selectExpr("doc_id", "repeat('x', 100) AS text").unionByName(rows.selectExpr("doc_id", "repeat('x', 100) AS text"))
+    assert len(labelled_sample(rows.select("doc_id", "label"), texts, 20, 250)) == 9  # whole texts, of each label three
+    many = rows.selectExpr("doc_id", "doc_id AS label")
+    assert len(labelled_sample(many, rows.select("doc_id", "text"), 20, 1000)) == 200
 
 
 BAD = ["idiot", "moronic", "scumbag", "worthless"]

@@ -15,8 +15,9 @@ import tiktoken
 from test_dedup import plain_components, plain_fingerprint
 
 import corpus_pipeline
-from matgraph.llm import bpe, langid, mixing
+from matgraph.llm import bpe, langid, mixing, toxicity
 from matgraph.llm._sample import remainder
+from matgraph.llm._subwords import letters
 from matgraph.llm.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -98,8 +99,10 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix(docs).columns == docs.columns and mixing.plan(docs.limit(0)).count() == 0 == mixing.mix(docs.limit(0)).count()
 
 
-@pytest.mark.parametrize("caps", [[100, 10, 1], [1, 1000, 10], [5], [0, 0], [7, 7, 7, 7, 7, 1, 900]])
-def test_targets_against_the_stated_rule(spark, caps):
+@pytest.mark.parametrize("broadcast", [mixing.BROADCAST_SOURCES, 2])
+@pytest.mark.parametrize("caps", [[100, 10, 1], [1, 1000, 10], [5], [0, 0], [7, 7, 7, 7, 7, 1, 900], [10**15, 10**16, 3, 10**14]])
+def test_targets_against_the_stated_rule(spark, monkeypatch, caps, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     sizes = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(caps)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.rates(sizes).collect()}
     weight = {f"s{i}": (5, 2, 1)[i % 3] for i in range(len(caps))}
@@ -112,7 +115,7 @@ def test_targets_against_the_stated_rule(spark, caps):
             break
         full |= {s: cap[s] for s in over}
     want = {s: full.get(s, rest * weight[s] / w if w else 0.0) for s in weight}
-    assert all(abs(got[s] - want[s]) < 1e-6 for s in want)
+    assert all(abs(got[s] - want[s]) < 1e-6 + 1e-12 * want[s] for s in want)
 
 
 def test_pipeline_against_brute_force(spark, documents, tables, library):
@@ -181,12 +184,66 @@ def test_neighbours_against_brute_force(spark, tables):
     assert sorted(found) == queries and hits >= 0.9 * 20 * len(queries)
 
 
-def test_languages_of_held_out_documents(spark):
-    data = "/root/testdata/sf0.01"
-    truth = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{data}/documents.parquet'").fetchall())
+def held_out(table, sf, column):
+    data = f"/root/testdata/{sf}"
+    return data, dict(duckdb.sql(f"SELECT doc_id, {column} FROM '{data}/{table}.parquet' WHERE {column} IS NOT NULL").fetchall())
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_languages_of_held_out_documents(spark, sf):
+    data, truth = held_out("documents", sf, "lang")
     got = [r for r in QUERIES["op8_langid"](spark, data).collect()]
-    held = [r["lang_pred"] == truth[r["doc_id"]] for r in got if r["held_out"]]
-    assert len(got) == len(truth) and len(held) > 100 and sum(held) > 0.95 * len(held)
+    held = [r["lang_pred"] == truth[r["doc_id"]] for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert len(got) >= len(truth) and len(held) > 100 and sum(held) > 0.98 * len(held)
+
+
+def test_languages_equal_the_plain_recursion(spark, documents):
+    """The query against a word-by-word forward-backward over each whole text, with its model."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.train(docs, remainder("doc_id", 5) != 0)
+    own, a = langid.Labeller(model), np.exp(model.transitions)
+    got = {r["doc_id"]: r for r in QUERIES["op8_langid"](spark, DATA).collect()}
+    assert set(got) == set(documents)
+    for i in sorted(documents)[:40]:
+        words = documents[i].encode().split()
+        own._learn(words)
+        e = np.exp(own.emit[[own.index[w] for w in words]].astype(float))
+        alpha, beta = [e[0] / e[0].sum()], [np.ones(len(model.labels))]
+        for x in e[1:]:
+            alpha.append((y := (alpha[-1] @ a) * x) / y.sum())
+        for x in e[:0:-1]:
+            beta.append((y := a @ (x * beta[-1])) / y.sum())
+        post = np.array(alpha) * np.array(beta[::-1])
+        post = (post / post.sum(axis=1, keepdims=True))[[bool(own.real[own.index[w]]) for w in words]]
+        total = post.sum(axis=0)
+        assert got[i]["lang_pred"] == model.labels[int(total.argmax())] and abs(got[i]["score"] - total.max() / len(post)) < 1e-6
+
+
+#: Of the toxic documents that are held out, those with a word that such documents have in the
+#: other folds are 9 of 14 on sf0.01; other labels there have too few like them to learn from.
+@pytest.mark.parametrize("sf, precision, recall", [("sf0.01", 0.8, 0.55), ("sf0.1", 0.75, 0.85)])
+def test_toxicity_of_held_out_documents(spark, sf, precision, recall):
+    data, truth = held_out("labels", sf, "toxic")
+    got = [(r["predicted"], truth[r["doc_id"]]) for r in QUERIES["op7_toxicity"](spark, data).collect() if r["held_out"] and r["doc_id"] in truth]
+    hits = sum(p == y == 1 for p, y in got)
+    assert hits >= precision * sum(p for p, _ in got) and hits >= recall * sum(y for _, y in got)
+
+
+def test_scores_equal_a_plain_scan(spark, documents, tables):
+    """The query against every window of every text, word by word, with its model."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"), remainder("doc_id", 4) != 2)
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op7_toxicity"](spark, DATA).collect()}
+    for i in sorted(documents)[:25]:
+        words = [w for w in documents[i].encode().split() if letters(w)]
+        value = dict(zip(words, model.words([letters(w) for w in words])))
+        best = -np.inf
+        for at in range(max(1, len(words) - toxicity.WINDOW + 1)):
+            bag = range(at, min(at + toxicity.WINDOW, len(words)))
+            # A word counts where it wasn't used in the WINDOW - 1 words before.
+            total = sum(value[words[k]] for k in bag if words[k] not in words[max(0, k - toxicity.WINDOW + 1) : k])
+            best = max(best, total / len(bag))
+        assert abs(got[i] - 1 / (1 + np.exp(-(best + model.bias)))) < 1e-6
 
 
 def test_scores_of_every_document(spark, documents):
