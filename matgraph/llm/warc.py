@@ -16,13 +16,14 @@ that with the largest id is the response and the others are revisits of it.
 Defined results: a null payload is empty; a null url is ``about:blank``; a record
 with a null id is always a response (and never revisited, unless all ids of its
 payload are null); rows with equal ids and payloads are all responses, or all
-revisits; an empty table gives an empty archive; other columns are ignored.
+revisits, and share a record id; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +37,8 @@ CHUNK = 64 << 10
 #: An empty gzip member. Its time stamp differs from that of the records' members.
 SEPARATOR = b"\x1f\x8b\x08\x00\xff\xff\xff\xff\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _TEXT = {"lineSep": SEPARATOR.decode("latin-1"), "encoding": "ISO-8859-1"}
+EPOCH = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2000-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -73,12 +74,12 @@ def _url(url: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if c <= " " or c == "\x7f" else c for c in url or "about:blank")
 
 
-def records(key, url: str | None, payload: memoryview, refers_to, revisit: bool, digest: str, chunk: int = CHUNK) -> Iterator[bytes]:
+def records(key, url: str | None, payload: memoryview, refers_to, revisit: bool, digest: str, chunk: int = CHUNK, date: str = EPOCH) -> Iterator[bytes]:
     """The WARC records of one payload, in order."""
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", record_id(key, digest)),
-        ("WARC-Date", DATE),
+        ("WARC-Date", date),
         ("WARC-Target-URI", _url(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("X-Payload-Length", len(payload)),
@@ -101,7 +102,7 @@ def records(key, url: str | None, payload: memoryview, refers_to, revisit: bool,
             own = [
                 ("WARC-Type", "continuation"),
                 ("WARC-Record-ID", f"{record_id(key, digest)[:-1]}:{k + 1}>"),
-                ("WARC-Date", DATE),
+                ("WARC-Date", date),
                 ("WARC-Target-URI", _url(url)),
                 ("WARC-Segment-Number", k + 1),
                 ("WARC-Segment-Origin-ID", record_id(key, digest)),
@@ -111,8 +112,8 @@ def records(key, url: str | None, payload: memoryview, refers_to, revisit: bool,
         raise ValueError(f"the payload of {record_id(key, digest)} has another digest than {digest}")
 
 
-def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk: int = CHUNK) -> None:
-    """Archive every row under ``path``.
+def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk: int = CHUNK, date: str | None = None) -> None:
+    """Archive every row under ``path``; ``date`` is that of the records, by default now.
 
     Which payloads are copies is settled on (id, digest, length) rows. Only groups of
     several go on to the payloads; Spark broadcasts them if they are small, and else
@@ -132,12 +133,14 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     revisit = F.coalesce(F.col("key") != F.col("response"), F.lit(False))
     rows = keyed.join(copies, ["sha1", "n"], "left").select("key", "url", "payload", "response", revisit.alias("revisit"), "sha1")
 
+    date = date or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+
     def members(batches):
         for batch in batches:
             out, size = [], 0
             for key, url, body, response, again, sha1 in zip(*(batch.column(i) for i in range(6))):
                 view = memoryview(body.as_buffer())
-                for r in records(key.as_py(), url.as_py(), view, response.as_py(), again.as_py(), base32(sha1.as_py()), chunk):
+                for r in records(key.as_py(), url.as_py(), view, response.as_py(), again.as_py(), base32(sha1.as_py()), chunk, date):
                     out.append(_member(r))
                     size += len(out[-1])
                     if size > 4 << 20:

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 
+import pyarrow as pa
 import pytest
 
 from matgraph.llm import warc
@@ -68,3 +69,29 @@ def test_separator_in_a_payload():
     body = b"".join(hashlib.sha256(bytes([i])).digest() for i in range(9)) + warc.SEPARATOR
     (record,) = warc.records(1, "u", memoryview(body), None, False, base64.b32encode(hashlib.sha1(body).digest()).decode())
     assert warc.SEPARATOR not in warc._member(record) and warc.parse(warc._member(record))["sha1"] == hashlib.sha1(body).digest()
+
+
+def test_a_huge_payload_is_never_copied_as_a_whole():
+    import tracemalloc
+
+    payload = bytes(range(256)) * (100 << 12)  # 100 MB
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    tracemalloc.start()
+    n = sum(1 for _ in warc.records(1, "u", memoryview(payload), None, False, digest))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert n == len(payload) // warc.CHUNK and peak < 8 * warc.CHUNK
+    table = [{"page_id": 1, "record_type": "response" if k == 1 else None, "refers_to": None, "payload_bytes": len(payload) if k == 1 else None, "payload_digest": digest if k == 1 else None,
+              "record": "r", "segment": k, "data": payload[(k - 1) << 16 : k << 16]} for k in range(1, 33)]
+    table[0]["payload_bytes"], table[0]["payload_digest"] = 32 << 16, base64.b32encode(hashlib.sha1(payload[: 32 << 16]).digest()).decode()
+    batches = [pa.RecordBatch.from_pylist([row]) for row in table]
+    (found,) = [r for b in warc._digested(batches) for r in b.to_pylist()]
+    assert found["payload_bytes"] == 32 << 16
+
+
+def test_dates(spark):
+    path, _ = warc.archive(rows_of(spark, [(1, "u", "a")]))
+    (row,) = warc.chunk_table(spark, path).collect()
+    assert row["page_id"] == 1
+    (record,) = warc.records(1, "u", memoryview(b"abc"), None, False, b32("abc"), date="2024-02-03T04:05:06Z")
+    assert b"WARC-Date: 2024-02-03T04:05:06Z\r\n" in record
