@@ -3,6 +3,8 @@ shared folder, and the definition of a word."""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
@@ -67,9 +69,31 @@ def staged(df: DataFrame, what: str) -> DataFrame:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.staged_at = path
+    if (made := _made.get()) is not None:
+        made.append(found)
     return found
 
 
+#: The staged tables of the scope that is open, if one is.
+_made: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("matgraph_made", default=None)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Remove the staged tables that are made inside, but for those put into the list."""
+    token = _made.set([])
+    made = _made.get()
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        _made.reset(token)
+        left = {t.staged_at for t in kept}
+        drop_staged(*(t for t in made if t.staged_at not in left))
+        if (outer := _made.get()) is not None:
+            outer.extend(t for t in made if t.staged_at in left)
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Remove tables that :func:`staged` gave and that nothing reads any more."""
     for t in tables:

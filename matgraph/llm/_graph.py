@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import staged
+from ._base import scratch, staged
 
 
 def _jumped(parents: DataFrame) -> DataFrame:
@@ -29,8 +29,17 @@ def components(edges: DataFrame) -> DataFrame:
     the smallest of its component; root is that smallest node.
 
     Each round hooks every node to its smallest neighbour where that is smaller,
-    follows the pointers, and contracts the trees, until no edge is left.
+    follows the pointers, and contracts the trees, until no edge is left. Only the last
+    table stays in the shared folder.
     """
+    with scratch() as kept:
+        found = _contracted(edges)
+        kept.append(found)
+    return found.select("node", F.col("parent").alias("root"))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(node, parent), staged."""
     found: DataFrame | None = None
     rest = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
@@ -57,6 +66,4 @@ def components(edges: DataFrame) -> DataFrame:
             .filter("a <> b")
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         )
-    if found is None:
-        found = rest.select(F.col("b").alias("node"), F.col("a").alias("parent"))
-    return found.select("node", F.col("parent").alias("root"))
+    return staged(rest.select(F.col("b").alias("node"), F.col("a").alias("parent")), "roots") if found is None else found
