@@ -136,15 +136,32 @@ def test_pipeline_against_brute_force(spark, documents, tables, library):
     assert got == want and len(set(i for i, _ in got)) > 100
 
 
-def test_pipeline_of_odd_rows(spark):
-    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the cat sat on the mat", "en", None, 3), (4, "12 34", "en", "s", 0), (5, "the cat sat on a mat", "en", "s", 1)] * 2
-    for given in (rows, []):
-        docs = spark.createDataFrame(given, schema)
-        for name, stage in corpus_pipeline.STAGES:
-            before, docs = docs, stage(spark, docs, DATA)
-            docs.count()
-            assert docs.columns == before.columns or name == "BPE"
+def test_pipeline_of_odd_rows(spark, library):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema.add("n_tokens", "long")
+    texts = {"cat": "the cat sat on the mat and looked at it", "dog": "quite another text about a dog that barks"}
+    rows = [(1, None, None, None), (2, "", "en", "s"), (4, "12 34", "en", "s"), (None, texts["cat"], "en", None), (5, texts["cat"], "en", "s")]
+    rows += [(5, texts["dog"], "en", "s"), (7, texts["cat"].upper(), "en", "s"), (None, "held without an id, and twice", "en", "s")]
+    docs = spark.createDataFrame([(i, t, lang, source, 1, 7) for i, t, lang, source in rows] * 2, schema)
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, DATA)
+        assert docs.columns == before.columns or name == names[-1]
+        seen[name] = sorted(((r["doc_id"], r["text"]) for r in docs.collect()) if name != names[-1] else (), key=repr)
+    kept = [(i, t) for i, t, _, _ in rows if t and any(c.isalpha() for c in t)]
+    assert seen[names[0]] == sorted(kept * 2, key=repr)
+    # One row of each text, also of those without an id; then one of those that differ in case.
+    exact = [(5, texts["cat"]), (5, texts["dog"]), (7, texts["cat"].upper()), (None, rows[-1][1])]
+    assert seen[names[1]] == sorted(exact, key=repr)
+    near = [r for r in exact if r[0] != 7]
+    assert seen[names[2]] == sorted(near, key=repr)
+    assert set(seen[names[3]]) <= set(near) and len(seen[names[3]]) <= 3 * len(near)
+    want = sorted((str(i), hashlib.sha256(packed(library, t)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in seen[names[3]])
+    assert sorted((str(r["doc_id"]), r["ids_sha256"], r["decoded_sha256"]) for r in docs.collect()) == want
+    docs = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        assert docs.count() == 0
 
 
 def test_passages_against_brute_force(spark, documents):
