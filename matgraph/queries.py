@@ -7,8 +7,10 @@ from ``part`` (a step depends on that of half its key), the build log from
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
+import subprocess
 import tarfile
 import tempfile
 import time
@@ -226,11 +228,56 @@ def stock_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes |= {("member", k): m.ExtractFromZip(archive, k) for k in names}
     nodes |= {("file", "0"): first, ("path", "0"): m.LocalSymlink("at", work / "0"), ("link", "0"): m.Symlink("linked", first), ("renamed", "0"): m.Rename("other", first)}
     nodes |= {("child of a renamed folder", "0"): m.ChildFile(m.Rename("folder", folder), "0"), ("constant", "0"): m.Constant(names["0"])}
-    paths = realized(spark, m.Gather(*nodes.values()), root=mounted())
+    nodes[("download", "0")] = m.DownloadFile("downloaded", (work / "0").as_uri(), hashlib.sha256(names["0"]).digest())
+    nodes[("clone", "0")] = m.ChildFile(_clone_of(work / "repository", names["0"]), "file")
+    root = mounted()
+
+    @m.derivation("outer")
+    def outer(file):
+        m.output().write_text(Path(m.realize(root, m.Rename("inner", m.LocalFile(file)), executor=m.LocalExecutor())).read_text())
+
+    nodes[("run inside a step", "0")] = outer(str(work / "0"))
+    paths = realized(spark, m.Gather(*nodes.values()), root=root)
     rows = [(step, int(k), (p if isinstance(p, bytes) else Path(p).read_bytes()).decode()) for (step, k), p in zip(nodes, paths)]
     return spark.createDataFrame(rows, "step string, r_regionkey int, name string")
 
 
+def _clone_of(folder: Path, content: bytes) -> m.Derivation:
+    """A clone of a repository that is made here, with one file."""
+    git = lambda *args: subprocess.run(["git", "-C", str(folder), *args], check=True, capture_output=True, text=True).stdout.strip()
+    folder.mkdir()
+    (folder / "file").write_bytes(content)
+    found = hashlib.sha256()
+    m.hash_directory_tree(found, folder)
+    git("init", "--quiet")
+    git("add", "file")
+    git("-c", "user.name=n", "-c", "user.email=n@example.org", "commit", "--quiet", "-m", "one file")
+    return m.GitClone("clone", str(folder), git("rev-parse", "HEAD"), found.digest())
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of a run with a step for each region, of which one fails; without the times."""
+    keys = [r["r_regionkey"] for r in table(spark, sf_dir, "region").collect()]
+    log = Path(tempfile.mkdtemp(prefix="matgraph-log-")) / "log"
+
+    def step(key):
+        @m.derivation(f"region{key}", slots=1 + key % 2)
+        def region():
+            if key == 1:
+                raise ValueError("first\nlast")
+            m.output().write_text("x")
+
+        return region()
+
+    told = _Statuses()
+    try:
+        realized(spark, m.Gather(*map(step, keys)), root=mounted(), reporter=m.MultiReporter(told, m.LogReporter(log, log.with_name("status"))))
+    except m.RealizeError:
+        pass
+    lines = spark.createDataFrame([(line[9:],) for line in log.read_text().splitlines()], "line string")
+    return lines.select(F.regexp_replace("line", r" +elapsed[= ]\S+", "").alias("line"))
+
+
 def reported_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What steps, every other one in a child process, report of themselves, as the scheduler
     folds it; and that children run elsewhere."""
@@ -456,7 +503,7 @@ QUERIES = {
     for f in (
         step_materialized, step_cached_twice, step_chain, gather_union, value_step, child_partition, rename_alias, symlink_alias,
         blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, labels, nodes_once, archive_entries, archive_member, stock_steps, scheduled_graph,
-        reported_progress, failed_runs, parse_message, coalesce_last,
+        run_log, reported_progress, failed_runs, parse_message, coalesce_last,
         latest_state, fraction, build_eta, status_counts, snapshot_eta, summary_line, fmt_elapsed, running_list, transition_log, log_lines,
         status_json, build_json, progress_stream,
     )
@@ -577,9 +624,15 @@ ORACLE = {
           round(elapsed_s, 1) AS elapsed_s, round(fraction, 4) AS fraction, eta AS eta_s, nullif(text, '') AS text, nullif(error, '') AS error FROM told""",
     "archive_member": """SELECT n_name || kind AS archive, 'member' AS entry, strlen(n_name) AS length, n_name AS content FROM nation, (VALUES ('.tar.gz'), ('.zip')) k(kind)""",
     "stock_steps": """SELECT step, r_regionkey, r_name AS name FROM region, (VALUES ('tar'), ('zip'), ('member')) s(step)
-        UNION ALL SELECT step, r_regionkey, r_name FROM region, (VALUES ('file'), ('path'), ('link'), ('renamed'), ('child of a renamed folder'), ('constant')) s(step) WHERE r_regionkey = 0""",
+        UNION ALL SELECT step, r_regionkey, r_name FROM region, (VALUES ('file'), ('path'), ('link'), ('renamed'), ('child of a renamed folder'), ('constant'),
+          ('download'), ('clone'), ('run inside a step')) s(step) WHERE r_regionkey = 0""",
     "reported_progress": """SELECT 'region' || r_regionkey AS name, 'done' AS status, CAST(r_regionkey + 10 AS DOUBLE) AS total,
         r_name || CASE WHEN r_regionkey % 2 = 1 THEN ' in a child' ELSE '' END AS text, true AS took_time FROM region""",
+    "run_log": """WITH steps AS (SELECT r_regionkey, 'region' || r_regionkey || '  pool=default' || CASE WHEN r_regionkey % 2 = 1 THEN ' x2' ELSE '' END AS told FROM region)
+        SELECT 'running  ' || told AS line FROM steps UNION ALL SELECT 'done     ' || told FROM steps WHERE r_regionkey <> 1
+        UNION ALL SELECT 'failed   ' || told || '  error=last' FROM steps WHERE r_regionkey = 1
+        UNION ALL SELECT 'start    ' || count(*) || ' nodes  pending ' || count(*) FROM region
+        UNION ALL SELECT 'end      done ' || (count(*) - 1) || '  cached 0  running 0  waiting 0  pending 0  failed 1  blocked 0' FROM region""",
     "failed_runs": """SELECT 'failures' AS "case", 'RealizeError' AS error, CAST(count(*) AS INTEGER) AS n_failed, CAST(count(*) + 1 AS INTEGER) AS n_blocked, true AS at_once FROM region
         UNION ALL SELECT * FROM (VALUES ('no output', 'RealizeError', 1, 1, true), ('the first failure', 'RealizeError', 1, 1, true),
           ('more slots than the pool has', 'ValueError', 0, 0, true), ('not a step', 'TypeError', 0, 0, true))""",
