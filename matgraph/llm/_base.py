@@ -29,44 +29,41 @@ BATCHES = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
+#: The shuffle files of a staged table's job go as soon as the table is written.
+_CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of text batches, in this session. They are read when a plan
-    runs, so they stay set."""
-    for key, value in BATCHES.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+@contextlib.contextmanager
+def options(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Set the session's options for the plans that run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def map_arrow(rows: DataFrame, of_batches, schema) -> DataFrame:
-    """``mapInArrow`` with bounded batches, by a worker that has this package and gives back
-    its memory."""
-    small_batches(rows.sparkSession)
+    """``mapInArrow`` by a worker that has this package and gives back its memory. Plans over
+    texts run with BATCHES: in :func:`staged`, or inside :func:`options`."""
     ship(rows.sparkSession)
     return rows.mapInArrow(tidy(of_batches), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The shuffle files of a staged table's job go as soon as the table is written.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. This cuts the lineage and
-    survives the loss of any executor."""
+    survives the loss of any executor. The job runs with BATCHES."""
     spark = df.sparkSession
     path = new_folder(spark, what)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with options(spark, BATCHES | _CLEANUP):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.staged_at = path
     if (made := _made.get()) is not None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._base import BATCHES, options
+
 
 def remainder(id_col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``: fixes the folds. Null ids are in 0."""
@@ -36,5 +38,6 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, per_label: int, chars: i
     found = texts.join(F.broadcast(chosen.select("doc_id", "label", "n")), "doc_id").withColumn("x", F.xxhash64("text")).dropDuplicates(["doc_id", "label", "x"])
     before = Window.partitionBy("label").orderBy("n", "x").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(F.col("before") < chars)
-    rows = found.select("doc_id", "x", "text", "label").collect()
+    with options(docs.sparkSession, BATCHES):
+        rows = found.select("doc_id", "x", "text", "label").collect()
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["x"], str(r["label"])))]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, langid, mixing, permutation_index, quotation, simhash, substring_dedup, toxicity, warc
-from ._base import table
+from ._base import BATCHES, options, scratch, staged, table
 from ._sample import remainder
 
 
@@ -75,17 +77,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(table(spark, sf_dir, "documents"))
 
 
+def _whole(query):
+    """The query's rows as a table: its plans run here, with the options that bound batches of
+    texts, and the other tables that it made go."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with options(spark, BATCHES), scratch() as kept:
+            found = staged(query(spark, sf_dir), query.__name__)
+            kept.append(found)
+        return found
+
+    return run
+
+
 QUERIES = {
-    "op1_warc": op1_warc,
-    "op2_exact_dedup": op2_exact_dedup,
-    "op3_permutation_index": op3_permutation_index,
-    "op4_bpe": op4_bpe,
-    "op5_simhash": op5_simhash,
-    "op6_mixing": op6_mixing,
-    "op7_toxicity": op7_toxicity,
-    "op8_langid": op8_langid,
-    "op9_quotation": op9_quotation,
-    "op10_substring_dedup": op10_substring_dedup,
+    "op1_warc": _whole(op1_warc),
+    "op2_exact_dedup": _whole(op2_exact_dedup),
+    "op3_permutation_index": _whole(op3_permutation_index),
+    "op4_bpe": _whole(op4_bpe),
+    "op5_simhash": _whole(op5_simhash),
+    "op6_mixing": _whole(op6_mixing),
+    "op7_toxicity": _whole(op7_toxicity),
+    "op8_langid": _whole(op8_langid),
+    "op9_quotation": _whole(op9_quotation),
+    "op10_substring_dedup": _whole(op10_substring_dedup),
 }
 
 ORACLE = {

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import map_arrow, new_folder, staged
+from ._base import BATCHES, map_arrow, new_folder, options, staged
 
 CHUNK = 64 << 10
 #: An empty gzip member. Its time stamp differs from that of the records' members.
@@ -148,7 +148,8 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
                         out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
-    map_arrow(rows, members, "member binary").select(F.col("member").cast("string").alias("value")).write.options(**_TEXT).text(path)
+    with options(pages.sparkSession, BATCHES):
+        map_arrow(rows, members, "member binary").select(F.col("member").cast("string").alias("value")).write.options(**_TEXT).text(path)
 
 
 SEGMENTS = "page_id long, record string, segment long, record_type string, refers_to long, payload_bytes long, payload_digest string, data binary, sha1 binary"
