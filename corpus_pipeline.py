@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matgraph.llm import bpe, exact_dedup, langid, mixing, simhash
-from matgraph.llm._base import drop_staged, scratch, staged, table
+from matgraph.llm._base import BATCHES, drop_staged, options, scratch, staged, table
 from matgraph.llm._sample import remainder
 from matgraph.llm.queries import public_vocabulary
 
@@ -26,34 +26,46 @@ from matgraph.llm.queries import public_vocabulary
 MIN_LANGUAGE_SCORE = 0.4
 
 
+def bounded(spark: SparkSession) -> None:
+    """Set the options that bound batches of whole texts for the session: the stages' rows are
+    written by who calls them."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8, fitted on the same folds as its query; rejected documents go: null, empty and
     letterless texts, and those that no language has MIN_LANGUAGE_SCORE of. Without any label to
     learn from every document goes."""
+    bounded(spark)
     return langid.accepted(docs, langid.train(docs, remainder("doc_id", 5) != 0), MIN_LANGUAGE_SCORE)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2; of equal texts one row stays: the longest, then that of the smallest id, null
     last."""
+    bounded(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5; of each component of near copies one row stays: that of the smallest id, null
     last."""
+    bounded(spark)
     return simhash.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6; rows come as often as the mix takes them, up to three times; a null source is
     one of its own, and rows of one id share a draw."""
+    bounded(spark)
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: for each row its packed ids, and digests of them and of the bytes that they
     decode to; a null id stays null."""
+    bounded(spark)
     found = bpe.encode(docs, *public_vocabulary())
     return found.select(
         "doc_id",
@@ -80,7 +92,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another; of what they write, the last one's rows stay."""
     docs = table(spark, sf_dir, "documents")
-    with scratch() as kept:
+    with options(spark, BATCHES), scratch() as kept:
         for k, (_, stage) in enumerate(STAGES):
             before = docs
             with scratch() as own:
