@@ -185,6 +185,37 @@ def test_passages_against_brute_force(spark, documents):
         assert sum(m.size for m in blocks) >= 0.75 * max(len(a), len(b)) and r["similarity"] >= 0.8
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_every_equal_passage_and_pair_of_its_holders(spark, sf):
+    """All words in runs of 50 that an earlier document has are in passages, and all documents
+    that share 50 words in a row are joined by links."""
+    data = f"/root/testdata/{sf}"
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall()
+    words = {i: re.findall("[^\x20\x09-\x0d]+", (t or "").translate(lower)) for i, t in texts}
+    holders: dict = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 49):
+            holders.setdefault(hash(tuple(words[i][k : k + 50])), []).append((i, k))
+    root = {i: i for i in words}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    covered: dict = {i: set() for i in words}
+    for r in QUERIES["op10_substring_dedup"](spark, data).collect():
+        a, b = sorted((find(r["doc_id"]), find(r["ref_id"])))
+        root[b] = a
+        covered[r["doc_id"]].update(range(r["start"], r["start"] + r["n_words"]))
+    shared = [h for h in holders.values() if h[0][0] != h[-1][0]]
+    assert len(shared) > 1000
+    for h in shared:
+        assert len({find(i) for i, _ in h}) == 1
+        assert all(set(range(k, k + 50)) <= covered[i] for i, k in h if i != h[0][0])
+
+
 def test_neighbours_against_brute_force(spark, tables):
     rows = tables.execute("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
     ids, x = [i for i, _ in rows], np.array([v for _, v in rows], np.float64)
