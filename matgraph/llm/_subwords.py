@@ -45,3 +45,8 @@ def hashed(cores: list[str], grams: tuple[int, ...], affixes: tuple[int, ...], b
 def sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Rows added up by index."""
     return np.stack([np.bincount(index, rows[:, c], n) for c in range(rows.shape[1])], axis=1)
+
+
+def picked_sums(index: np.ndarray, rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``sums(index, rows[at], n)``, without all those rows at once."""
+    return np.stack([np.bincount(index, np.ascontiguousarray(rows[:, c])[at], n) for c in range(rows.shape[1])], axis=1)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._base import column_of, map_arrow, text_of, word_blocks
 from ._sample import labelled_sample
-from ._subwords import hashed, letters, sums
+from ._subwords import hashed, letters, picked_sums, sums
 
 #: Words of a chain of the training sample, before it is spliced with another.
 CHAIN = 64
@@ -140,11 +140,11 @@ def fit(sample: list[tuple[str, str]], seed: int = 7) -> Model:
     np.add.at(seen, (gold[follows - 1], gold[follows]), 1)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (model.weights, model.transitions)]
     for step in range(1, STEPS + 1):
-        emit = sums(word_of, model.weights[feat], len(count))
+        emit = picked_sums(word_of, model.weights, feat, len(count))
         post, expected = forward_backward(emit[token], sizes, model.transitions, pairs=True)
         by_word = sums(token, one_hot - post, len(count))
         grads = (
-            sums(feat, by_word[word_of], len(model.weights)) / len(token) - 1e-6 * model.weights,
+            picked_sums(feat, by_word, word_of, len(model.weights)) / len(token) - 1e-6 * model.weights,
             (seen - expected) / len(token) - 1e-6 * model.transitions,
         )
         for p, g, (m, v) in zip((model.weights, model.transitions), grads, state):

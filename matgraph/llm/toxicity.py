@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._base import column_of, map_arrow, text_of, word_blocks
 from ._sample import labelled_sample
-from ._subwords import hashed, letters, sums
+from ._subwords import hashed, letters, picked_sums, sums
 
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
@@ -119,7 +119,8 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 11) -> Model:
     params = [rng.normal(0, 0.1, (BUCKETS, SIZE)) * common[:, None], rng.normal(0, 0.1, (SIZE, 2)), np.zeros(2)]
     vectors, softmax, bias = params
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    fresh = first_uses(word, sizes).astype(float)
+    # Rows for each word of the sample are single precision; they are what takes memory.
+    fresh = first_uses(word, sizes).astype(np.float32)
     one_hot = np.eye(2)[gold]
     weight = (0.5 / np.bincount(gold, minlength=2))[gold][:, None]
     for step in range(1, WARM_UP + STEPS + 1):
@@ -139,14 +140,14 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 11) -> Model:
         f, w = feat[pick], np.repeat(np.arange(len(used)), n)
         size = np.bincount(bag, minlength=len(sizes))[:, None]
         all_of = np.maximum(grams[used], 1)[:, None]
-        words = sums(w, vectors[f], len(used)) / all_of
+        words = (picked_sums(w, vectors, f, len(used)) / all_of).astype(np.float32)
         bags = sums(bag, words[token] * once, len(sizes)) / size
         z = bags @ softmax + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         off = (p - one_hot) * weight
-        back = sums(token, (off @ softmax.T / size)[bag] * once, len(used)) / all_of
-        grads = (sums(f, back[w], BUCKETS), bags.T @ off + 1e-4 * softmax, off.sum(axis=0))
+        back = sums(token, (off @ softmax.T / size).astype(np.float32)[bag] * once, len(used)) / all_of
+        grads = (picked_sums(f, back, w, BUCKETS), bags.T @ off + 1e-4 * softmax, off.sum(axis=0))
         rate = 0.3 if step <= WARM_UP else 0.1
         for q, g, (m, v) in zip(params, grads, state):
             m += 0.1 * (g - m)
