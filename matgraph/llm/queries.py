@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import functools
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, permutation_index, quotation, simhash, substring_dedup, toxicity, warc
+from . import bpe, divergence, exact_dedup, langid, mixing, periodic_runs, permutation_index, quotation, simhash, substring_dedup, toxicity, url_filter, warc
 from ._base import BATCHES, options, scratch, staged, table
 from ._sample import remainder
 
@@ -77,6 +79,46 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+#: Fixed values of the contract: host, start of the path, verdict.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_of(spark, RULES))
+
+
+def with_repeats(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's rewriting of a tenth of the documents, as places in the original words."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate([np.arange(a), a + np.arange(n - a) % p])
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(table(spark, sf_dir, "documents"), with_repeats)
+    # Runs come by start, then period, so of equal exponents the first stays.
+    best = F.reduce("runs", F.try_element_at("runs", F.lit(1)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def _whole(query):
     """The query's rows as a table: its plans run here, with the options that bound batches of
     texts, and the other tables that it made go."""
@@ -102,6 +144,9 @@ QUERIES = {
     "op8_langid": _whole(op8_langid),
     "op9_quotation": _whole(op9_quotation),
     "op10_substring_dedup": _whole(op10_substring_dedup),
+    "op11_divergence": _whole(op11_divergence),
+    "op12_url_filter": _whole(op12_url_filter),
+    "op13_periodic_runs": _whole(op13_periodic_runs),
 }
 
 ORACLE = {
@@ -226,4 +271,115 @@ ORACLE = {
                  CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)
                    / 4503599627370496.0::DOUBLE < rate - floor(rate) AS BIGINT) AS BIGINT) AS taken
         FROM sizes JOIN rate ON sizes.source IS NOT DISTINCT FROM rate.source""",
+    "op11_divergence": r"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+          FROM documents),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        used AS (SELECT lang, source, row, unnest(terms) AS item FROM docs),
+        kept AS (SELECT lang, item FROM used GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+        counts AS (SELECT lang, source, item, count(*) AS n FROM used SEMI JOIN kept USING (lang, item) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        cells AS (
+          SELECT g.lang, g.source, k.item, coalesce(c.n, 0)::HUGEINT AS n, v.v::HUGEINT AS v
+          FROM groups g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN counts c USING (lang, source, item)),
+        own AS (SELECT *, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM cells),
+        whole AS (
+          SELECT lang, item, 1 + (1000000000 * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v) AS q
+          FROM (SELECT lang, item, sum(n)::HUGEINT AS n, any_value(v) AS v FROM cells GROUP BY lang, item)),
+        sums AS (
+          SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+          FROM own a JOIN own b ON a.lang = b.lang AND a.item = b.item AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (
+          SELECT lang, source, 'term' AS part, item, (((p - q) * (p - q)) // q)::BIGINT AS value
+          FROM own JOIN whole USING (lang, item) WHERE n > 0 AND p > q),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+          FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
+    "op12_url_filter": r"""
+        WITH RECURSIVE base AS (
+          SELECT page_id, url, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+        parts AS (
+          SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+                 translate(left(url, strpos(url, '://') - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' ||
+                   translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS node
+          FROM base),
+        tags AS (
+          SELECT node AS a, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>', '', 'g'), '(?i)<(?:link|meta)[\x09-\x0D\x20][^>]*>')) AS tag
+          FROM parts WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
+        raw AS (
+          SELECT a, CASE WHEN regexp_matches(tag, '(?i)^<link(?:[\x09-\x0D\x20]|[\x09-\x0D\x20][^>]*[\x09-\x0D\x20])rel[\x09-\x0D\x20]*=(?:[\x09-\x0D\x20]*canonical[\x09-\x0D\x20/>]|[\x09-\x0D\x20]*"(?:[^"]*[\x09-\x0D\x20])?canonical(?:[\x09-\x0D\x20][^"]*)?"|[\x09-\x0D\x20]*''(?:[^'']*[\x09-\x0D\x20])?canonical(?:[\x09-\x0D\x20][^'']*)?'')')
+                         THEN regexp_extract(tag, '(?i)[\x09-\x0D\x20]href[\x09-\x0D\x20]*=[\x09-\x0D\x20]*(?:"([^"]*)"|''([^'']*)''|([^\x09-\x0D\x20"''>]+))', 1) || regexp_extract(tag, '(?i)[\x09-\x0D\x20]href[\x09-\x0D\x20]*=[\x09-\x0D\x20]*(?:"([^"]*)"|''([^'']*)''|([^\x09-\x0D\x20"''>]+))', 2) || regexp_extract(tag, '(?i)[\x09-\x0D\x20]href[\x09-\x0D\x20]*=[\x09-\x0D\x20]*(?:"([^"]*)"|''([^'']*)''|([^\x09-\x0D\x20"''>]+))', 3)
+                         WHEN regexp_matches(tag, '(?i)^<meta(?:[\x09-\x0D\x20]|[\x09-\x0D\x20][^>]*[\x09-\x0D\x20])http-equiv[\x09-\x0D\x20]*=[\x09-\x0D\x20]*["'']?refresh["''\x09-\x0D\x20/>]')
+                         THEN regexp_extract(regexp_extract(tag, '(?i)[\x09-\x0D\x20]content[\x09-\x0D\x20]*=[\x09-\x0D\x20]*(?:"([^"]*)"|''([^'']*)''|([^\x09-\x0D\x20"''>]+))', 1) || regexp_extract(tag, '(?i)[\x09-\x0D\x20]content[\x09-\x0D\x20]*=[\x09-\x0D\x20]*(?:"([^"]*)"|''([^'']*)''|([^\x09-\x0D\x20"''>]+))', 2) || regexp_extract(tag, '(?i)[\x09-\x0D\x20]content[\x09-\x0D\x20]*=[\x09-\x0D\x20]*(?:"([^"]*)"|''([^'']*)''|([^\x09-\x0D\x20"''>]+))', 3),
+                                             '(?i)^[\x09-\x0D\x20]*[0-9.]+[\x09-\x0D\x20]*[;,][\x09-\x0D\x20]*url[\x09-\x0D\x20]*=[\x09-\x0D\x20]*["'']?([^"'']*)', 1) END AS ref
+          FROM tags),
+        refs AS (
+          SELECT a, replace(replace(regexp_replace(ref, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g'), '&#38;', '&'), '&amp;', '&') AS ref,
+                 regexp_extract(a, '^[^:]*://[^/?]*') AS site, regexp_extract(a, '^[^?]*') AS page FROM raw),
+        resolved AS (
+          SELECT a, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN ref
+                         WHEN regexp_matches(ref, '^(?:#|$)') OR regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                         WHEN ref LIKE '//%' THEN regexp_extract(a, '^[^:]*') || ':' || ref
+                         WHEN ref LIKE '/%' THEN site || ref
+                         WHEN ref LIKE '?%' THEN page || ref
+                         ELSE CASE WHEN page = site THEN site || '/' ELSE regexp_extract(page, '^.*/') END || ref END AS url
+          FROM refs WHERE ref <> ''),
+        links AS (
+          SELECT DISTINCT a, translate(left(url, strpos(url, '://') - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' ||
+                   translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ||
+                   regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^#]*)', 1) AS b
+          FROM resolved WHERE url IS NOT NULL),
+        rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        urls AS (
+          SELECT DISTINCT host, path FROM parts UNION
+          SELECT regexp_extract(n, '^[^:]*://([^/?]*)', 1), regexp_extract(n, '^[^:]*://[^/?]*([^?]*)', 1) FROM (SELECT a AS n FROM links UNION SELECT b FROM links)),
+        decided AS (
+          SELECT u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS ruled
+          FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY ALL),
+        reach AS (
+          SELECT a AS node, a AS other FROM links UNION SELECT b, b FROM links UNION
+          SELECT reach.node, CASE WHEN l.a = reach.other THEN l.b ELSE l.a END FROM reach JOIN links l ON reach.other IN (l.a, l.b)),
+        blocked AS (
+          SELECT node FROM reach JOIN decided ON host = regexp_extract(other, '^[^:]*://([^/?]*)', 1) AND path = regexp_extract(other, '^[^:]*://[^/?]*([^?]*)', 1)
+          GROUP BY node HAVING min(ruled) = 'block')
+        SELECT page_id, p.host, p.path, rule, coalesce(ruled, CASE WHEN b.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+               ruled IS NULL AND b.node IS NOT NULL AS aliased
+        FROM parts p LEFT JOIN decided d ON d.host = p.host AND d.path = p.path LEFT JOIN blocked b ON b.node = p.node""",
+    "op13_periodic_runs": r"""
+        WITH hashed AS (
+          SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                 CASE WHEN doc_id IS NULL THEN 1 ELSE xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+                   lambda x, c: list_reduce(list_prepend(xor(x, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                     lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))) END AS h
+          FROM documents),
+        sized AS (SELECT *, len(words)::BIGINT AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM hashed),
+        texts AS (
+          SELECT row, doc_id, n, CASE WHEN a IS NULL THEN words ELSE
+                   list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS words
+          FROM sized),
+        placed AS (SELECT row, unnest(range(n)) AS i, unnest(words) AS word FROM texts),
+        equal AS (SELECT x.row, x.i, y.i - x.i AS period FROM placed x JOIN placed y ON x.row = y.row AND x.word = y.word AND x.i < y.i),
+        stretches AS (
+          SELECT row, min(i) AS start, count(*) + period AS length, period
+          FROM (SELECT *, i - row_number() OVER (PARTITION BY row, period ORDER BY i) AS stretch FROM equal)
+          GROUP BY row, period, stretch HAVING count(*) + period >= greatest(24, 3 * period)),
+        runs AS (SELECT row, start, length, min(period) AS period FROM stretches GROUP BY ALL),
+        best AS (
+          SELECT row, arg_max({'s': start, 'l': length, 'p': period}, {'e': length * 1000000000000::HUGEINT // period, 's': -start, 'p': -period}) AS r, count(*) AS n_runs,
+                 string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+          FROM runs GROUP BY row),
+        dropped AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+        collapsed AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS kept FROM placed ANTI JOIN dropped USING (row, i) GROUP BY row)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, r.s AS start, r.l AS length, r.p AS period, r.l * 1000 // r.p AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM texts LEFT JOIN best USING (row) LEFT JOIN collapsed USING (row)""",
 }
