@@ -4,9 +4,8 @@ its language, over integer-encoded terms in exact arithmetic.
 Texts are read once. Each task counts the terms of its (language, source) groups and hands on
 (language, source, term, occurrences, documents); these rows meet by (language, term), so a
 hot source is spread over its terms, and terms in fewer than MIN_DOCS documents of the language go.
-The rest are dealt into ranges of terms in UTF-8 order. A range is a chunk: its sorted kept
-terms are an array, searchsorted gives ids in UTF-8 order, and bincount makes a dense vector of
-each group. From these come the chunk's part of each pair's sum, and of each group the chunk's
+The rest are numbered in UTF-8 order and cut into chunks. A chunk's sorted kept terms are an
+array, searchsorted gives ids that keep that order, and bincount makes a dense vector of each group. From these come the chunk's part of each pair's sum, and of each group the chunk's
 TOP terms by value and id. No list of groups or terms passes through the driver.
 
 A group's smoothed share of a term is p = 1 + floor(SCALE * (count + 1) / (N + V)), for V kept terms
@@ -155,18 +154,39 @@ def _chunk(key, counts: pa.Table, groups: pa.Table) -> pa.Table:
     })
 
 
+def _numbered(batches):
+    """Of rows in the order of terms, the number of each term in its part, from 0."""
+    at = -1
+    for batch in batches:
+        local = at + np.cumsum(batch.column("first").to_numpy(zero_copy_only=False))
+        at = int(local[-1]) if len(local) else at
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(local, pa.int64())], names=[*batch.schema.names[:5], "local"])
+
+
+def _encoded(kept: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, chunk, source, term, n). Terms are numbered in the order of languages and terms: within
+    ranges, whose sizes are added up, so that chunks don't hang on how the rows are dealt."""
+    facts = kept.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("first").cast("long")).alias("terms")).first()
+    most = groups.agg(F.max("sources")).first()[0] or 0
+    # A chunk gives a row for each pair of sources, so it has as many rows to read at least.
+    width = max(1, max(ROWS, most * most) * (facts["terms"] or 0) // max(1, facts["rows"]))
+    ranges = kept.repartitionByRange(max(1, math.ceil(facts["rows"] / ROWS)), "lang", "term").sortWithinPartitions("lang", "term", "source")
+    ranges = ranges.select(F.spark_partition_id().alias("part"), "lang", "source", "term", "n", "first")
+    ranges = staged(map_arrow(ranges, _numbered, "part int, lang string, source string, term string, n long, local long"), "numbered")
+    sizes = ranges.groupBy("part").agg((F.max("local") + 1).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("part").alias("part"), before.alias("before"))
+    ranges = ranges.join(sizes, "part")
+    return ranges.select("lang", F.floor((F.col("before") + F.col("local")) / width).alias("chunk"), "source", "term", "n")
+
+
 def audit(docs: DataFrame, *, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank); ``top`` (at most TOP) terms of each group."""
     counts = staged(counts_of(docs, min_docs), "counts")
     groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum(F.col("first").cast("long")).alias("firsts"))
     langs = groups.groupBy("lang").agg(F.sum("firsts").alias("kept"), F.count(F.lit(1)).alias("sources"))
     groups = staged(groups.join(langs, "lang").drop("firsts"), "groups")
-    kept = counts.filter("term <> ''")
-    most = groups.agg(F.max("sources")).first()[0] or 0
-    # A chunk gives a row for each pair of sources, so it has as many rows to read at least.
-    chunks = max(1, math.ceil(kept.count() / max(ROWS, most * most)))
-    dealt = kept.repartitionByRange(chunks, "lang", "term").select("lang", F.spark_partition_id().alias("chunk"), "source", "term", "n")
-    dealt = staged(dealt, "chunks")
+    dealt = staged(_encoded(counts.filter("term <> ''"), groups), "chunks")
     around = staged(dealt.select("lang", "chunk").distinct().join(groups, "lang"), "around")
     parts = dealt.groupBy("lang", "chunk").cogroup(around.groupBy("lang", "chunk")).applyInArrow(_chunk, "lang string, source string, part string, item string, value long")
     parts = staged(parts, "parts")
