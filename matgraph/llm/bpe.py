@@ -9,12 +9,13 @@ aggregation gives each piece's ids. Decoding joins the (text, position, id) rows
 every text to the vocabulary and aggregates them in order.
 The pattern is applied by the ``regex`` module, as DuckDB's engine has no
 lookahead. Nothing is shuffled; memory is bounded by ``BLOCK`` characters of
-pieces, ``WORK`` rows of a recursion, ``TOKENS`` rows of a decoding, ``CACHE`` cached
-pieces and DuckDB's own limit.
+pieces, ``WORK`` rows of a recursion, ``TOKENS`` rows and ``DECODED`` bytes of a decoding,
+``CACHE`` cached pieces, ``WINDOW`` bytes of long ones, DuckDB's own limit, and one text.
 
 The recursion keeps every step, so a piece of n bytes makes up to n * n / 2 rows and takes
-quadratic time. One of more than ``LONG`` bytes (an unbroken run of letters, say) is
-contracted by the same rule over a heap, and isn't cached.
+quadratic time. Those of more than ``LONG`` bytes (an unbroken run of letters, say) are
+contracted by the same rule on arrays, in windows that are joined where they agree, and
+aren't cached.
 
 Defined results: a null text is the empty text, with no tokens; a very long text is
 encoded and decoded in parts; every row gives one row, repeats and null ids included; an
@@ -43,8 +44,11 @@ CACHE = 200_000
 LONG = 128
 #: Pieces that go through one recursive query, and rows that it may make.
 QUERY, WORK = 20_000, 2_000_000
-#: Tokens that are decoded by one query.
-TOKENS = 500_000
+#: Tokens that are decoded by one query, and bytes that they become.
+TOKENS, DECODED = 500_000, 4 << 20
+#: Bytes of long pieces that are contracted together, on arrays of about 40 bytes for each.
+WINDOW = 1 << 20
+NONE = np.iinfo(np.int32).max
 
 #: key is the piece's number and the token's place in it, which stays dense: a step
 #: contracts one pair of each piece that still has one.
@@ -98,6 +102,11 @@ class Codec:
             if (left := get(token[:cut])) is not None and (right := get(token[cut:])) is not None
         ]
         m = np.array(merges, np.int64).reshape(-1, 3)
+        by = np.argsort(m[:, 0] << 16 | m[:, 1])
+        self.pairs = np.append((m[:, 0] << 16 | m[:, 1])[by], np.iinfo(np.int64).max)
+        self.merged = np.append(m[:, 2][by], NONE).astype(np.int32)
+        self.lengths = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.lengths[list(self.ranks.values())] = list(map(len, self.ranks))
         for name, rows in (
             ("merges", pa.table({"pair": m[:, 0] << 16 | m[:, 1], "merged": m[:, 2]})),
             ("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "chars": [b.decode("latin-1") for b in self.ranks]})),
@@ -106,38 +115,91 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
-    def _contract_long(self, piece: bytes) -> list[int]:
-        ids = [int(self.byte_ids[b]) for b in piece]
-        part = [bytes([b]) for b in piece]
-        after = list(range(1, len(ids))) + [-1]
-        prior = list(range(-1, len(ids) - 1))
-        alive = [True] * len(ids)
-        get = self.ranks.get
-
-        def pair(i: int):
-            if i >= 0 and after[i] >= 0 and (r := get(part[i] + part[after[i]])) is not None:
-                return (r, i, len(part[i]), len(part[after[i]]))
-            return None
-
-        heap = [p for i in range(len(ids)) if (p := pair(i))]
-        heapq.heapify(heap)
-        while heap:
-            r, i, n, m = heapq.heappop(heap)
-            j = after[i] if alive[i] else -1
-            if j < 0 or len(part[i]) != n or len(part[j]) != m:
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of what each two ids merge to, NONE where nothing does."""
+        key = left.astype(np.int64) << 16 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where((left >= 0) & (right >= 0) & (self.pairs[at] == key), self.merged[at], NONE)
+
+    def _contract_together(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of several pieces, by the recursion's rule, rank by rank on arrays: all leftmost
+        pairs of the least rank at once, as long as none of them makes a pair of a lesser one."""
+        raw = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
+        ends = np.cumsum([len(p) + 1 for p in pieces]) - 1
+        ids = self.byte_ids[raw].astype(np.int32)
+        ids[ends] = -1  # a place that merges with nothing
+        after = np.arange(1, len(ids) + 1, dtype=np.int32)
+        after[-1] = len(ids) - 1
+        prior = np.arange(-1, len(ids) - 1, dtype=np.int32)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray, rank: np.ndarray) -> None:
+            at, rank = at[rank != NONE], rank[rank != NONE]
+            by = np.argsort(rank, kind="stable")
+            at, rank = at[by], rank[by]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for r, own in zip(rank[np.r_[0, cuts]].tolist() if len(rank) else (), np.split(at, cuts)):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(own)
+
+        at = np.arange(len(ids) - 1, dtype=np.int32)
+        wait(at, self._ranks_of(ids[:-1], ids[1:]))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[self._ranks_of(ids[at], ids[after[at]]) == r]
+            if not len(at):
                 continue
-            part[i], ids[i], alive[j] = part[i] + part[j], r, False
-            after[i] = after[j]
-            if after[j] >= 0:
-                prior[after[j]] = i
-            for p in (pair(prior[i]), pair(i)):
-                if p:
-                    heapq.heappush(heap, p)
-        return [x for x, live in zip(ids, alive) if live]
+            # Of pairs that overlap, every second one from the left.
+            new = np.r_[True, after[at[:-1]] != at[1:]]
+            place = np.arange(len(at))
+            every, at = at, at[(place - np.maximum.accumulate(np.where(new, place, 0))) % 2 == 0]
+            gone = after[at]
+            left = np.where(np.r_[False, prior[at[1:]] == gone[:-1]], r, ids[prior[at]])
+            lesser = np.minimum(self._ranks_of(left, np.full(len(at), r)), self._ranks_of(np.full(len(at), r), ids[after[gone]])) < r
+            if lesser.any():
+                k = int(lesser.argmax()) + 1
+                waiting[r] = [every]
+                heapq.heappush(ranks, r)
+                at, gone = at[:k], gone[:k]
+            ids[at], ids[gone] = r, -2
+            after[at] = after[gone]
+            prior[after[at]] = at
+            both = np.r_[prior[at], at]
+            wait(both, self._ranks_of(ids[both], ids[after[both]]))
+        return [part[part >= 0] for part in np.split(ids, ends)[:-1]]
+
+    def _contract_long(self, piece: bytes) -> bytes:
+        """The packed ids of a piece in windows of WINDOW bytes, each of which begins at a token
+        of the one before. Of two windows that hold one token at one place, the first's ids up to it
+        and the second's after it are those of both together: ids are a contraction if every two
+        neighbours are, as a merge across neighbours would come first among these two as well."""
+        out: list[bytes] = []
+        held, at = self._contract_together([piece[:WINDOW]])[0], 0
+        while at + WINDOW < len(piece):
+            starts = at + np.r_[0, np.cumsum(self.lengths[held[:-1]])]
+            back = 32
+            while True:
+                # The last tokens of a window may hang on what follows it.
+                k = max(0, len(held) - back)
+                more = self._contract_together([piece[starts[k] : starts[k] + WINDOW]])[0] if k else None
+                if k == 0 or more[0] == held[k]:
+                    break
+                back *= 2
+            if k == 0:  # no two windows agree
+                more = self._contract_together([piece[at:]])[0]
+                return b"".join([*out, more.astype("<u4").tobytes()])
+            out.append(held[:k].astype("<u4").tobytes())
+            held, at = more, int(starts[k])
+        return b"".join([*out, held.astype("<u4").tobytes()])
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Bring all these pieces into the young generation, as packed ids."""
         missing: list[tuple[int, bytes, str]] = []
+        long: list[tuple[int, bytes, str]] = []
         young, old, rank_of = self.young, self.old, self.ranks.get
         for p in set(pieces).difference(young):
             if (known := old.get(p)) is None:
@@ -148,9 +210,10 @@ class Codec:
                     missing.append((len(raw), raw, p))
                     continue
                 else:
-                    known = np.array(self._contract_long(raw), "<u4").tobytes()
-                    self.long.append(p)
+                    long.append((len(raw), raw, p))
+                    continue
             young[p] = known
+        self._learn_long(sorted(long))
         # Pieces of like length together, as many as WORK allows.
         missing.sort()
         at = 0
@@ -162,6 +225,21 @@ class Codec:
             self._contract(missing[at:end])
             at = end
 
+    def _learn_long(self, given: list[tuple[int, bytes, str]]) -> None:
+        self.long += (p for _, _, p in given)
+        at = 0
+        while at < len(given):
+            end, size = at + 1, given[at][0]
+            while end < len(given) and size + given[end][0] <= WINDOW:
+                size += given[end][0]
+                end += 1
+            if size > WINDOW:
+                self.young[given[at][2]] = self._contract_long(given[at][1])
+            else:
+                for (_, _, p), ids in zip(given[at:end], self._contract_together([raw for _, raw, _ in given[at:end]])):
+                    self.young[p] = ids.astype("<u4").tobytes()
+            at = end
+
     def _contract(self, given: list[tuple[int, bytes, str]]) -> None:
         n = np.fromiter((k for k, _, _ in given), np.int64, len(given))
         wid = np.repeat(np.arange(len(given)), n)
@@ -176,18 +254,22 @@ class Codec:
 
     def decode(self, texts: list[bytes]) -> list[bytes]:
         """The bytes of each list of packed ids."""
-        n = np.fromiter(map(len, texts), np.int64, len(texts)) // 4
-        flat = np.frombuffer(b"".join(texts), "<u4").astype(np.int32)
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), n)
-        out = [b""] * len(texts)
-        for at in range(0, len(flat), TOKENS):
-            part = slice(at, at + TOKENS)
-            self.db.register("tokens", pa.table({"doc": doc[part], "pos": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}))
+        ends = np.cumsum([len(t) // 4 for t in texts])
+        flat = np.frombuffer(b"".join(texts) if len(texts) != 1 else texts[0], "<u4")
+        out: list[list[bytes]] = [[] for _ in texts]
+        at = 0
+        while at < len(flat):
+            # Tokens of so many bytes as DECODED says, or one.
+            ids = flat[at : at + TOKENS].astype(np.int32)
+            ids = ids[: max(1, int(np.searchsorted(np.cumsum(self.lengths[ids]), DECODED, side="right")))]
+            doc = np.searchsorted(ends, np.arange(at, at + len(ids)), side="right").astype(np.int32)
+            at += len(ids)
+            self.db.register("tokens", pa.table({"doc": doc, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
             got = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("tokens")
             for i, chars in zip(got.column(0).to_pylist(), got.column(1)):
-                out[i] += chars.as_py().encode("latin-1")
-        return out
+                out[i].append(chars.as_py().encode("latin-1"))
+        return [b"".join(parts) for parts in out]
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= BLOCK:

@@ -1,4 +1,9 @@
+import base64
+import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -43,14 +48,82 @@ def test_long_pieces_and_texts(own, reference, monkeypatch):
     rng = random.Random(6)
     long = "".join(rng.choice("abcdefgh") for _ in range(5000))
     assert ids_of(own.encode([long])[0]) == reference.encode_ordinary(long)
-    with_recursion = "".join(rng.choice("abcdefgh") for _ in range(bpe.LONG))
-    assert own._contract_long(with_recursion.encode()) == ids_of(own.encode([with_recursion])[0])
+    with_recursion = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, bpe.LONG))) for _ in range(200)]
+    together = own._contract_together([t.encode() for t in with_recursion])
+    assert [ids.tolist() for ids in together] == [ids_of(own.encode([t])[0]) for t in with_recursion]
     assert not own.long and long not in own.young
     monkeypatch.setattr(bpe, "BLOCK", 1000)
     text = "Some words, and 12 numbers.\n\n  " * 300
     assert ids_of(own.encode([text])[0]) == reference.encode_ordinary(text)
 
 
+def unbroken(rng, n):
+    """A long piece: letters, pieces of words, one sign, or characters of several bytes."""
+    parts = rng.choice(["abcdefghijklmnopqrstuvwxyz", ["the", "and", "ing", "tion", "er", "on", "st"], "a", "=", "─", "éèàüßÃÂ漢字─", ["abc"], ["─═", "xyzzy"]])
+    return "".join(rng.choice(parts) for _ in range(n))
+
+
+@pytest.mark.parametrize("window", [200, 333, 1000])
+def test_windows_of_long_pieces(own, reference, monkeypatch, window):
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    rng = random.Random(window)
+    for _ in range(60):
+        texts = [unbroken(rng, rng.randrange(50, 1500)) for _ in range(3)]
+        assert [ids_of(x) for x in own.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_ranks_in_any_order():
+    """Vocabularies whose tokens other merges make, or none: rank by rank equals pair by pair."""
+    rng = random.Random(8)
+    for _ in range(60):
+        long = sorted({bytes(rng.choices(b"abc", k=rng.randrange(2, 6))) for _ in range(rng.randrange(40))})
+        rng.shuffle(long)
+        ranks = {t: k for k, t in enumerate([*(bytes([b]) for b in range(256)), *long])}
+        file = b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items())
+        codec = bpe.Codec(file, ".+")
+        pieces = [bytes(rng.choices(b"abc", k=rng.randrange(1, 60))) for _ in range(20)]
+        for piece, got in zip(pieces, codec._contract_together(pieces)):
+            parts = [bytes([b]) for b in piece]
+            while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+                i = min(found)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            assert got.tolist() == [ranks[p] for p in parts]
+
+
+LONG_TEXTS = {
+    "rules": lambda n: (" " + "-" * 64 + "\n") * (n // 66),
+    "mojibake": lambda n: "ÃÂ" * (n // 4),
+    "letters": lambda n: "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=n)),
+    "sign": lambda n: "=" * n,
+}
+
+
+def test_long_texts_through_spark(spark, reference):
+    """Texts of 16 MB of long tokens, and of 4 MB in one piece."""
+    texts = {k: make(16 << 20 if k in ("rules", "mojibake") else 4 << 20) for k, make in LONG_TEXTS.items()}
+    rows = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    found = bpe.encode(rows, FILE, public_tokenizers.PATTERN).selectExpr("doc_id", "sha2(ids, 256) AS ids", "sha2(decoded, 256) AS decoded").collect()
+    for i, text in enumerate(texts.values()):
+        ids = np.array(reference.encode_ordinary(text), "<u4").tobytes()
+        assert tuple(next(r for r in found if r["doc_id"] == i)) == (i, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("kind", sorted(LONG_TEXTS))
+def test_memory_of_long_texts(kind):
+    """A worker's memory for 16 MB: at most 600 MB, of which 200 are the codec."""
+    code = f"""
+import sys
+sys.path[:0] = {[os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(bpe.__file__)))), os.path.dirname(__file__)]}
+import test_bpe as t
+text = t.LONG_TEXTS[{kind!r}](16 << 20)
+codec = t.bpe.Codec(t.FILE, t.public_tokenizers.PATTERN)
+assert codec.decode(codec.encode([text])) == [text.encode()]
+print(next(int(x.split()[1]) // 1024 for x in open('/proc/self/status') if x.startswith('VmHWM')))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert int(out.stdout) < 600, out.stderr
+
+
 def test_small_cache_changes_nothing(own, reference, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 5)
     for t in samples()[-30:]:
