@@ -75,6 +75,11 @@ def op9_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.linked(table(spark, sf_dir, "conversations"))
 
 
+def chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threads of operator 9 as chat markup."""
+    return quotation.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(table(spark, sf_dir, "documents"))
 
@@ -147,6 +152,7 @@ QUERIES = {
     "op11_divergence": _whole(op11_divergence),
     "op12_url_filter": _whole(op12_url_filter),
     "op13_periodic_runs": _whole(op13_periodic_runs),
+    "chat_threads": _whole(chat_threads),
 }
 
 ORACLE = {
@@ -165,7 +171,7 @@ ORACLE = {
                         NOT regexp_matches(lines[i], '^[ \t]{0,3}(?:>[ \t]?)+')
                         AND NOT (regexp_matches(lines[i], '(?i)^(?:on .* wrote|le .* a écrit|am .* schrieb .*|el .* escribió|.{1,60} (?:wrote|said)):[ \t]*$')
                                  AND coalesce(regexp_matches(lines[i + 1], '^[ \t]{0,3}(?:>[ \t]?)+'), false))),
-                        lambda i: lines[i]), chr(10)), '^\s+|\s+$', '', 'g')
+                        lambda i: lines[i]), chr(10)), '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')
                       ELSE text END AS body
           FROM bodies),
         split AS (SELECT id, conv_id, turn, unnest(range(1, len(lines) + 1)) AS pos, unnest(lines) AS line FROM messages WHERE quoted),
@@ -383,3 +389,10 @@ ORACLE = {
                sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
         FROM texts LEFT JOIN best USING (row) LEFT JOIN collapsed USING (row)""",
 }
+
+ORACLE["chat_threads"] = f"""
+        WITH linked AS ({ORACLE["op9_quotation"]}),
+        told AS (
+          SELECT thread_id, (position - 1) // 1024 AS part, position, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || body AS said
+          FROM linked WHERE position IS NOT NULL)
+        SELECT thread_id, part, string_agg(said, chr(10) ORDER BY position) AS text FROM told GROUP BY thread_id, part"""

@@ -14,8 +14,8 @@ that replies join are one thread: the ids of conversations are taken for the ord
 they began, so a reply joins its conversation to an earlier one, and one to a later
 conversation is told but joins nothing. A thread is named by its first conversation, and is
 ordered by conversation, then turn: as originals come earlier in both, that is a reply order.
-A message's position in its thread is counted by spans of ``SPAN`` turns, and of ``SPAN``
-conversations, so that no task needs a whole conversation, or a row for each of a thread's.
+A message's position in its thread is counted on narrow rows, sorted in ranges whose sizes are
+added up, so that no task needs a whole conversation or thread.
 
 Defined results: a null text is empty; a very long text is split where it is read; rows with
 a null conversation or turn are kept, aren't linked and don't serve as originals, and have a
@@ -32,9 +32,12 @@ from pyspark.sql import functions as F
 from ._base import staged, text_of
 from ._graph import components
 
+#: Lines end at U+000A only: (?d) says so to ``^``, ``$`` and ``.``.
 MARKS = r"^[ \t]{0,3}(?:>[ \t]?)+"
-ATTRIBUTION = r"(?i)^(?:on .* wrote|le .* a écrit|am .* schrieb .*|el .* escribió|.{1,60} (?:wrote|said)):[ \t]*$"
+ATTRIBUTION = r"(?iud)^(?:on .* wrote|le .* a écrit|am .* schrieb .*|el .* escribió|.{1,60} (?:wrote|said)):[ \t]*$"
+EDGES = r"(?d)^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
 MIN_WORDS = 3
+#: Positions of a part of a formatted thread.
 SPAN = 1024
 
 
@@ -64,12 +67,12 @@ def parsed(messages: DataFrame) -> DataFrame:
     )
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
     base = base.withColumn("key", F.unhex(F.sha2(F.concat_ws("\x1f", part("conv_id"), part("turn"), part("role"), F.col("text")), 256)))
-    base = base.withColumn("quoted", F.col("text").rlike("(?m)" + MARKS))
+    base = base.withColumn("quoted", F.col("text").rlike("(?md)" + MARKS))
     lines = F.split("text", r"\n")
     is_quote = lambda line: line.rlike(MARKS)
     above = lambda line, i: line.rlike(ATTRIBUTION) & F.coalesce(is_quote(F.get(lines, i + 1)), F.lit(False))
     own = F.filter(lines, lambda line, i: ~is_quote(line) & ~above(line, i))
-    body = F.when(F.col("quoted"), F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", "")).otherwise(F.col("text"))
+    body = F.when(F.col("quoted"), F.regexp_replace(F.array_join(own, "\n"), EDGES, "")).otherwise(F.col("text"))
     return base.withColumn("body", body)
 
 
@@ -124,41 +127,42 @@ def threads(found: DataFrame) -> DataFrame:
     return components(joined).select(F.col("node").alias("conv_id"), F.col("root").alias("thread_id"))
 
 
-def _before(group: list[str], order: str, n: str) -> Column:
-    """What the rows before have together, in their group."""
-    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(n).over(before), F.lit(0))
+def _running(n: str, order: list) -> Column:
+    """What the rows before have together, in their range."""
+    return F.coalesce(F.sum(n).over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _offsets(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(conv_id, span, thread_id, before): the messages of a thread before each span."""
-    spans = rows.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("n")).join(threads(found), "conv_id", "left")
-    spans = staged(spans.withColumn("thread_id", F.coalesce("thread_id", "conv_id")).withColumn("block", F.floor(F.col("conv_id") / SPAN)), "spans")
-    convs = spans.groupBy("thread_id", "block", "conv_id").agg(F.sum("n").alias("n"))
-    blocks = convs.groupBy("thread_id", "block").agg(F.sum("n").alias("n"))
-    in_block = convs.withColumn("in_block", _before(["thread_id", "block"], "conv_id", "n")).drop("n")
-    in_thread = blocks.withColumn("in_thread", _before(["thread_id"], "block", "n")).drop("n")
-    in_conv = spans.withColumn("in_conv", _before(["conv_id"], "span", "n"))
-    return in_conv.join(in_block, ["thread_id", "block", "conv_id"]).join(in_thread, ["thread_id", "block"]).select(
-        "conv_id", "span", "thread_id", (F.col("in_thread") + F.col("in_block") + F.col("in_conv")).alias("before")
-    )
+def positions(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, thread_id, first, n) of the messages with conversation and turn: of each key, that
+    has n equal rows, the place before its first in the thread. Narrow rows are sorted in ranges,
+    whose sizes are added up, so that no thread or conversation has to be in one task."""
+    keys = rows.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn", "role", "key").agg(F.count(F.lit(1)).alias("n"))
+    keys = staged(keys.join(threads(found), "conv_id", "left").withColumn("thread_id", F.coalesce("thread_id", "conv_id")), "keys")
+    order = ["thread_id", "conv_id", "turn", F.col("role").asc_nulls_first(), "key"]
+    dealt = staged(keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("range").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = dealt.withColumn("inner", _running("n", order)).join(sizes, "range").withColumn("at", F.col("before") + F.col("inner"))
+    placed = staged(placed.select("key", "thread_id", "at", "n"), "places")
+    starts = placed.groupBy("thread_id").agg(F.min("at").alias("start"))
+    return placed.join(starts, "thread_id").select("key", "thread_id", (F.col("at") - F.col("start")).alias("first"), "n")
 
 
 def linked(messages: DataFrame) -> DataFrame:
     """One row for each message: conv_id, turn, thread_id, position, role, body, n_quotes,
     n_linked, reply_conv, reply_turn; positions count a thread's messages from 1."""
-    rows = parsed(messages).withColumn("span", F.floor(F.col("turn") / SPAN))
+    rows = parsed(messages)
     found = staged(links(rows), "links")
     placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    offsets = staged(_offsets(rows.filter(placed), found), "offsets")
-    inner = Window.partitionBy("conv_id", "span").orderBy("turn", F.col("role").asc_nulls_first(), "key")
-    at = rows.filter(placed).withColumn("inner", F.row_number().over(inner)).join(offsets, ["conv_id", "span"])
-    at = at.withColumn("position", F.col("before") + F.col("inner"))
+    places = staged(positions(rows, found), "positions")
+    once = rows.filter(placed).dropDuplicates(["key"]).join(places, "key")
+    once = once.withColumn("position", F.explode(F.sequence(F.col("first") + 1, F.col("first") + F.col("n"))))
     null = F.lit(None).cast("long")
     rest = rows.filter(~placed).withColumn("thread_id", null).withColumn("position", null)
     cols = ["conv_id", "turn", "thread_id", "position", "role", "body"]
     return (
-        at.select("key", *cols)
+        once.select("key", *cols)
         .unionByName(rest.select("key", *cols))
         .join(found, "key", "left")
         .select(*cols, F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_conv", "reply_turn")

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 from matgraph.llm import quotation
-from matgraph.llm.queries import ORACLE
+from matgraph.llm.queries import ORACLE, QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string, body string, key string"
 
@@ -52,7 +52,21 @@ LATER = [  # the first holder is the quote's own conversation; a chain of thread
 ]
 
 
-@pytest.mark.parametrize("rows", [ROWS, LATER, ROWS + [(r[0] and 10 * r[0], *r[1:]) for r in LATER]])
+ODD = [  # characters that end lines elsewhere, around marks, attributions and edges
+    (1, 0, "user", "  plain text\u2028> not a quote line  "),
+    (1, 1, "user", "  plain\u0085> x  "),
+    (1, 2, "user", "On\u2028Monday Ann wrote:\n> plain text of one\n  mine\u2029 \u2028\n"),
+    (1, 3, "user", "Le lundi Ann A ÉCRIT:\n> plain text of one\n \x0b mine \x0b"),
+    (1, 4, "user", "Ann wrote:\u2028\n> plain text of one\nmine \u2028"),
+    (1, 5, "user", "Ann wrote:\u0085\n> plain text of one\n\u2029mine\u0085"),
+    (1, 6, "user", "a\u2029b said:\n> plain\u2028text of\u0085one\n"),
+    (1, 7, "user", "Ann ſaid:\r> plain\rmine\r\n\r"),
+    (0, 0, "user", "plain text of one\nplain\u2028text of\u0085one"),
+]
+ALL = ROWS + [(r[0] and 10 * r[0], *r[1:]) for r in LATER]
+
+
+@pytest.mark.parametrize("rows", [ROWS, LATER, ODD, ODD * 3, ALL])
 def test_equals_sql(spark, rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
@@ -63,6 +77,17 @@ def test_equals_sql(spark, rows):
     assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def test_chat_threads_equal_sql(spark, tmp_path):
+    rows = ALL + [(r[0] and 1000 + r[0], *r[1:]) for r in ODD] + [(77, t, "user", f"turn {t}") for t in range(2500)]
+    table(spark, rows).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(ORACLE["chat_threads"])
+    names = [d[0] for d in want.description]
+    got = QUERIES["chat_threads"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 @pytest.mark.parametrize("span", [quotation.SPAN, 4])
 def test_long_conversations_and_hot_quotes(spark, monkeypatch, span):
     monkeypatch.setattr(quotation, "SPAN", span)
