@@ -8,6 +8,7 @@ import contextvars
 import ctypes
 import functools
 import gc
+import threading
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,17 +34,31 @@ BATCHES = {
 _CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
+#: Of each session and option that is set: by how many users, and what it was before the first.
+_users: dict[tuple[int, str], list] = {}
+_changing = threading.Lock()
+
+
 @contextlib.contextmanager
 def options(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Set the session's options for the plans that run inside."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
+    """Set the session's options for the plans that run inside. Users may overlap, in one thread
+    or several, and ask for equal values: the last one out restores what was before the first."""
+    session = spark._jsparkSession.hashCode()
+    with _changing:
         for k, v in values.items():
+            users = _users.setdefault((session, k), [0, spark.conf.get(k, None)])
+            users[0] += 1
             spark.conf.set(k, v)
+    try:
         yield
     finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        with _changing:
+            for k in values:
+                users = _users[session, k]
+                users[0] -= 1
+                if not users[0]:
+                    del _users[session, k]
+                    spark.conf.unset(k) if users[1] is None else spark.conf.set(k, users[1])
 
 
 def map_arrow(rows: DataFrame, of_batches, schema) -> DataFrame:
@@ -104,6 +119,17 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def block_spans(data: bytes, size: int) -> Iterator[tuple[int, int]]:
+    """Blocks of a text of about ``size`` bytes, that end between words."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + size)
+        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield at, end
+        at = end
+
+
 def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a text in order, as lists from blocks of about ``size`` bytes, so
     that a huge text never becomes one list. ``bytes.split()`` breaks exactly at
@@ -111,13 +137,8 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     if len(data) <= size:
         yield data.split()
         return
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + size)
-        while end < len(data) and data[end] not in b" \t\n\x0b\x0c\r":
-            end += 1
+    for at, end in block_spans(data, size):
         yield data[at:end].split()
-        at = end
 
 
 def tidy(of_batches):

@@ -35,9 +35,17 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, per_label: int, chars: i
     order = Window.partitionBy("label").orderBy(digest, "doc_id")
     chosen = drawn.dropDuplicates(["doc_id", "label"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    found = texts.join(F.broadcast(chosen.select("doc_id", "label", "n")), "doc_id").withColumn("x", F.xxhash64("text")).dropDuplicates(["doc_id", "label", "x"])
+    texts = texts.withColumn("x", F.xxhash64("text"))
+    # Which texts come is settled on their hashes and lengths, so that repeats of an id don't move whole.
+    facts = texts.join(F.broadcast(chosen.select("doc_id", "label", "n")), "doc_id").groupBy("doc_id", "label", "n", "x").agg(F.max(F.length("text")).alias("size"))
     before = Window.partitionBy("label").orderBy("n", "x").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).filter(F.col("before") < chars)
+    taken = facts.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).filter(F.col("before") < chars)
     with options(docs.sparkSession, BATCHES):
-        rows = found.select("doc_id", "x", "text", "label").collect()
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["x"], str(r["label"])))]
+        taken = taken.select("doc_id", "label", "x").collect()
+        labels_of: dict[tuple, list] = {}
+        for r in taken:
+            labels_of.setdefault((r["doc_id"], r["x"]), []).append(r["label"])
+        wanted = docs.sparkSession.createDataFrame(list(labels_of), "doc_id long, x long")
+        found = texts.join(F.broadcast(wanted), ["doc_id", "x"]).groupBy("doc_id", "x").agg(F.first("text").alias("text"))
+        rows = [(r["doc_id"], r["x"], r["text"], label) for r in found.collect() for label in labels_of[r["doc_id"], r["x"]]]
+    return [(text, label) for _, _, text, label in sorted(rows, key=lambda r: (r[0], r[1], str(r[3])))]

@@ -7,8 +7,8 @@ word borders, hashed. Emission weights and transitions are learned jointly by
 maximum likelihood (forward-backward, Adam) on chains of the sampled documents;
 half the chains are spliced from two languages, so that the transitions learn
 code-switching. Inference runs forward-backward on every word of every text, as one chain;
-a text of more than a block is taken block by block, each with ``OVERLAP`` words of its
-neighbours on either side.
+a text of more than ``BYTES`` goes block by block, forward and then back, with the messages
+of a block's neighbours, so that only a block's words are held and the chain stays whole.
 
 Defined results: a text that is null or has no letters is ``und`` with score 0;
 words without letters carry the chain but no evidence; null labels are not
@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import column_of, map_arrow, text_of, word_blocks
+from ._base import block_spans, column_of, map_arrow, text_of
 from ._sample import labelled_sample
 from ._subwords import hashed, letters, picked_sums, sums
 
 #: Words of a chain of the training sample, before it is spliced with another.
 CHAIN = 64
-OVERLAP = 64
 BUCKETS = 1 << 16
 #: Bounds of the training sample: documents of each language, and characters after which no
 #: further one is taken.
@@ -41,8 +40,9 @@ SAMPLE_CHARS = 500_000
 STEPS = 60
 #: Words whose emissions a worker holds.
 CACHE = 150_000
-#: Words that are labelled at once, or those of one text or block.
+#: Words that are labelled at once, or those of one text; and bytes of a block of a longer text.
 BLOCK = 200_000
+BYTES = 1 << 20
 
 
 @dataclass
@@ -187,56 +187,70 @@ class Labeller:
         post, _ = forward_backward(self.emit[at].astype(np.float64), sizes, self.model.transitions)
         return post, self.real[at]
 
+    def long(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(posteriors, has letters) for the blocks of a long text, the last one first. The text is
+        one chain: what a block's neighbours send it goes in as a word before and one after it."""
+        known = np.exp(self.model.transitions)
+
+        def chain(span, before, after):
+            words = text[slice(*span)].split()
+            self._learn(words)
+            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            ends = [np.log(np.maximum(x, 1e-300))[None] for x in (before, after) if x is not None]
+            emit = np.concatenate([*ends[: before is not None], self.emit[at].astype(np.float64), *ends[before is not None :]])
+            post, _ = forward_backward(emit, np.array([len(emit)]), self.model.transitions)
+            return post[before is not None :][: len(words)], self.real[at]
+
+        spans = [span for span in block_spans(text, BYTES) if text[slice(*span)].split()]
+        before: list[np.ndarray | None] = [None]
+        for span in spans[:-1]:
+            before.append(chain(span, before[-1], None)[0][-1])
+        after = None
+        for span, message in zip(spans[::-1], before[::-1]):
+            post, real = chain(span, message, after)
+            yield post, real
+            after = post[0] if message is None else post[0] / np.maximum(message @ known, 1e-300)
+            after = after / after.sum()
+
     def documents(self, texts: Iterable[bytes], n: int) -> tuple[list[str], list[float]]:
         """(language, score) of each of n texts."""
         total = np.zeros((n, len(self.model.labels) + 1))  # last: words with letters
         held: list[bytes] = []
-        chains: list[tuple[int, int, int, int]] = []
+        owner: list[int] = []
+        sizes: list[int] = []
 
         def flush():
             if held:
-                owner, sizes, first, last = (np.array(x) for x in zip(*chains))
-                post, real = self.words(held, sizes)
-                within = np.arange(len(held)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                real &= (within >= np.repeat(first, sizes)) & (within < np.repeat(last, sizes))
+                post, real = self.words(held, np.array(sizes))
                 doc = np.repeat(owner, sizes)[real]
                 for c in range(post.shape[1]):
                     total[:, c] += np.bincount(doc, post[real, c], n)
                 total[:, -1] += np.bincount(doc, minlength=n)
-            held.clear(), chains.clear()
-
-        if self.model.labels:
-            for i, text in enumerate(texts):
-                for words, first, last in overlapping(text):
-                    held.extend(words)
-                    chains.append((i, len(words), first, last))
-                    if len(held) >= BLOCK:
-                        flush()
-            flush()
+            held.clear(), owner.clear(), sizes.clear()
+
+        for i, text in enumerate(texts if self.model.labels else ()):
+            if len(text) > BYTES:
+                for post, real in self.long(text):
+                    total[i, :-1] += post[real].sum(axis=0)
+                    total[i, -1] += real.sum()
+            elif words := text.split():
+                held += words
+                owner.append(i)
+                sizes.append(len(words))
+                if len(held) >= BLOCK:
+                    flush()
+        flush()
         some = total[:, -1] > 0
         best = total[:, :-1].argmax(axis=1) if self.model.labels else np.zeros(n, int)
         score = np.where(some, total[np.arange(n), best] / np.maximum(total[:, -1], 1), 0.0)
         return [self.model.labels[b] if s else "und" for b, s in zip(best, some)], np.clip(score, 0, 1).tolist()
 
-
-def overlapping(text: bytes) -> Iterator[tuple[list[bytes], int, int]]:
-    """(words, first, last): the chains of a text, that is one but for a huge text; from first
-    to last (not included) they are the chain's own, and the others its context."""
-    held: list[bytes] = []
-    first = 0
-    for words in word_blocks(text):
-        if not words:
-            continue
-        words = held + words
-        # The last words wait for the next block, if there is one.
-        own = len(words) - OVERLAP
-        if len(text) <= 1 << 20 or own <= first:
-            held = words
-        else:
-            yield words, first, own
-            held, first = words[max(0, own - OVERLAP) :], min(own, OVERLAP)
-    if len(held) > first:
-        yield held, first, len(held)
+    def labels_of(self, text: bytes) -> np.ndarray:
+        """The number of each word's likeliest language, in order."""
+        if len(text) > BYTES:
+            return np.concatenate([np.zeros(0, np.int16), *[post.argmax(axis=1).astype(np.int16) for post, _ in self.long(text)][::-1]])
+        words = text.split()
+        return self.words(words, np.array([len(words)]))[0].argmax(axis=1) if words else np.zeros(0, np.int16)
 
 
 def train(docs: DataFrame, fold: Column | None = None) -> Model:
@@ -286,18 +300,9 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             rows: list[tuple] = []
             for i, text in zip(column_of(batch, 0), column_of(batch, 1)):
-                base, run = 0, None
-                for words, first, last in overlapping(text) if labels else ():
-                    best = own.words(words, np.array([len(words)]))[0].argmax(axis=1)[first:last]
-                    cuts = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1], [True])))
-                    for a, b in zip(cuts, cuts[1:]):
-                        if run and run[1] == labels[best[a]]:
-                            run = (*run[:3], run[3] + int(b - a))
-                        else:
-                            rows += [run] if run else []
-                            run = (i, labels[best[a]], base + int(a), int(b - a))
-                    base += last - first
-                rows += [run] if run else []
+                best = own.labels_of(text) if labels else np.zeros(0, np.int16)
+                cuts = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1], [True]))) if len(best) else ()
+                rows += [(i, labels[best[a]], int(a), int(b - a)) for a, b in zip(cuts, cuts[1:])]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "lang", "first_word", "n_words"])
 

@@ -47,7 +47,9 @@ LEAST, LEAST_OF_FEW, PER_TEXT, LASSO = 30, 4, 9, 2.0
 #: With so many texts of label 1 in the sample, the bias is halfway to the true shares.
 PRIOR = 50
 CACHE = 150_000
+#: Words that are scored at once, and bytes of a longer text that are split at once.
 BLOCK = 120_000
+BYTES = 1 << 20
 
 
 @dataclass
@@ -65,26 +67,30 @@ class Model:
         return np.bincount(word, self.buckets[feat], len(cores)) / np.maximum(n, 1)
 
 
-def first_uses(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which words of texts of these sizes weren't used in the WINDOW - 1 words before: a
-    bag counts a word that repeats once."""
+def gaps(word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many words ago each word of texts of these sizes was used last, WINDOW if that is more."""
     text = np.repeat(np.arange(len(sizes)), sizes)
     by = np.lexsort((word, text))
-    again = (word[by][1:] == word[by][:-1]) & (text[by][1:] == text[by][:-1]) & (np.diff(by) < WINDOW)
-    fresh = np.ones(len(word), bool)
-    fresh[by[1:][again]] = False
-    return fresh
+    again = (word[by][1:] == word[by][:-1]) & (text[by][1:] == text[by][:-1])
+    gap = np.full(len(word), WINDOW)
+    gap[by[1:][again]] = np.minimum(np.diff(by)[again], WINDOW)
+    return gap
 
 
-def best_windows(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def best_windows(values: np.ndarray, gap: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For texts of so many words (none 0), the start of the window whose mean value is
-    largest, and that mean. A shorter text is one window."""
+    largest, and that mean; a word that repeats in a window counts once. A shorter text is one window."""
     ends = np.cumsum(sizes)
     width = np.repeat(np.minimum(sizes, WINDOW), sizes)
     total = np.concatenate(([0.0], np.cumsum(values)))
     at = np.arange(len(values))
     inside = at + width <= np.repeat(ends, sizes)
-    mean = np.where(inside, (total[np.minimum(at + width, len(values))] - total[at]) / width, -np.inf)
+    # What windows that begin at or before a word's last use count too often.
+    k = np.flatnonzero(gap < WINDOW)
+    twice = np.zeros(len(values) + 1)
+    np.add.at(twice, np.maximum(np.repeat(ends - sizes, sizes)[k], k - WINDOW + 1), values[k])
+    np.add.at(twice, k - gap[k] + 1, -values[k])
+    mean = np.where(inside, (total[np.minimum(at + width, len(values))] - total[at] - np.cumsum(twice[:-1])) / width, -np.inf)
     top = np.maximum.reduceat(mean, ends - sizes)
     hit = np.flatnonzero(mean == np.repeat(top, sizes))
     owner = np.searchsorted(ends, hit, side="right")
@@ -120,21 +126,23 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 11) -> Model:
     vectors, softmax, bias = params
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     # Rows for each word of the sample are single precision; they are what takes memory.
-    fresh = first_uses(word, sizes).astype(np.float32)
+    gap = gaps(word, sizes)
     one_hot = np.eye(2)[gold]
     weight = (0.5 / np.bincount(gold, minlength=2))[gold][:, None]
     for step in range(1, WARM_UP + STEPS + 1):
         if step <= WARM_UP:
             at, bag = np.arange(len(word)), np.repeat(np.arange(len(sizes)), sizes)
+            offset = WINDOW - 1  # of a whole text, a word that wasn't used shortly before
         else:
             odds = vectors @ (softmax[:, 1] - softmax[:, 0])
             value = np.bincount(of, odds[feat], len(index)) / np.maximum(grams, 1)
-            first, _ = best_windows(value[word] * fresh, sizes)
+            first, _ = best_windows(value[word], gap, sizes)
             width = np.minimum(sizes, WINDOW)
             bag = np.repeat(np.arange(len(sizes)), width)
-            at = np.repeat(first - (np.cumsum(width) - width), width) + np.arange(width.sum())
+            offset = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            at = np.repeat(first, width) + offset
         used, token = np.unique(word[at], return_inverse=True)
-        once = fresh[at][:, None]
+        once = (gap[at] > offset).astype(np.float32)[:, None]
         n = kept[used]
         pick = np.repeat(starts[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         f, w = feat[pick], np.repeat(np.arange(len(used)), n)
@@ -176,15 +184,6 @@ class Scorer:
         self.value = np.concatenate([self.value, self.model.words(cores)])
         self.real = np.concatenate([self.real, np.fromiter(map(bool, cores), bool, len(cores))])
 
-    def _last(self, words: list[bytes]) -> list[bytes]:
-        """The words from the last WINDOW - 1 with letters on."""
-        n = 0
-        for i in range(len(words) - 1, -1, -1):
-            n += bool(letters(words[i]))
-            if n == WINDOW - 1:
-                return words[i:]
-        return words
-
     def documents(self, texts: Iterable[bytes], n: int) -> np.ndarray:
         """The score of each of n texts."""
         best = np.full(n, -np.inf)
@@ -199,21 +198,33 @@ class Scorer:
             part = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
             some = part > 0
             if some.any():
-                fresh = first_uses(at[real], part[some])
-                _, top = best_windows(self.value[at[real]] * fresh, part[some])
+                _, top = best_windows(self.value[at[real]], gaps(at[real], part[some]), part[some])
                 np.maximum.at(best, np.array(owner, np.int64)[some], top)
             held.clear(), sizes.clear(), owner.clear()
 
+        def put(words: list[bytes], i: int):
+            held.extend(words)
+            sizes.append(len(words))
+            owner.append(i)
+            if len(held) >= BLOCK:
+                flush()
+
         for i, text in enumerate(texts):
+            if len(text) <= BYTES:
+                put(text.split(), i)
+                continue
+            # The words with letters, block by block, each with the last of those before it, so that
+            # every window of the text is in one block.
             tail: list[bytes] = []
-            for words in word_blocks(text):
-                words = tail + words
-                tail = self._last(words) if len(text) > 1 << 20 else []  # windows may cross a block's end
-                held += words
-                sizes.append(len(words))
-                owner.append(i)
-                if len(held) >= BLOCK:
-                    flush()
+            whole = False
+            for words in word_blocks(text, BYTES):
+                words = tail + list(filter(letters, words))
+                tail = words
+                if len(words) >= WINDOW:
+                    put(words, i)
+                    tail, whole = words[1 - WINDOW :], True
+            if not whole:
+                put(tail, i)
         flush()
         some = np.isfinite(best)
         odds = np.where(some, np.where(some, best, 0) + self.model.bias, self.model.prior)

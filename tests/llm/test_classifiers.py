@@ -9,6 +9,8 @@ from matgraph.llm._sample import labelled_sample, remainder
 DE = ["der", "die", "und", "nicht", "schön", "straße", "gehen", "ich", "zwischen", "über"]
 EN = ["the", "and", "with", "quick", "through", "which", "light", "walking", "would", "house"]
 
+BAD = ["idiot", "moronic", "scumbag", "worthless"]
+
 
 def text(rng, words, n):
     return " ".join(rng.choice(words, n))
@@ -55,20 +57,24 @@ def test_posteriors_of_long_chains_equal_the_plain_recursion():
     assert np.allclose(got[3:703], want / want.sum(axis=1, keepdims=True))
 
 
-def test_huge_texts_are_chained_with_their_context():
-    words = [b"w%d" % i for i in range(400_000)]
-    parts = list(langid.overlapping(b" ".join(words)))
-    assert len(parts) > 1 and [w for ws, a, b in parts for w in ws[a:b]] == words
-    assert all(a == langid.OVERLAP for _, a, _ in parts[1:]) and all(len(ws) - b == langid.OVERLAP for ws, _, b in parts[:-1])
-    for n in (0, 1, 63, 64, 65, 200):
-        assert [(len(w), a, b) for w, a, b in langid.overlapping(b" ".join(words[:n]))] == ([(n, 0, n)] if n else [])
-
-
 @pytest.fixture(scope="module")
 def model():
     return langid.fit([(t, y) for _, t, y in language_rows(np.random.default_rng(2), 60)])
 
 
+@pytest.mark.parametrize("size", [1, 40, 333, 5000])
+def test_blocks_of_a_long_text_are_one_chain(model, monkeypatch, size):
+    rng = np.random.default_rng(size)
+    texts = [" ".join(text(rng, (DE, EN, ["12", "--"])[k % 3], int(rng.integers(1, 40))) for k in rng.integers(0, 3, 30)) for _ in range(5)]
+    texts += ["der", " ", "1 2 3", "der" + " " * 900 + "the", " der und\n" * 100]
+    own = langid.Labeller(model)
+    want, labels = own.documents([t.encode() for t in texts], len(texts)), [own.labels_of(t.encode()).tolist() for t in texts]
+    monkeypatch.setattr(langid, "BYTES", size)
+    got = own.documents([t.encode() for t in texts], len(texts))
+    assert got[0] == want[0] and np.allclose(got[1], want[1], atol=1e-9)
+    assert [own.labels_of(t.encode()).tolist() for t in texts] == labels
+
+
 def test_language_of_held_out_and_mixed_text(model):
     rows = language_rows(np.random.default_rng(3), 200)
     got, scores = langid.Labeller(model).documents([t.encode() for _, t, _ in rows], len(rows))
@@ -105,7 +111,6 @@ def test_folds_and_sample(spark):
     assert len(labelled_sample(many, rows.select("doc_id", "text"), 20, 1000)) == 200
 
 
-BAD = ["idiot", "moronic", "scumbag", "worthless"]
 
 
 def toxic_rows(rng, n, bad):
@@ -130,17 +135,32 @@ def test_toxicity_and_unseen_misspellings():
 
 def test_best_windows_against_brute_force():
     rng = np.random.default_rng(7)
-    sizes = np.array([1, toxicity.WINDOW, 100, 5, 60])
-    values = rng.integers(-5, 5, sizes.sum()).astype(float)
-    first, top = toxicity.best_windows(values, sizes)
+    sizes = np.array([1, toxicity.WINDOW, 100, 5, 60, 2000])
+    word = rng.integers(0, 30, sizes.sum())
+    value = rng.integers(-5, 5, 30).astype(float)
+    first, top = toxicity.best_windows(value[word], toxicity.gaps(word, sizes), sizes)
     at = 0
     for n, f, t in zip(sizes, first, top):
         w = min(n, toxicity.WINDOW)
-        means = [values[i : i + w].mean() for i in range(at, at + n - w + 1)]
-        assert np.isclose(t, max(means)) and np.isclose(values[f : f + w].mean(), t)
+        mean = lambda i, w=w: value[list(set(word[i : i + w]))].sum() / w
+        assert np.isclose(t, max(map(mean, range(at, at + n - w + 1)))) and np.isclose(mean(f), t)
         at += n
 
 
+@pytest.mark.parametrize("text", [
+    " ".join(BAD[k % 4] if k % 17 == 0 else EN[k * k % len(EN)] for k in range(3000)),
+    "the idiot " + "12 " * 500 + "house worthless " + "-- " * 500,  # fewer words than a window's, far apart
+    " ".join(EN[k % len(EN)] for k in range(40)) + " 1" * 900,
+    "7 " * 900, "",
+])
+def test_long_texts_score_like_short_ones(text, monkeypatch):
+    model = toxicity.fit([(t, y) for _, t, y in toxic_rows(np.random.default_rng(5), 100, BAD)], 0.5)
+    (whole,) = toxicity.Scorer(model).documents([text.encode()], 1)
+    for size in (1, 50, 333, 1000):
+        monkeypatch.setattr(toxicity, "BYTES", size)
+        assert np.isclose(toxicity.Scorer(model).documents([text.encode()], 1)[0], whole, atol=1e-9)
+
+
 def test_toxicity_tables(spark):
     rng = np.random.default_rng(8)
     rows = toxic_rows(rng, 300, BAD)
