@@ -10,9 +10,9 @@ As the seeds of a passage may first occur scattered over other documents, equal
 ``MIN_WORDS`` words are joined to their first occurrence too: all of them, except where a seed
 that every holder of the window would have is held by one document only, and where a window's
 seeds cover all of it and lead to equal places of one document, which then is its first. Seeds
-that settle no window are joined once more, to the first of their occurrences that lie in
-shared text long enough for a passage, as a seed's first occurrence may be in text that shares
-little else. What a document repeats is also joined, as its second, third ... occurrence, to
+that settle no window are joined twice more, to the first of their occurrences that lie in
+shared text long enough for a passage, and to that in the longest such text (their hub), as a
+seed's first occurrence may be in text that shares little else. What a document repeats is also joined, as its second, third ... occurrence, to
 the first document that has it so often, so that repeated text matches along the diagonal.
 
 The matches of two documents are merged along diagonals and chained: a Fenwick tree of prefix
@@ -27,9 +27,9 @@ Texts are read once. Their words go as 32-bit hashes, in blocks of ``PIECE`` wor
 shared folder; windows and alignments read these blocks, and a chain meets only the blocks
 that it covers.
 
-Each document of a group that shares a passage is thus linked to the group's first one; a
-passage that lies within one of the document's that is at least as similar to an earlier
-document isn't reported.
+Each document of a group that shares a passage is thus linked to the group's first one, or to
+a hub. A passage that lies within one of the document's that is at least as similar to an earlier
+document isn't reported, unless the document is the other's hub.
 
 Defined results: null and short texts have no passages; a very long text is held by a task as
 its words' hashes, and never joined as a whole; rows with a null id take no part; rows with
@@ -165,7 +165,7 @@ def _occurrences(h: np.ndarray, ids: np.ndarray, places: np.ndarray, count: np.n
 _SEED = "seed long, doc_id long, place int, kind int"
 FIRST, LATER, COUNTED = 0, 1, 2
 _FACT = f"{_SEED}, row long, words binary"
-_SPAN = f"{_SEED}, n int"
+_SPAN = f"{_SEED}, n int, run int"
 
 
 def _facts(batches):
@@ -279,23 +279,24 @@ def _tables(batches, keys: int, least: int = BLOCK):
 
 
 def unsettled(place: np.ndarray, text: np.ndarray, link: np.ndarray) -> np.ndarray:
-    """Which of the shared seeds (by text and place) lie in runs of shared seeds that a passage may
-    have, and settle no window."""
-    def within(breaks: np.ndarray, least: int) -> np.ndarray:
+    """Of the shared seeds (by text and place) that lie in runs of shared seeds that a passage may
+    have, and settle no window, the run's words; 0 for others."""
+    def words(breaks: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, breaks])
         last = np.append(first[1:], len(place)) - 1
-        return np.repeat(place[last] + K - place[first] >= least, last - first + 1)
+        return np.repeat(place[last] + K - place[first], last - first + 1)
 
     other = np.diff(text) != 0
-    passage = within((np.diff(place) > BRIDGE) | other, int(np.ceil(MIN_WORDS * SIMILARITY)))
-    return passage & ~within((np.diff(place) > K) | other | (np.diff(link) != 0) | (link[1:] == 0), MIN_WORDS)
+    run = words((np.diff(place) > BRIDGE) | other)
+    same = words((np.diff(place) > K) | other | (np.diff(link) != 0) | (link[1:] == 0))
+    return np.where((run >= int(np.ceil(MIN_WORDS * SIMILARITY))) & (same < MIN_WORDS), run, 0)
 
 
-def _regional(seed: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _regional(seed: np.ndarray, doc: np.ndarray, place: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
     """Such seeds, by document and place, as occurrences under hashes of their own."""
     h = _stirred(seed.view(np.uint64) ^ _ODD[2])
     kind = np.where(counts_of(h, doc) > 0, LATER, FIRST).astype(np.int32)
-    cols = [h.view(np.int64), doc, place.astype(np.int32), kind, np.full(len(h), K, np.int32)]
+    cols = [h.view(np.int64), doc, place.astype(np.int32), kind, np.full(len(h), K, np.int32), run.astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_names(_SPAN))
 
 
@@ -310,9 +311,10 @@ def _windows(batches):
         if not len(seeds):
             continue
         row = rows.column("row").fill_null(0).to_numpy()
-        rest = seeds[unsettled(place[seeds], doc[seeds], row[seeds])]
+        run = unsettled(place[seeds], doc[seeds], row[seeds])
+        rest = seeds[run > 0]
         if len(rest):
-            yield _regional(rows.column("seed").fill_null(0).to_numpy()[rest], doc[rest], place[rest])
+            yield _regional(rows.column("seed").fill_null(0).to_numpy()[rest], doc[rest], place[rest], run[run > 0])
         wanted, done = shareable(place[seeds], doc[seeds]), settled(place[seeds], doc[seeds], row[seeds])
         words = rows.column("words").combine_chunks()
         blocks = np.flatnonzero(is_block)
@@ -349,7 +351,7 @@ def _window_batch(found: list[tuple]) -> pa.RecordBatch:
     n = [len(f[2]) for f in found]
     h, place = np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])
     cols = _occurrences(h, np.repeat(np.array([f[0] for f in found], np.int64), n), place, counts_of(h, np.repeat(np.cumsum(new), n)))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, np.full(len(cols[0]), MIN_WORDS, np.int32))], names=_names(_SPAN))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, np.full(len(cols[0]), MIN_WORDS, np.int32), np.zeros(len(cols[0]), np.int32))], names=_names(_SPAN))
 
 
 class Fenwick:
@@ -456,6 +458,8 @@ def chains(segments: np.ndarray) -> list[list[int]]:
     return out
 
 
+#: Added to the number of a chain whose document is the one that earlier ones are linked to.
+HUB = 1 << 29
 _CHAIN = "doc_id long, ref_id long, chain int, start int, stop int, ref_start int, ref_stop int, segments binary"
 
 
@@ -475,6 +479,7 @@ def _chained(batches):
         if not some.any():
             continue
         head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        hub = HUB * (np.bincount(pair, rows.column("hub").to_numpy(zero_copy_only=False)) > 0)
         place, ref, n, again, pair = (c[some] for c in (place, ref, n, again, pair))
         keep = without_repeats(place, ref, n, again, pair)
         found = segments_of(place[keep], ref[keep], n[keep], pair[keep])
@@ -488,7 +493,7 @@ def _chained(batches):
                     continue
                 a0, r0 = int(s[0, 0]), int(s[0, 1])
                 a1, r1 = int((s[:, 0] + s[:, 2]).max()), int((s[:, 1] + s[:, 2]).max())
-                out.append((doc[k], ref_id[k], i, max(0, a0 - MARGIN), a1 + MARGIN, max(0, r0 - MARGIN), r1 + MARGIN, s[:, :3].astype(np.int32).tobytes()))
+                out.append((doc[k], ref_id[k], i + hub[found[a, 4]], max(0, a0 - MARGIN), a1 + MARGIN, max(0, r0 - MARGIN), r1 + MARGIN, s[:, :3].astype(np.int32).tobytes()))
         kinds = (pa.int64(), pa.int64(), *(pa.int32(),) * 5, pa.binary())
         for k in range(0, len(out), 2000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 2000]), kinds)], names=_names(_CHAIN))
@@ -582,6 +587,7 @@ def aligned_parts(a: np.ndarray, b: np.ndarray, segments: np.ndarray) -> list[tu
 
 
 _PASSAGE = "doc_id long, start long, n_words long, ref_id long, ref_start long, ref_words long, similarity double"
+_FOUND = f"{_PASSAGE}, stays boolean"
 
 
 def _sides(rows: pa.Table) -> dict[int, list[tuple[int, np.ndarray]]]:
@@ -621,26 +627,49 @@ def _aligned(batches):
                         if ((kept[:, ::2] <= x[::2]) & (kept[:, 1::2] >= x[1::2])).all(axis=1).any():
                             continue  # another part or chain covers it
                         kept = np.concatenate([kept, x[None]])
-                        out.append((pair[0], x[0], s1 - s0, pair[1], x[2], t1 - t0, matched / max(s1 - s0, t1 - t0)))
-        kinds = (*(pa.int64(),) * 6, pa.float64())
+                        out.append((pair[0], x[0], s1 - s0, pair[1], x[2], t1 - t0, matched / max(s1 - s0, t1 - t0), bool(tags[2][i] >= HUB)))
+        kinds = (*(pa.int64(),) * 6, pa.float64(), pa.bool_())
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=_names(_PASSAGE))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=_names(_FOUND))
+
+
+def covered(start: np.ndarray, end: np.ndarray, ref: np.ndarray, similarity: np.ndarray) -> np.ndarray:
+    """Which passages of a document lie within another of at least their similarity, and with an
+    earlier reference. They are swept by start, longest first; those that stay are in blocks,
+    of which only such are looked into that may hold one that covers."""
+    by = np.lexsort((ref, -end, start))
+    out = np.zeros(len(by), bool)
+    size = 1024
+    stay = [np.empty(len(by) + size, a.dtype) for a in (end, ref, similarity)]
+    most = [np.full(len(by) // size + 2, x) for x in (-1, np.iinfo(np.int64).max, -1.0)]
+    n = 0
+    for k, e, r, s in zip(by.tolist(), end[by].tolist(), ref[by].tolist(), similarity[by].tolist()):
+        blocks = n // size + 1
+        for j in np.flatnonzero((most[0][:blocks] >= e) & (most[1][:blocks] < r) & (most[2][:blocks] >= s)).tolist():
+            own = slice(j * size, min(n, (j + 1) * size))
+            if ((stay[0][own] >= e) & (stay[1][own] < r) & (stay[2][own] >= s)).any():
+                out[k] = True
+                break
+        else:
+            for a, x in zip(stay, (e, r, s)):
+                a[n] = x
+            j = n // size
+            most[0][j], most[1][j], most[2][j] = max(most[0][j], e), min(most[1][j], r), max(most[2][j], s)
+            n += 1
+    return out
 
 
 def _outermost(batches):
-    """Without the passages that lie within another of their document of at least their similarity
-    and with an earlier reference; the rows come sorted by document."""
+    """Without the passages that are covered, unless they alone link their reference; the rows come
+    sorted by document."""
     for rows in _tables(batches, 1):
-        doc, start, n, ref, similarity = (rows.column(c).to_numpy() for c in ("doc_id", "start", "n_words", "ref_id", "similarity"))
-        by = np.lexsort((start, ref, doc))
-        keep = np.ones(len(by), bool)
-        cuts = np.flatnonzero(np.r_[True, doc[by][1:] != doc[by][:-1], True])
-        for a, b in zip(cuts, cuts[1:]):
-            for k in range(a + 1, b):
-                x, others = by[k], by[a:k][keep[by[a:k]]]
-                inside = (start[others] <= start[x]) & (start[others] + n[others] >= start[x] + n[x])
-                keep[x] = not (inside & (ref[others] < ref[x]) & (similarity[others] >= similarity[x])).any()
-        yield from rows.filter(pa.array(keep)).to_batches()
+        doc, start, n, ref, similarity, stays = (rows.column(c).to_numpy() for c in ("doc_id", "start", "n_words", "ref_id", "similarity", "stays"))
+        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
+        keep = np.ones(len(doc), bool)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            if b > a + 1:
+                keep[a:b] = ~covered(start[a:b], start[a:b] + n[a:b], ref[a:b], similarity[a:b])
+        yield from rows.filter(pa.array(keep | stays)).select(_names(_PASSAGE)).to_batches()
 
 
 def _firsts(seeds: DataFrame) -> DataFrame:
@@ -654,6 +683,26 @@ def _firsts(seeds: DataFrame) -> DataFrame:
     return staged(first.filter("ref_id < last_doc").select("seed", "ref_id", "ref_place"), "first")
 
 
+def _hubs(windows: DataFrame) -> DataFrame:
+    """(seed, hub_id, hub_place): of seeds that settle no window, the occurrence in the longest run of
+    shared seeds, in powers of two, and the least document of these."""
+    runs = windows.filter(f"run > 0 and kind = {FIRST}")
+    longest = F.struct(F.floor(F.log2("run")).alias("run"), (-F.col("doc_id")).alias("doc"))
+    found = runs.groupBy("seed").agg(F.max_by(F.struct("doc_id", "place"), longest).alias("hub"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    return staged(found.filter("a < b").select("seed", F.col("hub.doc_id").alias("hub_id"), F.col("hub.place").alias("hub_place")), "hubs")
+
+
+def _to_hub(windows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The matches with the hubs, as of the later of the two documents."""
+    rows = windows.filter("run > 0").join(hubs, "seed").filter("doc_id <> hub_id")
+    later = F.col("hub_id") > F.col("doc_id")
+    pick = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
+    return rows.select(
+        pick("hub_id", "doc_id").alias("doc_id"), pick("doc_id", "hub_id").alias("ref_id"), pick("hub_place", "place").alias("place"),
+        pick("place", "hub_place").alias("ref_place"), "kind", "n", later.alias("hub"),
+    )
+
+
 def _to_first(seeds: DataFrame, first: DataFrame, *more: str) -> DataFrame:
     return seeds.join(first, "seed").select("doc_id", "ref_id", "place", "ref_place", "kind", *more)
 
@@ -682,16 +731,17 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     places = hits.filter(F.col("kind") != COUNTED).select("doc_id", "place", link.alias("row"), F.lit(None).cast("binary").alias("words"), "seed")
     by_doc = places.unionByName(blocks.withColumn("seed", F.lit(None).cast("long"))).repartition("doc_id").sortWithinPartitions("doc_id")
     windows = staged(map_arrow(by_doc, _windows, _SPAN), "windows")
-    first = _firsts(windows)
+    first, hubs = _firsts(windows), _hubs(windows)
     matches = hits.drop("seed").withColumn("n", F.lit(K)).unionByName(_to_first(windows, first, "n")).filter("doc_id <> ref_id")
+    matches = matches.withColumn("hub", F.lit(False)).unionByName(_to_hub(windows, hubs))
     matches = matches.repartition("doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id")
     found = staged(map_arrow(matches, _chained, _CHAIN), "chains")
-    drop_staged(first, windows, hits)
+    drop_staged(first, hubs, windows, hits)
     wanted = _side(found, 0).unionByName(_side(found, 1))
     asked = wanted.join(blocks.withColumnRenamed("doc_id", "of"), ["of", "place"])
     at = F.greatest("start", "place")
     words = F.substr("words", 4 * (at - F.col("place")) + 1, 4 * (F.least(F.col("stop"), F.col("place") + PIECE) - at))
     pieces = asked.select("doc_id", "ref_id", "chain", "side", "row", at.alias("at"), "segments", words.alias("words"))
     pieces = pieces.repartition("doc_id", "ref_id").sortWithinPartitions("doc_id", "ref_id", "chain")
-    aligned = map_arrow(pieces, _aligned, _PASSAGE).repartition("doc_id").sortWithinPartitions("doc_id")
+    aligned = map_arrow(pieces, _aligned, _FOUND).repartition("doc_id").sortWithinPartitions("doc_id")
     return map_arrow(aligned, _outermost, _PASSAGE)
