@@ -14,6 +14,8 @@ from typing import Any, NamedTuple
 #: The statuses, in the order of every report.
 STATUSES = ("done", "cached", "running", "waiting", "pending", "failed", "blocked")
 ACTIVE = ("running", "waiting")
+#: The numbers of a progress message, in the order in which they are read.
+NUMBERS = ("DONE", "TOTAL")
 
 _VALUES: dict[str, Callable] = {
     "+": lambda a, b: a + b,
@@ -118,6 +120,24 @@ def told_column(seconds: Any) -> Any:
     return out
 
 
+def rounded_column(value: Any, digits: int) -> Any:
+    """As Python rounds a float: the nearest number of so many digits to the binary value itself,
+    and to the even one if that lies between two. The product with the power of ten is taken
+    as a sum of two floats, which is exact, so that ties are told from what only looks like one."""
+    from pyspark.sql import functions as F
+
+    power = float(10**digits)
+    x = value.cast("double")
+    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of the digits
+    p = x * power
+    rest = (high * power - p) + (x - high) * power
+    n = F.floor(p).cast("double")
+    over = (p - n - 0.5) + rest
+    whole = F.when((over > 0) | ((over == 0) & (n % 2 != 0)), n + 1).otherwise(n)
+    # Floats that large have no digits to round; a zero keeps its sign.
+    return F.when(~(F.abs(x) < float(1 << 49) / power), x).when(whole == 0, x * 0.0).otherwise(whole / power)
+
+
 class Told(NamedTuple):
     """A field of a build in the status document: rounded to so many digits; left out if it
     is unknown, or given as null."""

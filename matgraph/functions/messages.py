@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matgraph.functions.figures import NUMBERS
+
+_DIGITS = r"\d+(?:_\d+)*"
+#: What Python reads as a float.
+FLOAT = rf"(?i)^\s*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?|nan)\s*$"
+
 
 def parse_message(message: Column) -> Column:
     """struct<id, fields>: the lines of ``KEY=VALUE``. Lines without ``=`` are skipped,
@@ -22,6 +28,17 @@ def parse_message(message: Column) -> Column:
     return F.struct(found["ID"].alias("id"), F.map_filter(found, lambda k, v: k != "ID").alias("fields"))
 
 
+def reported(fields: Column) -> Column:
+    """struct<done, total, text> that a message's fields set, nulls where they set nothing. Numbers
+    are read in order, up to the first that is none; the text is set all the same."""
+    read, so_far = [], F.lit(True)
+    for key in NUMBERS:
+        said = fields[key]
+        so_far = so_far & (said.isNull() | said.rlike(FLOAT))
+        read.append(F.when(so_far, F.replace(F.trim(said), F.lit("_"), F.lit("")).try_cast("double")).alias(key.lower()))
+    return F.struct(*read, fields["STATUS"].alias("text"))
+
+
 def coalesce_last(events: DataFrame, build: str, bucket: Column, order: list[str]) -> DataFrame:
     """Of each build's events the last in each bucket of time: what the channel's
     throttling leaves. Partial maxima go to the shuffle, not events."""

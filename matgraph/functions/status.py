@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matgraph.functions.figures import ACTIVE, BUILD_FIELDS, ELAPSED, ETA, FRACTION, LISTS, LOG_LINE, RUN_ELAPSED, RUN_ETA, STATUSES, filled
+from matgraph.functions.figures import ACTIVE, BUILD_FIELDS, ELAPSED, ETA, FRACTION, LISTS, LOG_LINE, RUN_ELAPSED, RUN_ETA, STATUSES, filled, rounded_column
 from matgraph.functions.figures import told_column as fmt_elapsed
 
 
@@ -95,7 +95,7 @@ def build_json(now: Column) -> Column:
     fields = []
     for f in BUILD_FIELDS:
         value = f.of.column(now=now)
-        value = F.round(value, f.digits) if f.digits else value
+        value = rounded_column(value, f.digits) if f.digits else value
         known = value.isNotNull() & (value.cast("string") != "")
         fields.append((f.name, _json(value) if f.always else F.when(known, _json(value))))
     return _object(fields)
@@ -114,7 +114,7 @@ def status_json(states: DataFrame, now: Column, run_started: Column) -> DataFram
     row = snapshot(own, now, run_started, *lists)
     day = lambda at: _json(F.date_format(F.timestamp_seconds(at), "HH:mm:ss"))
     fields = [("time", day(now)), ("started", day(run_started))]
-    fields += [(k, _json(F.round(k, 1))) for k in ("elapsed_s", "eta_s")]
+    fields += [(k, _json(rounded_column(F.col(k), 1))) for k in ("elapsed_s", "eta_s")]
     fields += [("summary", _json(F.col("summary"))), ("counts", _object([(s, _json(F.col(s))) for s in STATUSES]))]
     fields += [(name, F.concat(F.lit("["), F.col(f"_{name}"), F.lit("]"))) for name, _, _ in LISTS]
     return row.select(_object(fields).alias("document"))

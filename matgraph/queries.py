@@ -379,6 +379,16 @@ def parse_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("event_id", F.col("p.id").alias("build"), F.col("p.fields")["DONE"].alias("done"), F.col("p.fields")["STATUS"].alias("status"), F.size("p.fields").alias("n_fields"))
 
 
+def reported_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What messages set of a build's state, with numbers that are none among them."""
+    events = table(spark, sf_dir, "events")
+    number = lambda of: F.element_at(F.array(of.cast("string"), F.lit("many"), F.lit(" 1_0.5e1 "), F.lit("")), (of % 4 + 1).cast("int"))
+    done = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("DONE="), number(F.col("event_id")), F.lit("\n")))
+    text = F.concat(F.lit("ID=b\n"), F.coalesce(done, F.lit("")), F.lit("TOTAL="), number(F.col("user_id")), F.lit("\nSTATUS="), F.col("event_type"))
+    found = events.select("event_id", messages.parse_message(text).alias("p")).select("event_id", messages.reported(F.col("p.fields")).alias("r"))
+    return found.select("event_id", "r.done", "r.total", "r.text")
+
+
 def coalesce_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     found = messages.coalesce_last(events, "user_id", F.date_trunc("hour", F.col("ts")), ["ts", "event_id"])
@@ -503,7 +513,7 @@ QUERIES = {
     for f in (
         step_materialized, step_cached_twice, step_chain, gather_union, value_step, child_partition, rename_alias, symlink_alias,
         blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, labels, nodes_once, archive_entries, archive_member, stock_steps, scheduled_graph,
-        run_log, reported_progress, failed_runs, parse_message, coalesce_last,
+        run_log, reported_progress, failed_runs, parse_message, reported_fields, coalesce_last,
         latest_state, fraction, build_eta, status_counts, snapshot_eta, summary_line, fmt_elapsed, running_list, transition_log, log_lines,
         status_json, build_json, progress_stream,
     )
@@ -592,6 +602,10 @@ ORACLE = {
         above AS (SELECT own.node FROM own JOIN lost ON own.node // 2 = lost.node)
         SELECT CAST(node AS INTEGER) AS node, CASE WHEN node IN (SELECT node FROM above) THEN 'blocked' WHEN fails THEN 'failed' ELSE 'done' END AS status FROM own""",
     "parse_message": """SELECT event_id, 'b' || user_id AS build, CAST(event_id AS VARCHAR) AS done, event_type || '=y' AS status, 2 AS n_fields FROM events""",
+    "reported_fields": """WITH said AS (
+          SELECT *, [CAST(event_id AS VARCHAR), 'many', '105', ''][1 + event_id % 4] AS d, [CAST(user_id AS VARCHAR), 'many', '105', ''][1 + user_id % 4] AS t FROM events)
+        SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN TRY_CAST(d AS DOUBLE) END AS done,
+               CASE WHEN event_id % 3 = 0 OR TRY_CAST(d AS DOUBLE) IS NOT NULL THEN TRY_CAST(t AS DOUBLE) END AS total, event_type AS text FROM said""",
     "coalesce_last": _LAST,
     "latest_state": """SELECT user_id, arg_max(event_type, {'ts': ts, 'e': event_id}) AS event_type, arg_max(value, {'ts': ts, 'e': event_id}) FILTER (value IS NOT NULL) AS value,
         count(*) AS n_events FROM events GROUP BY user_id""",
@@ -616,12 +630,12 @@ ORACLE = {
         (SELECT arg_min(label, {{'a': coalesce(started_at, 0), 'b': label}}) FROM states WHERE status IN ('running', 'waiting')) AS first_running,
         failed AS n_failed, (SELECT arg_min(error, label) FROM states WHERE status = 'failed') AS first_error, CAST(NULL AS VARCHAR) AS no_text,
         pending AS n_pending, (SELECT min(name) FROM (SELECT arg_min(name, label) AS name FROM states WHERE status = 'blocked')) AS first_blocked,
-        'time started elapsed_s eta_s summary counts running pending failed blocked' AS fields, round(elapsed_s, 1) AS elapsed_s, round(eta_s, 1) AS eta_s, true AS has_times FROM snap""",
+        'time started elapsed_s eta_s summary counts running pending failed blocked' AS fields, printf('%.1f', elapsed_s)::DOUBLE AS elapsed_s, printf('%.1f', eta_s)::DOUBLE AS eta_s, true AS has_times FROM snap""",
     "build_json": f"""WITH {_STATES}, told AS (
-          SELECT *, CASE WHEN fraction <> 0 AND elapsed_s <> 0 THEN round(elapsed_s / fraction - elapsed_s, 1) END AS eta FROM timed)
+          SELECT *, CASE WHEN fraction <> 0 AND elapsed_s <> 0 THEN printf('%.1f', elapsed_s / fraction - elapsed_s)::DOUBLE END AS eta FROM timed)
         SELECT label, 'name label pool slots status elapsed_s' || CASE WHEN fraction IS NOT NULL THEN ' fraction' ELSE '' END || CASE WHEN eta IS NOT NULL THEN ' eta_s' ELSE '' END
           || CASE WHEN text <> '' THEN ' text' ELSE '' END || CASE WHEN error <> '' THEN ' error' ELSE '' END AS fields, slots,
-          round(elapsed_s, 1) AS elapsed_s, round(fraction, 4) AS fraction, eta AS eta_s, nullif(text, '') AS text, nullif(error, '') AS error FROM told""",
+          printf('%.1f', elapsed_s)::DOUBLE AS elapsed_s, printf('%.4f', fraction)::DOUBLE AS fraction, eta AS eta_s, nullif(text, '') AS text, nullif(error, '') AS error FROM told""",
     "archive_member": """SELECT n_name || kind AS archive, 'member' AS entry, strlen(n_name) AS length, n_name AS content FROM nation, (VALUES ('.tar.gz'), ('.zip')) k(kind)""",
     "stock_steps": """SELECT step, r_regionkey, r_name AS name FROM region, (VALUES ('tar'), ('zip'), ('member')) s(step)
         UNION ALL SELECT step, r_regionkey, r_name FROM region, (VALUES ('file'), ('path'), ('link'), ('renamed'), ('child of a renamed folder'), ('constant'),

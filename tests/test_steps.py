@@ -243,7 +243,7 @@ def test_dataframes_are_no_arguments(spark):
         greeting(spark.range(1))
 
 
-def test_store_on_a_hadoop_path(spark, tmp_path):
+def test_vault_on_a_hadoop_path(spark, tmp_path):
     from matgraph.operators.files import HadoopFiles, complete
 
     files = HadoopFiles(f"file://{tmp_path}/h", spark)
