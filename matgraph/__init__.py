@@ -1,7 +1,7 @@
 """Graphs of named, cached dataset steps on Spark."""
 
 from matgraph.functions.digest import hash_directory_tree
-from matgraph.operators.executor import LocalExecutor
+from matgraph.operators.executor import LocalExecutor, session
 from matgraph.plans.hashing import compute_hash
 from matgraph.plans.nodes import (
     DEFAULT_POOL,

@@ -52,14 +52,14 @@ def realized(spark: SparkSession, node, **kw):
 
 @m.derivation("revenue_by_flag")
 def revenue_by_flag(sf_dir: str) -> DataFrame:
-    spark = SparkSession.getActiveSession()
+    spark = m.session()
     revenue = F.sum(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("long"))
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(revenue.alias("revenue_cents"), F.count(F.lit(1)).alias("n_lines"))
 
 
 @m.derivation("order_sizes")
 def order_sizes(sf_dir: str) -> DataFrame:
-    lines = table(SparkSession.getActiveSession(), sf_dir, "lineitem")
+    lines = table(m.session(), sf_dir, "lineitem")
     return lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
 
 
@@ -72,7 +72,7 @@ def size_by_priority(sizes: DataFrame, sf_dir: str, least: int = 0) -> DataFrame
 
 @m.derivation("segment")
 def customers_of(sf_dir: str, segment: str) -> DataFrame:
-    rows = table(SparkSession.getActiveSession(), sf_dir, "customer").filter(F.col("c_mktsegment") == segment)
+    rows = table(m.session(), sf_dir, "customer").filter(F.col("c_mktsegment") == segment)
     return rows.select("c_custkey", "c_mktsegment")
 
 
@@ -83,7 +83,7 @@ def typical_lines(sizes: DataFrame) -> int:
 
 @m.derivation("by_status")
 def by_status(sf_dir: str) -> None:
-    rows = table(SparkSession.getActiveSession(), sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    rows = table(m.session(), sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     out = m.output()
     rows.write.partitionBy("o_orderstatus").parquet(out if isinstance(out, str) else out.absolute().as_uri())
 
