@@ -18,7 +18,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import matgraph as m
@@ -94,7 +94,7 @@ def step_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 class _Statuses(m.Reporter):
     def close(self, snapshot: m.Snapshot) -> None:
-        self.counts, self.builds = snapshot.counts(), snapshot.builds
+        self.counts, self.builds, self.snapshot = snapshot.counts(), snapshot.builds, snapshot
 
 
 def step_cached_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -508,6 +508,61 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_stream(spark, f"{sf_dir}/events.parquet", new_root(spark))
 
 
+def event_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of events through its data source, as one batch: the last state of each build."""
+    from matgraph.streaming import source
+
+    source.register(spark)
+    log = spark.read.format("matgraph_events").option("path", _plain(spark, f"{sf_dir}/events.parquet")).load()
+    return messages.latest_state(log, "user_id", ["event_type", "value"], ["ts", "event_id"])
+
+
+def _plain(spark: SparkSession, path: str) -> str:
+    """A path that other libraries open, too."""
+    return path.removeprefix("file://") if path.startswith("file:///") else path
+
+
+def transition_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitions of the log, read as a stream by its data source, with a state for each build."""
+    from matgraph.streaming import source, transitions
+
+    own = transitions.stateful_session(spark)
+    source.register(own)
+    log = own.readStream.format("matgraph_events").option("path", _plain(spark, f"{sf_dir}/events.parquet")).load()
+    rows = log.select(F.col("user_id").alias("build"), F.col("ts").cast("timestamp").alias("at"), "event_id", F.col("event_type").alias("status"))
+    found = transitions.replay(spark, rows, new_root(spark))
+    return found.select(F.col("build").alias("user_id"), "event_id", F.col("status").alias("event_type"), "previous")
+
+
+@m.expression()
+def small_lines(sf_dir: str) -> DataFrame:
+    return table(SparkSession.getActiveSession(), sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_linestatus")
+
+
+@m.derivation(lambda lines, column: f"by_{column}")
+def lines_by(lines: DataFrame, column: str) -> DataFrame:
+    return lines.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+
+
+def held_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DataFrame of an expression that two steps read side by side, held while they do."""
+    lines = small_lines(sf_dir)
+    a, b = realized(spark, m.Gather(lines_by(lines, "l_returnflag"), lines_by(lines, "l_linestatus")))
+    return a.withColumn("of", F.lit("returnflag")).unionByName(b.withColumn("of", F.lit("linestatus")))
+
+
+def task_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What Spark's tasks tell of a step over ``lineitem``: whether its figures only grew and came to the
+    end, and the rows that it wrote."""
+    told, root = _Statuses(), new_root(spark)
+    found = realized(spark, revenue_by_flag(sf_dir), root=root, reporter=told)
+    samples = told.snapshot.tasks(spark)
+    before = Window.partitionBy("label").orderBy("at")
+    samples = samples.withColumns({"fell": (F.lag("done").over(before) > F.col("done")) | (F.lag("total").over(before) > F.col("total"))})
+    ends = samples.groupBy("label").agg((~F.coalesce(F.max("fell"), F.lit(False))).alias("only_grew"), (F.max("done") == F.max("total")).alias("all_done"), (F.max("total") > 0).alias("had_tasks"))
+    return ends.drop("label").withColumn("n_rows", F.lit(found.count()).cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -515,7 +570,7 @@ QUERIES = {
         blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, labels, nodes_once, archive_entries, archive_member, stock_steps, scheduled_graph,
         run_log, reported_progress, failed_runs, parse_message, reported_fields, coalesce_last,
         latest_state, fraction, build_eta, status_counts, snapshot_eta, summary_line, fmt_elapsed, running_list, transition_log, log_lines,
-        status_json, build_json, progress_stream,
+        status_json, build_json, progress_stream, event_source, transition_stream, held_expression, task_progress,
     )
 }
 
@@ -651,4 +706,9 @@ ORACLE = {
         UNION ALL SELECT * FROM (VALUES ('no output', 'RealizeError', 1, 1, true), ('the first failure', 'RealizeError', 1, 1, true),
           ('more slots than the pool has', 'ValueError', 0, 0, true), ('not a step', 'TypeError', 0, 0, true))""",
     "progress_stream": _LAST,
+    "held_expression": """SELECT l_returnflag AS value, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, 'returnflag' AS "of" FROM lineitem GROUP BY l_returnflag
+        UNION ALL SELECT l_linestatus, count(*), CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT), 'linestatus' FROM lineitem GROUP BY l_linestatus""",
+    "task_progress": "SELECT true AS only_grew, true AS all_done, true AS had_tasks, count(DISTINCT l_returnflag) AS n_rows FROM lineitem",
 }
+ORACLE["event_source"] = ORACLE["latest_state"]
+ORACLE["transition_stream"] = ORACLE["transition_log"]

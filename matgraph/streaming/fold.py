@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 def last_in_span(events: DataFrame, span: str = "1 hour", late: str = "7 days") -> DataFrame:
     """A streaming aggregate of (user_id, ts, event_id, value) rows; a ``ts`` without zone
-    is read in the session's, as watermarks need a time stamp with one."""
+    is read in the session's, as watermarks need a time stamp with one. Events of spans that ended
+    more than ``late`` before the latest event of earlier batches are dropped."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     last = F.max(F.struct("ts", "event_id", "value")).alias("last")
     found = timed.groupBy("user_id", F.window("at", span)).agg(last)
