@@ -34,8 +34,11 @@ class LocalFiles:
     def exists(self, name: str) -> bool:
         return os.path.lexists(self.path(name))
 
-    def names(self) -> list[str]:
-        return sorted(os.listdir(self.root))
+    def names(self, below: str = "") -> list[str]:
+        return sorted(os.listdir(self.path(below)))
+
+    def mkdir(self, name: str) -> None:
+        self.path(name).mkdir(parents=True, exist_ok=True)
 
     def holds(self, name: str, suffix: str) -> bool:
         """Is there a file with that suffix in the folder, at any depth?"""
@@ -115,8 +118,11 @@ class HadoopFiles:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._at(name))
 
-    def names(self) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)))
+    def names(self, below: str = "") -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(below) if below else self._path(self.root)))
+
+    def mkdir(self, name: str) -> None:
+        self._fs.mkdirs(self._at(name))
 
     def holds(self, name: str, suffix: str) -> bool:
         found = self._fs.listFiles(self._at(name), True)
@@ -194,7 +200,11 @@ def manifest_of(files: Any, name: str) -> dict | None:
 
 
 def complete(files: Any, name: str) -> bool:
-    """Is the entry published? A folder of Parquet without its manifest is not."""
+    """Is the entry published? A folder of Parquet without its manifest is not, and neither is an
+    alias whose target is gone."""
     if not files.exists(name):
         return False
-    return manifest_of(files, name) is not None or not files.exists(f"{name}/_SUCCESS")
+    found = manifest_of(files, name)
+    if found is not None:
+        return found.get("alias_of") is None or complete(files, found["alias_of"])
+    return not files.exists(f"{name}/_SUCCESS")

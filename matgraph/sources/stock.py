@@ -17,6 +17,7 @@ from pathlib import Path
 from typing import Any
 
 from matgraph.functions.digest import hash_directory_tree
+from matgraph.operators.aliases import AliasOf
 from matgraph.operators.executor import is_dataframe
 from matgraph.plans.nodes import Derivation, FileLike, Realizable, derivation, expression, output
 from matgraph.streaming.progress import progress
@@ -144,9 +145,15 @@ def ExtractFromZip(zip_file: Realizable, filename: str) -> Derivation:
     return derivation(Path(filename).name)(_unpack_member)(zip_file, filename)
 
 
+def _pointed(value: Any) -> Any:
+    """A published dataset under another name: an alias that holds no files. Other frames are published."""
+    uri = getattr(value, "matgraph_uri", None)
+    return value if uri is None else AliasOf(uri)
+
+
 def _link(value: Any) -> Any:
     if is_dataframe(value):
-        return value  # published again; datasets are read by path, and other file systems may have no links
+        return _pointed(value)
     os.symlink(value, output())
 
 
@@ -156,9 +163,9 @@ def Symlink(name: str, input: FileLike) -> Derivation:
 
 
 def _again(value: Any) -> Any:
-    """The value's content as this step's own: datasets are published again, files copied."""
+    """The value's content as this step's own: datasets are pointed at, which keeps them, files copied."""
     if is_dataframe(value):
-        return value
+        return _pointed(value)
     copies = {stat.S_IFDIR: shutil.copytree, stat.S_IFREG: shutil.copy}
     kind = stat.S_IFMT(os.stat(value).st_mode) if os.path.exists(value) else None
     if kind not in copies:
