@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import matgraph as m
-from matgraph.functions import digest, messages, status
+from matgraph.functions import digest, merkle, messages, status
 from matgraph.operators.scratch import checkpoints, new_folder
 from matgraph.operators.shipping import ship
 from matgraph.plans import relations
@@ -166,6 +166,27 @@ def tree_digest_of_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.tree_digest_of_digests(docs.select(F.col("source").alias("root"), F.format_string("%012d", "doc_id").alias("path"), F.col("text").alias("content")))
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of trees: a root for each source, folders of languages and hundreds."""
+    path = F.concat_ws("/", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("root"), path.alias("path"), F.col("text").alias("content"))
+
+
+def merkle_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.roots(merkle.tree(document_files(spark, sf_dir)))
+
+
+def merkle_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees after each root's first document was rewritten and its last one removed: only what is above them
+    is digested again."""
+    docs = table(spark, sf_dir, "documents")
+    ends = docs.groupBy("source").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    rows = docs.drop("text").join(ends, "source").filter("doc_id in (first, last)")
+    path = F.concat_ws("/", "lang", F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string"))
+    changes = rows.select(F.col("source").alias("root"), path.alias("path"), F.lit("rewritten").alias("content"), (F.col("doc_id") == F.col("last")).alias("removed"))
+    return merkle.roots(merkle.changed(merkle.tree(document_files(spark, sf_dir)), changes))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", digest.label(F.unhex(F.sha2("p_name", 256)), F.col("p_name")).alias("label"))
 
@@ -567,7 +588,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         step_materialized, step_cached_twice, step_chain, gather_union, value_step, child_partition, rename_alias, symlink_alias,
-        blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, labels, nodes_once, archive_entries, archive_member, stock_steps, scheduled_graph,
+        blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, merkle_digest, merkle_change, labels, nodes_once, archive_entries, archive_member, stock_steps, scheduled_graph,
         run_log, reported_progress, failed_runs, parse_message, reported_fields, coalesce_last,
         latest_state, fraction, build_eta, status_counts, snapshot_eta, summary_line, fmt_elapsed, running_list, transition_log, log_lines,
         status_json, build_json, progress_stream, event_source, transition_stream, held_expression, task_progress,
@@ -710,5 +731,14 @@ ORACLE = {
         UNION ALL SELECT l_linestatus, count(*), CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT), 'linestatus' FROM lineitem GROUP BY l_linestatus""",
     "task_progress": "SELECT true AS only_grew, true AS all_done, true AS had_tasks, count(DISTINCT l_returnflag) AS n_rows FROM lineitem",
 }
+_MERKLE = """WITH docs AS ({docs}),
+        files AS (SELECT source AS root, lang, CAST(doc_id // 100 AS VARCHAR) AS hundred, CAST(doc_id AS VARCHAR) AS name, sha256(text) AS d FROM docs),
+        hundreds AS (SELECT root, lang, hundred, sha256(string_agg('f ' || d || ' ' || name, chr(10) ORDER BY name)) AS d FROM files GROUP BY ALL),
+        langs AS (SELECT root, lang, sha256(string_agg('d ' || d || ' ' || hundred, chr(10) ORDER BY hundred)) AS d FROM hundreds GROUP BY ALL),
+        tops AS (SELECT root, sha256(string_agg('d ' || d || ' ' || lang, chr(10) ORDER BY lang)) AS digest FROM langs GROUP BY root)
+        SELECT root, n_files, digest FROM tops JOIN (SELECT source AS root, count(*) AS n_files FROM docs GROUP BY source) USING (root)"""
+ORACLE["merkle_digest"] = _MERKLE.format(docs="SELECT doc_id, source, lang, text FROM documents")
+ORACLE["merkle_change"] = _MERKLE.format(docs="""SELECT doc_id, source, lang, CASE WHEN doc_id = first THEN 'rewritten' ELSE text END AS text
+          FROM (SELECT *, min(doc_id) OVER (PARTITION BY source) AS first, max(doc_id) OVER (PARTITION BY source) AS last FROM documents) WHERE doc_id <> last""")
 ORACLE["event_source"] = ORACLE["latest_state"]
 ORACLE["transition_stream"] = ORACLE["transition_log"]
