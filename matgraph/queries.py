@@ -18,6 +18,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -555,6 +556,36 @@ def transition_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("build").alias("user_id"), "event_id", F.col("status").alias("event_type"), "previous")
 
 
+def sink_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of events as a stream into two sinks, of which one fails at its first batch: the counts of
+    each status, and the errors, as the sinks have them in the end."""
+    from matgraph.streaming import sinks, source
+
+    source.register(spark)
+    root = new_root(spark)
+    failed = []
+
+    def errors_only(batch: DataFrame) -> DataFrame:
+        if not failed:
+            failed.append(1)
+            raise OSError("the sink is away")
+        return batch.filter("event_type = 'error'").select("event_type", "user_id")
+
+    counts = lambda batch: batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    both = sinks.FanOut(spark, root, {"counts": sinks.to_folder(f"{root}/counts", counts), "errors": sinks.to_folder(f"{root}/errors", errors_only)})
+    log = spark.readStream.format("matgraph_events").option("path", _plain(spark, f"{sf_dir}/events.parquet")).load()
+    for _ in range(2):
+        query = log.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(both).start()
+        try:
+            query.awaitTermination()
+            break
+        except StreamingQueryException:
+            continue
+    errors = spark.read.schema("event_type string, user_id long, batch int").parquet(f"{root}/errors").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    found = spark.read.schema("event_type string, n long, batch int").parquet(f"{root}/counts").groupBy("event_type").agg(F.sum("n").alias("n"))
+    return found.select(F.lit("counts").alias("sink"), "event_type", "n").unionByName(errors.select(F.lit("errors").alias("sink"), "event_type", "n"))
+
+
 @m.expression()
 def small_lines(sf_dir: str) -> DataFrame:
     return table(SparkSession.getActiveSession(), sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_linestatus")
@@ -591,7 +622,7 @@ QUERIES = {
         blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, merkle_digest, merkle_change, labels, nodes_once, archive_entries, archive_member, stock_steps, scheduled_graph,
         run_log, reported_progress, failed_runs, parse_message, reported_fields, coalesce_last,
         latest_state, fraction, build_eta, status_counts, snapshot_eta, summary_line, fmt_elapsed, running_list, transition_log, log_lines,
-        status_json, build_json, progress_stream, event_source, transition_stream, held_expression, task_progress,
+        status_json, build_json, progress_stream, event_source, transition_stream, sink_fan_out, held_expression, task_progress,
     )
 }
 
@@ -741,4 +772,6 @@ ORACLE["merkle_digest"] = _MERKLE.format(docs="SELECT doc_id, source, lang, text
 ORACLE["merkle_change"] = _MERKLE.format(docs="""SELECT doc_id, source, lang, CASE WHEN doc_id = first THEN 'rewritten' ELSE text END AS text
           FROM (SELECT *, min(doc_id) OVER (PARTITION BY source) AS first, max(doc_id) OVER (PARTITION BY source) AS last FROM documents) WHERE doc_id <> last""")
 ORACLE["event_source"] = ORACLE["latest_state"]
+ORACLE["sink_fan_out"] = """SELECT 'counts' AS sink, event_type, count(*) AS n FROM events GROUP BY event_type
+    UNION ALL SELECT 'errors', event_type, count(*) FROM events WHERE event_type = 'error' GROUP BY event_type"""
 ORACLE["transition_stream"] = ORACLE["transition_log"]

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from matgraph.streaming import source, transitions
+from matgraph.streaming import sinks, source, transitions
 
 START = datetime(2024, 1, 1)
 
@@ -135,3 +135,43 @@ def test_no_events(spark, tmp_path):
     write(tmp_path / "log", "0.parquet", events(1)[:0])
     own = transitions.stateful_session(spark)
     assert transitions.replay(spark, stream(own, tmp_path / "log"), f"{tmp_path}/out").count() == 0
+
+
+def test_a_sink_that_fails_once_has_each_batch_once(spark, tmp_path):
+    """And the others don't get a batch again; a batch that breaks off between rows and note is replaced."""
+    rows = events(90)
+    source.register(spark)
+    got: dict = {"a": [], "b": []}
+    fail = {("b", 1)}
+
+    def listed(name):
+        def put(batch, number):
+            if (name, number) in fail:
+                fail.discard((name, number))
+                raise OSError(f"{name} is away")
+            got[name].append((number, sorted(r["event_id"] for r in batch.collect())))
+
+        return put
+
+    root = f"file://{tmp_path}/out"
+    fan = lambda: sinks.FanOut(spark, root, {"a": listed("a"), "b": listed("b"), "c": sinks.to_folder(f"{root}/c")})
+    for k in range(3):
+        write(tmp_path / "log", f"{k}.parquet", rows[30 * k : 30 * k + 30])
+        try:
+            run(spark, tmp_path / "log", tmp_path, fan())
+        except Exception as e:
+            assert "b is away" in str(e) and k == 1
+            assert fan().taken("a") == [0, 1] and fan().taken("b") == [0]
+            run(spark, tmp_path / "log", tmp_path, fan())
+    whole = [(k, list(range(30 * k, 30 * k + 30))) for k in range(3)]
+    assert got == {"a": whole, "b": whole} and fan().taken("b") == [0, 1, 2]
+    kept = spark.read.parquet(f"{root}/c")
+    assert sorted(r["event_id"] for r in kept.collect()) == list(range(90))
+    (tmp_path / "out" / "_sinks" / "c" / "000000000002").unlink()  # as if it broke off before its note
+    sinks.FanOut(spark, root, {"c": sinks.to_folder(f"{root}/c")})(spark.createDataFrame(rows[60:], "build long, ts timestamp_ntz, event_id long, status string"), 2)
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{root}/c").collect()) == list(range(90))
+
+
+def test_names_of_sinks(spark, tmp_path):
+    with pytest.raises(ValueError, match="bare file name"):
+        sinks.FanOut(spark, f"file://{tmp_path}", {"a/b": print})
