@@ -204,6 +204,18 @@ def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("entry", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def archive_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into archives that tasks save, whose directories are read and whose members are, each by
+    its own range."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("entry"), F.col("text").alias("content"))
+    folder = new_root(spark)
+    paths = archives.saved(archives.packed(docs), f"{folder}/archives")
+    paths.write.parquet(f"{folder}/paths")
+    listed = archives.directory(spark.read.parquet(f"{folder}/paths"))
+    found = archives.members(listed.repartition(F.col("archive"), F.col("entry")), 1 << 16).filter("sha256 is not null")
+    return found.select("entry", "length", "sha256")
+
+
 def archive_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one member of each nation's archives, a gzipped tar and a zip, that has its name."""
 
@@ -619,7 +631,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         step_materialized, step_cached_twice, step_chain, gather_union, value_step, child_partition, rename_alias, symlink_alias,
-        blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, merkle_digest, merkle_change, labels, nodes_once, archive_entries, archive_member, stock_steps, scheduled_graph,
+        blocked_closure, ready_set, slot_admission, tree_digest, tree_digest_of_digests, merkle_digest, merkle_change, labels, nodes_once, archive_entries, archive_ranges, archive_member, stock_steps, scheduled_graph,
         run_log, reported_progress, failed_runs, parse_message, reported_fields, coalesce_last,
         latest_state, fraction, build_eta, status_counts, snapshot_eta, summary_line, fmt_elapsed, running_list, transition_log, log_lines,
         status_json, build_json, progress_stream, event_source, transition_stream, sink_fan_out, held_expression, task_progress,
@@ -772,6 +784,7 @@ ORACLE["merkle_digest"] = _MERKLE.format(docs="SELECT doc_id, source, lang, text
 ORACLE["merkle_change"] = _MERKLE.format(docs="""SELECT doc_id, source, lang, CASE WHEN doc_id = first THEN 'rewritten' ELSE text END AS text
           FROM (SELECT *, min(doc_id) OVER (PARTITION BY source) AS first, max(doc_id) OVER (PARTITION BY source) AS last FROM documents) WHERE doc_id <> last""")
 ORACLE["event_source"] = ORACLE["latest_state"]
+ORACLE["archive_ranges"] = ORACLE["archive_entries"]
 ORACLE["sink_fan_out"] = """SELECT 'counts' AS sink, event_type, count(*) AS n FROM events GROUP BY event_type
     UNION ALL SELECT 'errors', event_type, count(*) FROM events WHERE event_type = 'error' GROUP BY event_type"""
 ORACLE["transition_stream"] = ORACLE["transition_log"]

@@ -7,8 +7,10 @@ import subprocess
 import tarfile
 import threading
 import zipfile
+import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from matgraph import (
     ChildFile,
@@ -218,3 +220,41 @@ def test_packing(spark):
     assert zips.count() > 2
     assert sorted((r["entry"], r["length"]) for r in archives.entries(zips).collect()) == sorted([(f"d/{i}", i) for i in range(50)] + [("null", 0)])
     assert archives.packed(rows.limit(0)).count() == 0
+
+
+def test_members_by_range(spark, tmp_path):
+    """Of an archive of 40 MB a small member takes some kilobytes; large ones come in parts."""
+    big, small = os.urandom(20 << 20), "é small".encode()
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("stored/big", big)
+        z.writestr(zipfile.ZipInfo("deep/small"), small, zipfile.ZIP_DEFLATED)
+        z.writestr("packed", b"ab" * (10 << 20), zipfile.ZIP_DEFLATED)
+        z.writestr("empty", b"")
+        z.mkdir("folder")
+        z.writestr("other", big)
+    listed = archives.directory(spark.createDataFrame([(str(tmp_path / "a.zip"),), (f"file://{tmp_path}/a.zip",)], "path string"))
+    rows = {(r["archive"][0], r["entry"]): r for r in listed.collect()}
+    assert len(rows) == 10 and rows["/", "packed"]["length"] == 20 << 20 and all(r["bytes_read"] < 4096 for r in rows.values())
+    got = archives.members(listed.filter("entry = 'deep/small'")).collect()
+    assert [bytes(r["content"]) for r in got] == [small] * 2 and all(r["bytes_read"] < 200 for r in got)
+    parts = archives.members(listed.filter("archive like 'file:%'").repartition(4), 1 << 18).select("entry", "part", F.length("content").alias("n"), F.crc32("content").alias("crc"), "length", "sha256").collect()
+    assert max(r["n"] for r in parts) <= 1 << 18
+    for entry, content in (("stored/big", big), ("packed", b"ab" * (10 << 20)), ("empty", b""), ("other", big)):
+        own = sorted((r for r in parts if r["entry"] == entry), key=lambda r: r["part"])
+        assert [r["part"] for r in own] == list(range(len(own))) and sum(r["n"] for r in own) == len(content) == own[-1]["length"]
+        assert own[-1]["sha256"] == hashlib.sha256(content).hexdigest() and all(r["sha256"] is None for r in own[:-1])
+        assert all(zlib.crc32(content[k << 18 : k + 1 << 18]) == r["crc"] for k, r in enumerate(own))
+
+
+def test_archives_that_are_broken(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x", b"hello" * 100)
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    raw[40] ^= 1
+    (tmp_path / "a.zip").write_bytes(raw)
+    with pytest.raises(Exception, match="isn't what the directory says"):
+        archives.members(archives.directory(spark.createDataFrame([(str(tmp_path / "a.zip"),)], "path string"))).collect()
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("../out", b"x")
+    with pytest.raises(Exception, match="leaves the archive"):
+        archives.directory(spark.createDataFrame([(str(tmp_path / "b.zip"),)], "path string")).collect()
