@@ -258,3 +258,77 @@ def test_archives_that_are_broken(spark, tmp_path):
         z.writestr("../out", b"x")
     with pytest.raises(Exception, match="leaves the archive"):
         archives.directory(spark.createDataFrame([(str(tmp_path / "b.zip"),)], "path string")).collect()
+
+
+class Ranges(http.server.BaseHTTPRequestHandler):
+    """Serves ``content`` by ranges; breaks off where ``faults`` says, each once."""
+
+    content, tag, faults, asked, whole = b"", '"1"', {}, [], False
+
+    def do_GET(self):
+        said = self.headers.get("Range")
+        if self.whole or said is None or self.headers.get("If-Range", self.tag) != self.tag:
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(self.content)))
+            self.end_headers()
+            self.wfile.write(self.content)
+            return
+        a, b = (int(x) for x in said.removeprefix("bytes=").split("-"))
+        self.asked.append((a, b))
+        fault = self.faults.pop(a, None)
+        if fault == "500":
+            self.send_error(500)
+            return
+        data = self.content[a : b + 1]
+        self.send_response(206)
+        self.send_header("Content-Range", f"bytes {a}-{b}/{len(self.content)}")
+        self.send_header("Content-Length", str(len(data)))
+        self.send_header("ETag", self.tag)
+        self.end_headers()
+        self.wfile.write(data if fault is None else data[:fault])
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def ranged():
+    own = type("Own", (Ranges,), {"content": os.urandom(1_000_000), "faults": {}, "asked": []})
+    httpd = http.server.ThreadingHTTPServer(("127.0.0.1", 0), own)
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    yield own, f"http://127.0.0.1:{httpd.server_port}/file"
+    httpd.shutdown()
+
+
+def test_ranges_are_retried_alone(spark, ranged):
+    own, url = ranged
+    own.faults.update({300_000: "500", 500_000: 40_000, 540_000: 10, 900_000: 0})
+    ranges = fetch.planned(spark.createDataFrame([(url,)], "url string"), 100_000)
+    plan = ranges.collect()
+    assert [(r["start"], r["stop"]) for r in plan] == [(k, k + 100_000) for k in range(0, 1_000_000, 100_000)]
+    own.asked.clear()
+    rows = spark.createDataFrame(plan, ranges.schema).repartition(8, "url", "part")
+    assert rows.rdd.getNumPartitions() == 8
+    found = fetch.parts(rows).collect()
+    assert b"".join(bytes(r["content"]) for r in sorted(found, key=lambda r: r["part"])) == own.content
+    assert {r["part"]: r["requests"] for r in found if r["requests"] > 1} == {3: 2, 5: 3, 9: 2}
+    # Only those were asked for again, from where they were.
+    assert sorted(own.asked) == sorted([(k, k + 99_999) for k in range(0, 1_000_000, 100_000)] + [(300_000, 399_999), (540_000, 599_999), (540_010, 599_999), (900_000, 999_999)])
+    held = spark.createDataFrame(found, "url string, part int, content binary, requests int")
+    digest = fetch.digested(held).collect()
+    assert [tuple(r) for r in digest] == [(url, 1_000_000, hashlib.sha256(own.content).hexdigest())]
+
+
+def test_ranges_of_a_file_that_changes_and_of_servers_without_them(spark, ranged):
+    own, url = ranged
+    urls = spark.createDataFrame([(url,), (None,)], "url string")
+    plan = spark.createDataFrame(fetch.planned(urls, 400_000).collect(), fetch.RANGE)
+    own.tag = '"2"'
+    with pytest.raises(Exception, match="changed while"):
+        fetch.parts(plan).collect()
+    own.whole = True
+    (row,) = fetch.parts(fetch.planned(urls)).collect()
+    assert bytes(row["content"]) == own.content and row["requests"] == 1
+    own.whole, own.tag, own.faults = False, '"1"', {0: "500"}
+    with pytest.raises(Exception, match="HTTP Error 500"):
+        fetch.parts(plan, tries=1).collect()
