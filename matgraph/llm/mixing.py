@@ -45,19 +45,37 @@ def _ranked(by_source: DataFrame) -> DataFrame:
     return dealt.withColumn("inner", inner).join(F.broadcast(sizes), "part").withColumn("rank", F.col("before") + F.col("inner") - 1).drop("part", "inner", "before")
 
 
+#: Sources are summed by their cap for each weight, in so many steps to a doubling.
+STEPS = 4
+
+
+def _start(shares: DataFrame, room: int, left: int) -> tuple[int, int]:
+    """What is left to share, and the weights, when sources are capped whose whole step of caps lies below
+    the share. A step's sums are one row, so at most some hundred come to the driver."""
+    step = F.floor(F.log2(F.greatest(F.col("cap").cast("double") / F.col("w"), F.lit(1.0))) * STEPS)
+    steps = [(r["step"], r["cap"], r["w"]) for r in shares.groupBy(step.alias("step")).agg(F.sum("cap").alias("cap"), F.sum("w").alias("w")).orderBy("step").collect()]
+    for k, cap, w in steps:
+        # A little off its end, as the logarithm is rounded.
+        if not left or 2.0 ** ((k + 1) / STEPS) * (1 + 1e-9) >= room / left:
+            break
+        room, left = room - cap, left - w
+    return room, left
+
+
 def rates(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(source, source_size, target, rate) from (source, size) rows.
 
     A source is capped if its share by weight of what the capped ones leave is more than its
-    cap. Capping some raises the others' shares, so the set grows, from none, until it
-    stays; each time two sums over the sources' narrow rows come to the driver.
+    cap. Capping some raises the others' shares, so the set grows until it stays. It begins with
+    those that sums by size show to be capped, which leaves a round or two, whatever the sizes;
+    in each, two sums over the sources' narrow rows come to the driver.
     """
     by_source = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
     # Products of sizes and weights may pass a long.
     shares = staged(_ranked(by_source).withColumn("w", w.cast("long")).withColumn("cap", F.col("source_size") * max_repeat).drop("rank"), "shares")
     everything = shares.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
-    room, left, capped = everything["size"] or 0, everything["w"] or 0, F.lit(False)
+    room, left = _start(shares, everything["size"] or 0, everything["w"] or 0)
     while True:
         over = F.lit(room).cast("decimal(19,0)") * F.col("w").cast("decimal(9,0)") > F.col("cap").cast("decimal(19,0)") * F.lit(left).cast("decimal(19,0)")
         found = shares.filter(over).agg(F.sum("cap").alias("cap"), F.sum("w").alias("w")).first()

@@ -100,13 +100,13 @@ def test_mix_of_odd_rows(spark):
 
 
 @pytest.mark.parametrize("broadcast", [mixing.BROADCAST_SOURCES, 2])
-@pytest.mark.parametrize("caps", [[100, 10, 1], [1, 1000, 10], [5], [0, 0], [7, 7, 7, 7, 7, 1, 900], [10**15, 10**16, 3, 10**14]])
+@pytest.mark.parametrize("caps", [[100, 10, 1], [1, 1000, 10], [5], [0, 0], [7, 7, 7, 7, 7, 1, 900], [10**15, 10**16, 3, 10**14], [3**k for k in range(35)], [2**k for k in range(50, 0, -1)], [1] * 40 + [10**6]])
 def test_targets_against_the_stated_rule(spark, monkeypatch, caps, broadcast):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
-    sizes = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(caps)], "source string, size long")
+    sizes = spark.createDataFrame([(f"s{i:02d}", n) for i, n in enumerate(caps)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.rates(sizes).collect()}
-    weight = {f"s{i}": (5, 2, 1)[i % 3] for i in range(len(caps))}
-    cap = {f"s{i}": 3.0 * n for i, n in enumerate(caps)}
+    weight = {f"s{i:02d}": (5, 2, 1)[i % 3] for i in range(len(caps))}
+    cap = {f"s{i:02d}": 3 * n for i, n in enumerate(caps)}
     full: dict = {}
     while True:  # reshare by weight until none is above
         rest, w = sum(caps) - sum(full.values()), sum(weight[s] for s in weight if s not in full)
@@ -118,6 +118,16 @@ def test_targets_against_the_stated_rule(spark, monkeypatch, caps, broadcast):
     assert all(abs(got[s] - want[s]) < 1e-6 + 1e-12 * want[s] for s in want)
 
 
+def test_sources_of_geometric_sizes_take_few_rounds(spark, monkeypatch):
+    sizes = spark.createDataFrame([(f"s{i:03d}", 2**i) for i in range(55)], "source string, size long")
+    rounds = []
+    kind = type(sizes)
+    plain = kind.filter
+    monkeypatch.setattr(kind, "filter", lambda self, c: rounds.append(1) or plain(self, c))
+    mixing.rates(sizes)
+    assert len(rounds) <= 4
+
+
 def test_pipeline_against_brute_force(spark, documents, tables, library):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = langid.train(docs, remainder("doc_id", 5) != 0)
