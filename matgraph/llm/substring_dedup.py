@@ -686,10 +686,11 @@ def _firsts(seeds: DataFrame) -> DataFrame:
 def _hubs(windows: DataFrame) -> DataFrame:
     """(seed, hub_id, hub_place): of seeds that settle no window, the occurrence in the longest run of
     shared seeds, in powers of two, and the least document of these, where that isn't the first of all."""
-    runs = windows.filter(f"run > 0 and kind = {FIRST}")
-    longest = F.struct(F.floor(F.log2("run")).alias("run"), (-F.col("doc_id")).alias("doc"))
-    found = runs.groupBy("seed").agg(F.max_by(F.struct("doc_id", "place"), longest).alias("hub"), F.min("doc_id").alias("a"))
-    return staged(found.filter("a < hub.doc_id").select("seed", F.col("hub.doc_id").alias("hub_id"), F.col("hub.place").alias("hub_place")), "hubs")
+    runs = windows.filter(f"run > 0 and kind = {FIRST}").withColumn("size", F.floor(F.log2("run")))
+    # Plain numbers only, for hash aggregates.
+    sizes = runs.groupBy("seed", "size").agg(F.min("doc_id").alias("doc"), F.min_by("place", "doc_id").alias("place"))
+    found = sizes.groupBy("seed").agg(F.max_by("doc", "size").alias("hub_id"), F.max_by("place", "size").alias("hub_place"), F.min("doc").alias("first"))
+    return staged(found.filter("first < hub_id").select("seed", "hub_id", "hub_place"), "hubs")
 
 
 def _to_hub(windows: DataFrame, hubs: DataFrame) -> DataFrame:
