@@ -127,15 +127,19 @@ def rounded_column(value: Any, digits: int) -> Any:
     from pyspark.sql import functions as F
 
     power = float(10**digits)
-    x = value.cast("double")
-    high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of the digits
-    p = x * power
-    rest = (high * power - p) + (x - high) * power
-    n = F.floor(p).cast("double")
-    over = (p - n - 0.5) + rest
-    whole = F.when((over > 0) | ((over == 0) & (n % 2 != 0)), n + 1).otherwise(n)
-    # Floats that large have no digits to round; a zero keeps its sign.
-    return F.when(~(F.abs(x) < float(1 << 49) / power), x).when(whole == 0, x * 0.0).otherwise(whole / power)
+
+    def of(x: Any) -> Any:
+        high = x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of the digits
+        p = x * power
+        rest = (high * power - p) + (x - high) * power
+        n = F.floor(p).cast("double")
+        over = (p - n - 0.5) + rest
+        whole = F.when((over > 0) | ((over == 0) & (n % 2 != 0)), n + 1).otherwise(n)
+        # Floats that large have no digits to round; a zero keeps its sign.
+        return F.when(~(F.abs(x) < float(1 << 49) / power), x).when(whole == 0, x * 0.0).otherwise(whole / power)
+
+    # The value is worked out once, and named by the lambda.
+    return F.element_at(F.transform(F.array(value.cast("double")), of), 1)
 
 
 class Told(NamedTuple):
