@@ -4,7 +4,8 @@ A file's digest is SHA-256 of its content. A folder's is that of its entries' li
 names: kind (``f`` or ``d``), digest and name, joined by spaces; lines by U+000A. Levels are folded from the
 deepest up, so no row ever holds more than one folder's entries. Of a folder of more than ``FAN``
 entries these are first folded in buckets, by the leading hex digits of the SHA-256 of their
-names, two digits at a time: a bucket is a line of kind ``b``, named by its digits.
+names, two digits at a time: a bucket is a line of kind ``b``, named by its digits. Where a folder's
+digest has to be that of all its lines, however many, ``buckets=False`` streams these through a task.
 
 After a change only what lies above the changed files is folded again, from the digests that the
 tree keeps; no other file is read.
@@ -15,10 +16,14 @@ both lines count; a root without files has no digest; empty folders don't count.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matgraph.operators.scratch import new_folder
+from matgraph.operators.shipping import ship
 
 FAN = 256
 TREE = "root string, path string, parent string, name string, depth int, kind string, digest string"
@@ -45,9 +50,41 @@ def leaves(files: DataFrame) -> DataFrame:
     return _nodes(files.select(F.col("root").cast("string").alias("root"), F.col("path").cast("string").alias("path"), F.sha2(content, 256).alias("digest")), "f")
 
 
-def folded(entries: DataFrame) -> DataFrame:
+def _streamed(own: DataFrame) -> DataFrame:
+    """(root, path, digest) of folders without buckets. A folder's lines are one message: they are
+    sorted by Spark, that spills, and a task holds a batch of them."""
+
+    def digested(batches):
+        held, total = None, None
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*found)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["root", "path", "digest"])
+
+        for batch in batches:
+            found = []
+            for root, path, line in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held == (root, path):
+                    total.update(b"\n")
+                else:
+                    if held is not None:
+                        found.append((*held, total.hexdigest()))
+                    held, total = (root, path), hashlib.sha256()
+                total.update(line.encode())
+            yield rows(found)
+        if held is not None:
+            yield rows([(*held, total.hexdigest())])
+
+    ship(own.sparkSession)
+    dealt = own.repartition("root", "path").sortWithinPartitions("root", "path", "name", "kind", "digest")
+    return dealt.select("root", "path", F.concat_ws(" ", "kind", "digest", "name").alias("line")).mapInArrow(digested, "root string, path string, digest string")
+
+
+def folded(entries: DataFrame, buckets: bool = True) -> DataFrame:
     """(root, path, digest) of the folders whose entries these are, all of one depth."""
     own = entries.select("root", F.col("parent").alias("path"), "name", "kind", "digest")
+    if not buckets:
+        return _streamed(own)
     sizes = own.groupBy("root", "path").agg(F.count(F.lit(1)).alias("n"))
     # As many digits as leave about FAN entries to a bucket.
     digits = sizes.filter(F.col("n") > FAN).withColumn("digits", F.ceil(F.log(16.0, F.col("n") / FAN)).cast("int"))
@@ -77,7 +114,7 @@ def _kept(spark, df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def tree(files: DataFrame) -> DataFrame:
+def tree(files: DataFrame, buckets: bool = True) -> DataFrame:
     """All nodes of the trees of (root, path, content) rows, TREE; a root's own path is empty. The
     table is below the session's shared folder."""
     spark = files.sparkSession
@@ -88,7 +125,7 @@ def tree(files: DataFrame) -> DataFrame:
     for depth in range(deepest, 0, -1):
         entries = base.filter(F.col("depth") == depth)
         entries = entries if below is None else entries.unionByName(below)
-        below = _kept(spark, _nodes(folded(entries), "d"), folder, f"folders{depth - 1}")
+        below = _kept(spark, _nodes(folded(entries, buckets), "d"), folder, f"folders{depth - 1}")
         found.append(below)
     return _union(found)
 

@@ -4,9 +4,13 @@ import hashlib
 import math
 import random
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from matgraph.functions import merkle
+from matgraph.queries import ORACLE, QUERIES
 
 SCHEMA = "root string, path string, content string, digest string, name string"
 
@@ -93,6 +97,32 @@ def test_changes_equal_a_new_tree(spark, monkeypatch, fan):
     assert {k: d for k, d in digests(again).items() if k[0] == "u"} == {(r, p): d for (r, p), d in digests(nodes).items() if r == "u"}
 
 
+def test_large_folders_without_buckets(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "FAN", 4)
+    trees = {"r": some_files(random.Random(1), 60), "u": {f"g/f{k}": str(k) for k in range(300)}, "s": {f"{k}/{k % 7}": None for k in range(40)}}
+    nodes = merkle.tree(frame(spark, trees), buckets=False)
+    assert digests(nodes) == {(r, p): d for r, files in trees.items() for p, d in plain(files, math.inf).items()}
+
+
+def documents_in_many_folders(tmp_path):
+    """A source whose language has more than FAN hundreds, and one whose hundred has 100 documents."""
+    ids = [*range(0, 100 * (merkle.FAN + 50), 50), *range(10**6, 10**6 + 100)]
+    docs = pa.table({"doc_id": ids, "source": ["s" if i < 10**6 else "t" for i in ids], "lang": ["en"] * len(ids), "text": [f"text {i}" for i in ids]})
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    return str(tmp_path)
+
+
+def by_sql(name, folder):
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+        return sorted(con.execute(ORACLE[name]).fetchall())
+
+
+def test_merkle_digest_of_more_folders_than_a_bucket_has(spark, tmp_path):
+    folder = documents_in_many_folders(tmp_path)
+    assert sorted(tuple(r) for r in QUERIES["merkle_digest"](spark, folder).collect()) == by_sql("merkle_digest", folder)
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert merkle.tree(none).count() == 0 and merkle.roots(merkle.tree(none)).count() == 0
