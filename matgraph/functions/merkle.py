@@ -142,9 +142,10 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("root").agg(F.count_if(F.col("kind") == "f").alias("n_files"), F.max(F.when(F.col("depth") == 0, F.col("digest"))).alias("digest"))
 
 
-def changed(nodes: DataFrame, files: DataFrame) -> DataFrame:
+def changed(nodes: DataFrame, files: DataFrame, buckets: bool = True) -> DataFrame:
     """The tree's table after (root, path, content, removed) rows: files that are new or have other
-    content, or are removed. Of the tree, only the entries of folders above them are read again."""
+    content, or are removed. Of the tree, only the entries of folders above them are read again;
+    ``buckets`` is what the tree was made with."""
     spark = nodes.sparkSession
     folder = new_folder(spark, "tree")
     gone = files.select(F.col("root").cast("string").alias("root"), F.col("path").cast("string").alias("path"), "removed")
@@ -158,7 +159,7 @@ def changed(nodes: DataFrame, files: DataFrame) -> DataFrame:
         folders = now.select("root", "parent").distinct()
         others = nodes.filter(F.col("depth") == depth).join(folders, ["root", "parent"], "left_semi").join(now.select("root", "path"), ["root", "path"], "left_anti")
         entries = others.select(*nodes.columns).unionByName(now.filter("not removed").select(*nodes.columns))
-        held = _nodes(folded(entries), "d")
+        held = _nodes(folded(entries, buckets), "d")
         left = folders.withColumnRenamed("parent", "path").join(held.select("root", "path"), ["root", "path"], "left_anti")
         empty = _nodes(left.withColumn("digest", F.lit("")), "d")
         above = _kept(spark, held.withColumn("removed", F.lit(False)).unionByName(empty.withColumn("removed", F.lit(True))), folder, f"folders{depth - 1}")

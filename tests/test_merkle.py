@@ -123,6 +123,11 @@ def test_merkle_digest_of_more_folders_than_a_bucket_has(spark, tmp_path):
     assert sorted(tuple(r) for r in QUERIES["merkle_digest"](spark, folder).collect()) == by_sql("merkle_digest", folder)
 
 
+def test_merkle_change_of_more_folders_than_a_bucket_has(spark, tmp_path):
+    folder = documents_in_many_folders(tmp_path)
+    assert sorted(tuple(r) for r in QUERIES["merkle_change"](spark, folder).collect()) == by_sql("merkle_change", folder)
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert merkle.tree(none).count() == 0 and merkle.roots(merkle.tree(none)).count() == 0
